@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the measure: longest counted prefix and its weight.
 PREFIX_LIMIT = 4
@@ -39,7 +40,7 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return base + min(prefix, PREFIX_LIMIT) * PREFIX_WEIGHT * (1 - base)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple[str, str], float] = {}
     scores = []

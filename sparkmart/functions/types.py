@@ -202,3 +202,8 @@ def type_name(dtype: T.DataType) -> str:
         return f"numeric({dtype.precision},{dtype.scale})"
     # Money shares its Spark type with a decimal, so only plain types are looked up here.
     return next((n for n, t in SPARK_TYPES.items() if t == dtype), "text")
+
+
+def row_type(**fields: T.DataType) -> T.StructType:
+    """A row schema from ``name=type`` pairs."""
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])

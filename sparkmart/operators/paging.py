@@ -76,6 +76,11 @@ def page_after(
     every skipped row.
     """
     if last is not None:
-        here, there = F.struct(*[F.col(k) for k in keys]), F.struct(*[F.lit(v) for v in last])
-        df = df.where(here < there if descending else here > there)
+        # Written out key by key, so that the bound on the leading key reaches the scan.
+        after = F.lit(False)
+        for k, v in reversed(list(zip(keys, last))):
+            beyond = F.col(k) < F.lit(v) if descending else F.col(k) > F.lit(v)
+            after = beyond | ((F.col(k) == F.lit(v)) & after)
+        lead = F.col(keys[0]) <= F.lit(last[0]) if descending else F.col(keys[0]) >= F.lit(last[0])
+        df = df.where(lead & after)
     return df.orderBy(*_sort_keys(keys, descending)).limit(size)

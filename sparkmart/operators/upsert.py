@@ -17,6 +17,7 @@ from sparkmart.operators.changes import (
     partial_rows,
     value_columns,
 )
+from sparkmart.plans.mart import stamp
 from sparkmart.plans.spec import MartSpec, TableKey
 
 _NEW = "_new_"
@@ -28,8 +29,8 @@ def _check(mart: DataFrame, rows: DataFrame) -> None:
         raise SpecError(f"the mart has no column {', '.join(missing)}")
 
 
-def _as_mart_row(mart: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows widened to the mart's columns; what was not written is NULL."""
+def widen(mart: DataFrame, rows: DataFrame) -> DataFrame:
+    """Change rows widened to the mart's columns; what was not written is NULL."""
     written = set(value_columns(rows))
     return rows.select(
         *(
@@ -84,9 +85,9 @@ def upsert(mart: DataFrame, rows: DataFrame, keys: Sequence[str], folded: bool =
     _check(mart, rows)
     null_keys = rows.where(any_null(keys))
     changes = rows if folded else fold(rows.where(~any_null(keys)), keys)
-    parts = [overlay(mart, changes, keys), _as_mart_row(mart, unmatched(mart, changes, keys))]
+    parts = [overlay(mart, changes, keys), widen(mart, unmatched(mart, changes, keys))]
     if not folded:
-        parts.append(_as_mart_row(mart, null_keys))
+        parts.append(widen(mart, null_keys))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -123,10 +124,9 @@ def append_rows(mart: DataFrame, rows: DataFrame, updated_at: Column | None = No
 
     Columns an event did not carry are NULL in its version.
     """
-    stamp = F.current_timestamp() if updated_at is None else updated_at
-    wide = rows.withColumn("updated_at", stamp)
+    wide = stamp(rows, updated_at, F.col(SEQ))
     fields = [f for f in mart.schema.fields if f.name in wide.columns]
     return wide.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields))
 
 
-__all__ = ["SEQ", "append_rows", "apply_events", "by_conflict_set", "overlay", "unmatched", "upsert"]
+__all__ = ["SEQ", "append_rows", "apply_events", "by_conflict_set", "overlay", "unmatched", "upsert", "widen"]

@@ -14,7 +14,7 @@ from sparkmart.plans.join_graph import plan_joins
 from sparkmart.plans.spec import Endpoint, MartSpec, TableKey
 from sparkmart.sources.catalog import SourceCatalog
 
-UPDATED_AT = "updated_at"
+UPDATED_AT, VERSION_SEQ = "updated_at", "_seq"
 
 
 def _key_name(slot: int, column: str) -> str:
@@ -79,12 +79,17 @@ def order_key(spec: MartSpec) -> str:
     return spec.tables[0].mart_columns()[0].target
 
 
-def stamp(df: DataFrame, at: Column | None = None) -> DataFrame:
-    """Add the version stamp of a versioned mart."""
-    return df.withColumn(UPDATED_AT, F.current_timestamp() if at is None else at)
+def stamp(df: DataFrame, at: Column | None = None, seq: Column | None = None) -> DataFrame:
+    """Add the stamps of a versioned mart: the time of the version and its order within that time."""
+    return df.withColumns(
+        {
+            UPDATED_AT: F.current_timestamp() if at is None else at,
+            VERSION_SEQ: F.lit(0).cast("bigint") if seq is None else seq,
+        }
+    )
 
 
-def current_view(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def current_view(versions: DataFrame, keys: list[str], order: tuple[str, ...] = (UPDATED_AT, VERSION_SEQ)) -> DataFrame:
     """The newest version of every key.
 
     An aggregate rather than a window: the older versions of a hot key are dropped on the map side

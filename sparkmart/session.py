@@ -34,6 +34,7 @@ def local_session(cpus: int = 8, app: str = "sparkmart", memory: str = "8g") ->
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

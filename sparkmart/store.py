@@ -16,6 +16,7 @@ import logging
 import time
 import uuid
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,16 +101,17 @@ def suggest_buckets(total_bytes: int, per_bucket: int = 4 << 30) -> int:
 
 
 def bucket_of(df: DataFrame, by: tuple[str, ...], buckets: int) -> Column:
-    """The bucket of a new row. Rows without a full key spread by their content."""
-    if buckets == 1 or not by:
+    """The bucket of a new row: by its layout key, or by its content where it has no full key."""
+    if buckets == 1:
         return F.lit(0)
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    keyed = F.pmod(F.xxhash64(*by), F.lit(buckets))
-    spread = F.pmod(F.xxhash64(*plain), F.lit(buckets))
-    no_key = F.lit(False)
-    for c in by:
-        no_key = no_key | F.col(f"`{c}`").isNull()
-    return F.when(no_key, spread).otherwise(keyed).cast("int")
+    plain = [
+        f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType)) and f.name != BUCKET
+    ]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(buckets)).cast("int")
+    if not by:
+        return spread
+    keyed = F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
+    return F.when(reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in by]), keyed).otherwise(spread)
 
 
 class TableStore:
@@ -202,7 +204,7 @@ class TableStore:
             return self.version(name)
         if numbers and if_exists == "error":
             raise SpecError(f"table {name} exists")
-        by = tuple(bucket_by) if buckets > 1 else ()
+        by = tuple(bucket_by)
         columns = tuple((c, c) for c in df.columns)
         number = (numbers[-1] if numbers else 0) + 1
         folders = self._write(name, df.withColumn(BUCKET, bucket_of(df, by, buckets)), columns, buckets)
@@ -211,24 +213,26 @@ class TableStore:
     def publish_buckets(
         self, name: str, base: Version, df: DataFrame, touched: set[int], batch: tuple[str, int] | None = None
     ) -> Version:
-        """Publish a version that replaces the touched buckets of ``base`` by ``df`` and keeps the rest."""
-        number = base.number + 1
+        """Publish a version with the touched buckets of ``base`` replaced by ``df``.
+
+        ``df`` holds all rows of the touched buckets with their bucket column. Its rows of other buckets
+        are new ones and are added to those. Buckets without rows in ``df`` and not touched are kept.
+        """
         written = self._write(name, df, base.columns, base.buckets)
-        kept = {b: f for b, f in base.folders.items() if int(b) not in touched}
-        lost = set(written) & set(kept)
-        if lost:
-            raise RuntimeError(f"rows of {name} moved into untouched buckets {sorted(lost)}")
+        kept = {b: fs for b, fs in base.folders.items() if int(b) not in touched}
+        folders = {b: kept.get(b, []) + written.get(b, []) for b in {**kept, **written}}
         batches = {**base.batches, **(dict([batch]) if batch else {})}
-        return self._commit(name, replace(base, number=number, folders={**kept, **written}, batches=batches))
+        return self._commit(name, replace(base, number=base.number + 1, folders=folders, batches=batches))
 
     def mark_batch(self, name: str, base: Version, batch: tuple[str, int]) -> Version:
         """Record a batch that changed nothing."""
-        return self._commit(name, replace(base, number=base.number + 1, batches={**base.batches, **dict([batch])}))
+        batches = {**base.batches, **dict([batch])}
+        return self._commit(name, replace(base, number=base.number + 1, batches=batches))
 
-    def append(self, name: str, df: DataFrame) -> Version:
+    def append(self, name: str, df: DataFrame, batch: tuple[str, int] | None = None) -> Version:
         """Publish a version with more rows; columns the new rows lack are NULL. Reads no old data."""
         if not self.exists(name):
-            return self.publish(name, df)
+            self.publish(name, df.limit(0))
         base = self.version(name)
         fields = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(base.schema)).fields}
         extra = set(df.columns) - set(base.names)
@@ -240,11 +244,16 @@ class TableStore:
                 for n, s in base.columns
             )
         )
-        number = base.number + 1
         rows = rows.withColumn(BUCKET, bucket_of(rows, base.bucket_by, base.buckets))
-        written = self._write(name, rows, base.columns, base.buckets)
-        folders = {b: base.folders.get(b, []) + written.get(b, []) for b in {**base.folders, **written}}
-        return self._commit(name, replace(base, number=number, folders=folders))
+        return self.publish_buckets(name, base, rows, set(), batch)
+
+    def compact(self, name: str) -> Version:
+        """Rewrite the buckets that consist of several folders."""
+        base = self.version(name)
+        many = {int(b) for b, fs in base.folders.items() if len(fs) > 1}
+        if not many:
+            return base
+        return self.publish_buckets(name, base, self.read_version(name, base, many), many)
 
     def alter(self, name: str, renames: dict[str, str] | None = None, drops: list[str] | tuple = ()) -> Version:
         """Rename and drop columns in one new version, without touching data.
