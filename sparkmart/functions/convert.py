@@ -84,7 +84,7 @@ def temporal_from_text(c: Column, type_name: str) -> Column:
     if type_name in ("time", "timetz"):
         return text
     if type_name == "date":
-        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
     shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}")
     clock = F.regexp_replace(text, _ZONED, "")
     local = clock.try_cast("timestamp_ntz")
@@ -171,6 +171,6 @@ def decode_change(c: Column, col: ColumnSpec, profile: str = "full", unit: str =
     target = spark_type(col, profile)
     if isinstance(target, (T.ShortType, T.IntegerType, T.LongType)) and kind.name != "boolean":
         # Integral values may be spelt as doubles ("1.0").
-        whole = F.when(c.rlike(r"^-?\d+\.0+$"), F.regexp_replace(c, r"\.0+$", "")).otherwise(c)
+        whole = F.when(c.contains("."), F.regexp_replace(c, r"\.0+$", "")).otherwise(c)
         return whole.cast(target)
     return to_mart_type(c, col, profile)

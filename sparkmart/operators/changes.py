@@ -145,7 +145,8 @@ def fold(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: the last present value of every column.
 
     Equals applying the events one at a time in ``seq`` order. ``seq`` must not repeat within a key. The
-    aggregates combine on the map side, so a hot key reaches the shuffle as one row per task.
+    aggregates combine on the map side, so a hot key reaches the shuffle as one row per task. A row with
+    a NULL key column equals no other row and stays on its own.
     """
     others = [c for c in value_columns(rows) if c not in keys]
     aggregates = [F.max(SEQ).alias(SEQ)]
@@ -153,4 +154,5 @@ def fold(rows: DataFrame, keys: list[str]) -> DataFrame:
         # max_by keeps a NULL value and skips rows whose ordering is NULL.
         aggregates.append(F.max_by(c, F.when(F.col(has(c)), F.col(SEQ))).alias(c))
         aggregates.append(F.max(has(c)).alias(has(c)))
-    return rows.groupBy(*keys).agg(*aggregates)
+    alone = F.when(any_null(keys), F.col(SEQ)).alias("_alone")
+    return rows.groupBy(*keys, alone).agg(*aggregates).drop("_alone")

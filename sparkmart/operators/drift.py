@@ -7,14 +7,13 @@ in lower case.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmart.functions.similarity import jaro_winkler, normal_name, normal_type
 from sparkmart.functions.types import MART_TYPES, row_type
+from sparkmart.session import settle
 
 # Fixed values of the rename score.
 MIN_SCORE = 0.45
@@ -68,25 +67,32 @@ def column_presence(
     source and by its target to the mart; without it the target is used for both.
     """
     scope = spec.select(*GROUP).distinct()
-    there = F.lit(True)
-    in_mart = mart.select("view_id", F.lower("column").alias("target"), there.alias("in_mart")).distinct()
-    spec = spec.withColumn("name", F.lower("column" if alias_aware else "target")).withColumn(
-        "target", F.lower("target")
-    )
-    spec = spec.join(in_mart, ["view_id", "target"], "left")
-    tagged_source = source.join(scope, GROUP[1:]).select(
-        *GROUP, F.lower("column").alias("name"), common_type(F.col("type")).alias("source_type"), there.alias("in_source")
+    in_mart = mart.select("view_id", F.lower("column").alias("target"), F.lit(True).alias("in_mart")).distinct()
+    from_source = source.join(scope, GROUP[1:]).select(
+        *GROUP, F.lower("column").alias("name"), common_type(F.col("type")).alias("source_type"), F.lit(True).alias("in_source")
     )
-    tagged_spec = spec.select(
-        *GROUP,
-        "name",
+    # A spec column speaks for its own name and for its target's name.
+    unknown = F.lit(None).cast("string")
+    as_column = F.struct(
+        F.lower("column" if alias_aware else "target").alias("name"),
         common_type(F.col("type")).alias("spec_type"),
-        there.alias("in_spec"),
+        F.lit(True).alias("in_spec"),
         F.coalesce("in_mart", F.lit(False)).alias("in_mart"),
+        F.lit(False).alias("is_target"),
+    )
+    as_target = F.struct(
+        F.col("target").alias("name"),
+        unknown.alias("spec_type"),
+        F.lit(False).alias("in_spec"),
+        F.lit(False).alias("in_mart"),
+        F.lit(True).alias("is_target"),
     )
-    tagged_target = spec.select(*GROUP, F.col("target").alias("name"), there.alias("is_target"))
-    tags = [tagged_source, tagged_spec, tagged_target]
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tags)
+    from_spec = (
+        spec.withColumn("target", F.lower("target"))
+        .join(in_mart, ["view_id", "target"], "left")
+        .select(*GROUP, F.inline(F.array(as_column, as_target)))
+    )
+    both = from_source.unionByName(from_spec, allowMissingColumns=True)
     flags = ["in_source", "in_spec", "in_mart", "is_target"]
     return both.groupBy(*GROUP, "name").agg(
         *(F.coalesce(F.max(f), F.lit(False)).alias(f) for f in flags),
@@ -128,7 +134,7 @@ def drift_report(
     ``extra`` lists further mart columns a spec creates, which are therefore not mart-only. With
     ``source_types=False`` only spec types take part in the rename score.
     """
-    seen = column_presence(source, spec, mart, alias_aware)
+    seen = settle(column_presence(source, spec, mart, alias_aware), "columns")
     none, no_score = F.lit(None).cast("string"), F.lit(None).cast("double")
     kind = F.when(F.col("in_spec") & ~F.col("in_source"), SCHEMA_ONLY).when(
         F.col("in_spec") & F.col("in_source") & ~F.col("in_mart"), MISSING_IN_MART
@@ -145,16 +151,14 @@ def drift_report(
         )
     )
 
-    targets = spec.select("view_id", F.lower("target").alias("column"))
+    # Mart columns that no target explains, found by one grouping instead of a difference.
+    targets = spec.select("view_id", F.lower("target").alias("column"), F.lit(False).alias("stray"))
     if extra is not None:
-        targets = targets.union(extra.select("view_id", F.lower("target")))
-    unknown = (
-        mart.select("view_id", F.lower("column").alias("column"))
-        .distinct()
-        .join(targets.distinct(), ["view_id", "column"], "left_anti")
-    )
+        targets = targets.union(extra.select("view_id", F.lower("target"), F.lit(False)))
+    present = mart.select("view_id", F.lower("column").alias("column"), F.lit(True).alias("stray"))
+    stray = present.union(targets).groupBy("view_id", "column").agg(F.min("stray").alias("stray")).where("stray")
     scope = spec.select(*GROUP).distinct()
-    mart_only = unknown.join(scope, "view_id").select(
+    mart_only = stray.join(scope, "view_id").select(
         *GROUP, F.lit(MART_ONLY).alias("type"), F.col("column").alias("old"), none.alias("new"), no_score.alias("score")
     )
     report = basic.unionByName(mart_only)

@@ -19,6 +19,7 @@ from sparkmart.operators.changes import (
 )
 from sparkmart.plans.mart import stamp
 from sparkmart.plans.spec import MartSpec, TableKey
+from sparkmart.session import settle
 
 _NEW = "_new_"
 
@@ -75,23 +76,25 @@ def unmatched(mart: DataFrame, folded: DataFrame, keys: Sequence[str]) -> DataFr
     return folded.join(present, list(keys), "left_anti")
 
 
-def upsert(mart: DataFrame, rows: DataFrame, keys: Sequence[str], folded: bool = False) -> DataFrame:
-    """Apply partial rows to a mart: matching rows are updated, the others inserted.
+def merge(mart: DataFrame, folded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Apply folded changes: matching rows are updated, the other changes become rows of their own.
 
-    A row with a NULL key column matches nothing, so every such event is inserted as a row of its own.
-    A change that carries only key columns leaves an existing row as it is.
+    A change with a NULL key column matches nothing, so it is always a new row. A change that carries only
+    key columns leaves an existing row as it is. The changes are read three times: settle them first.
     """
     keys = list(keys)
-    _check(mart, rows)
-    null_keys = rows.where(any_null(keys))
-    changes = rows if folded else fold(rows.where(~any_null(keys)), keys)
-    parts = [overlay(mart, changes, keys), widen(mart, unmatched(mart, changes, keys))]
-    if not folded:
-        parts.append(widen(mart, null_keys))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    _check(mart, folded)
+    keyed, keyless = folded.where(~any_null(keys)), folded.where(any_null(keys))
+    return (
+        overlay(mart, keyed, keys)
+        .unionByName(widen(mart, unmatched(mart, keyed, keys)))
+        .unionByName(widen(mart, keyless))
+    )
+
+
+def upsert(mart: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fold partial rows and apply them to a mart."""
+    return merge(mart, settle(fold(rows, list(keys)), "changes"), keys)
 
 
 def by_conflict_set(spec: MartSpec, tables: Sequence[TableKey]) -> list[TableKey]:
@@ -113,7 +116,10 @@ def apply_events(
 ) -> DataFrame:
     """Apply the decoded events of all (or the given) tables of a mart."""
     wanted = list(tables) if tables is not None else [t.key for t in spec.tables if t.conflict_columns()]
-    for key in by_conflict_set(spec, wanted):
+    for i, key in enumerate(by_conflict_set(spec, wanted)):
+        if i > 1:
+            # Every upsert reads the mart twice; cut the plan before that multiplies.
+            mart = settle(mart, "mart")
         rows = partial_rows(events, spec, key, mart.schema, profile, ts_unit)
         mart = upsert(mart, rows, conflict_columns(spec.table(key)))
     return mart
@@ -129,4 +135,4 @@ def append_rows(mart: DataFrame, rows: DataFrame, updated_at: Column | None = No
     return wide.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields))
 
 
-__all__ = ["SEQ", "append_rows", "apply_events", "by_conflict_set", "overlay", "unmatched", "upsert", "widen"]
+__all__ = ["SEQ", "append_rows", "apply_events", "by_conflict_set", "merge", "overlay", "unmatched", "upsert", "widen"]

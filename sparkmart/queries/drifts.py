@@ -14,6 +14,7 @@ from sparkmart.operators.paging import match_all, ordered_page
 from sparkmart.plans.mart import mart_frame
 from sparkmart.queries.base import catalog, query, read, table_key
 from sparkmart.queries.marts import CUSTOMER_ORDERS
+from sparkmart.session import settle
 
 _LINES_SQL = """
 WITH lines AS (
@@ -82,7 +83,7 @@ def line_catalogs(spark, sf_dir):
         .withColumn("target", F.col("column"))
     )
     mart = lines.where("l_linestatus = 'O'").select("view_id", "column").distinct()
-    return source, spec, mart
+    return settle(source, "source"), settle(spec, "spec"), settle(mart, "mart")
 
 
 @query(_LINES_SQL + """SELECT view_id, 'shop' AS db, 'public' AS "schema", tab AS "table", type, old, new, score FROM report""")
@@ -137,7 +138,7 @@ after AS (
 
 @query(_GROUPS_SQL + "SELECT * FROM after")
 def mismatch_groups(spark, sf_dir):
-    report = drift.drift_report(*line_catalogs(spark, sf_dir))
+    report = settle(drift.drift_report(*line_catalogs(spark, sf_dir)), "report")
     now = F.lit("2030-01-01 00:00:00").cast("timestamp")
     groups, items = drift.upsert_groups(report, *_open_groups(spark, sf_dir), now)
     full = drift.groups_with_items(groups, items)

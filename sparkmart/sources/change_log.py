@@ -78,41 +78,52 @@ def read_files(spark: SparkSession, path: str, per_trigger: int | None = None) -
     return reader.load(path)
 
 
-def _read(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("_e", F.from_json("value", ENVELOPE))
+def parse(raw: DataFrame) -> DataFrame:
+    """Envelope fields next to the record's own text (``_value``) and order (``_seq``).
+
+    The envelope is unpacked by a generator: filters on its fields then stay above it, where Spark would
+    otherwise parse the text once per filter.
+    """
+    seq = F.col("seq") if "seq" in raw.columns else F.lit(None).cast("bigint")
+    parsed = F.inline(F.array(F.from_json("value", ENVELOPE)))
+    return raw.select(F.col("value").alias("_value"), seq.alias("_seq"), parsed)
 
 
 def _is_event() -> Column:
-    return F.col("_e.op").isNotNull() & F.col("_e.source.table").isNotNull()
+    return F.col("op").isNotNull() & F.col("source.table").isNotNull()
+
+
+def events_in(parsed: DataFrame) -> DataFrame:
+    """The parsed envelopes as rows ``(seq, op, db, schema, table, before, after, lsn, ts_ms)``."""
+    return parsed.where(_is_event()).select(
+        F.coalesce("_seq", "source.lsn", "ts_us", "ts_ms").alias("seq"),
+        "op",
+        F.col("source.db").alias("db"),
+        F.col("source.schema").alias("schema"),
+        F.col("source.table").alias("table"),
+        "before",
+        "after",
+        F.col("source.lsn").alias("lsn"),
+        "ts_ms",
+    )
+
+
+def bad_in(parsed: DataFrame) -> DataFrame:
+    """The text of parsed records that are no envelope."""
+    return parsed.where(~_is_event()).select(F.col("_value").alias("value"))
 
 
 def decode(raw: DataFrame) -> DataFrame:
-    """Envelopes as rows ``(seq, op, db, schema, table, before, after, lsn, ts_ms)``; bad text is dropped.
+    """Raw records as event rows; bad text is dropped.
 
     Events are ordered by the ``seq`` column of the input when it has one, else by log position.
     """
-    seq = F.col("seq") if "seq" in raw.columns else F.coalesce("_e.source.lsn", "_e.ts_us", "_e.ts_ms")
-    return (
-        _read(raw)
-        .where(_is_event())
-        .select(
-            seq.alias("seq"),
-            F.col("_e.op").alias("op"),
-            F.col("_e.source.db").alias("db"),
-            F.col("_e.source.schema").alias("schema"),
-            F.col("_e.source.table").alias("table"),
-            F.col("_e.before").alias("before"),
-            F.col("_e.after").alias("after"),
-            F.col("_e.source.lsn").alias("lsn"),
-            F.col("_e.ts_ms").alias("ts_ms"),
-        )
-    )
+    return events_in(parse(raw))
 
 
 def bad_records(raw: DataFrame) -> DataFrame:
     """The text of records that are no envelope."""
-    # Null-safe: a value that is NULL as a whole is also bad.
-    return _read(raw).where(~F.coalesce(_is_event(), F.lit(False))).select("value")
+    return bad_in(parse(raw))
 
 
 def envelope(

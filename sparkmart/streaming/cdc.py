@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmart.operators import drift
-from sparkmart.operators.changes import any_null, conflict_columns, fold, keyless_events, partial_rows
+from sparkmart.operators.changes import conflict_columns, fold, keyless_events, partial_rows
 from sparkmart.operators.evolve import Evolution
 from sparkmart.operators.registry import Registry, extra_targets, spec_columns
 from sparkmart.operators.routing import data_events, observed_columns
-from sparkmart.operators.upsert import append_rows, by_conflict_set, overlay, unmatched, widen
+from sparkmart.operators.upsert import append_rows, by_conflict_set, merge
 from sparkmart.plans.mart import UPDATED_AT, mart_frame, order_key, stamp
 from sparkmart.plans.spec import MartSpec, TableKey
+from sparkmart.session import settle
 from sparkmart.sources.catalog import SourceCatalog
-from sparkmart.sources.change_log import bad_records, decode
+from sparkmart.sources.change_log import bad_in, events_in, parse
 from sparkmart.store import BUCKET, TableStore, Version, bucket_of
 
 log = logging.getLogger(__name__)
@@ -88,19 +89,11 @@ def upsert_table(
     schema = store.read_version(name, base).drop(BUCKET).schema
     keys = conflict_columns(spec.table(key))
     rows = partial_rows(events, spec, key, schema, profile, ts_unit)
-    changes = fold(rows.where(~any_null(keys)), keys).persist()
-    try:
-        touched = touched_buckets(store, name, base, changes, keys)
-        mart = store.read_version(name, base, touched)
-        merged = (
-            overlay(mart, changes, keys)
-            .unionByName(widen(mart, unmatched(mart, changes, keys)))
-            .unionByName(widen(mart, rows.where(any_null(keys))))
-        )
-        placed = F.coalesce(F.col(BUCKET), bucket_of(merged, base.bucket_by, base.buckets))
-        return store.publish_buckets(name, base, merged.withColumn(BUCKET, placed), touched, batch)
-    finally:
-        changes.unpersist()
+    changes = settle(fold(rows, keys), "changes")
+    touched = touched_buckets(store, name, base, changes, keys)
+    merged = merge(store.read_version(name, base, touched), changes, keys)
+    placed = F.coalesce(F.col(BUCKET), bucket_of(merged, base.bucket_by, base.buckets))
+    return store.publish_buckets(name, base, merged.withColumn(BUCKET, placed), touched, batch)
 
 
 class ChangeApplier:
@@ -132,16 +125,17 @@ class ChangeApplier:
     # -- one batch ------------------------------------------------------------------------------
 
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
-        raw = raw.persist()
+        # Every later step reads the parsed records; a lost cache block is parsed again from the source.
+        parsed = parse(raw).persist()
         try:
-            events = decode(raw)
+            events = events_in(parsed)
             specs = self.registry.specs()
             present = {
                 TableKey(*r) for r in data_events(events).select("db", "schema", "table").distinct().toLocalIterator()
             }
             work = {i: [t.key for t in s.tables if t.key in present] for i, s in specs.items()}
             work = {i: keys for i, keys in work.items() if keys}
-            self._keep_bad(raw, events, {specs[i]: keys for i, keys in work.items()}, batch_id)
+            self._keep_bad(parsed, events, {specs[i]: keys for i, keys in work.items()}, batch_id)
             self._check_drift(events, present, specs)
             gated = self._gated()
             with ThreadPoolExecutor(max(1, self.parallel)) as pool:
@@ -152,13 +146,13 @@ class ChangeApplier:
                 for job in jobs:
                     job.result()  # a failed mart fails the batch, which is then replayed
         finally:
-            raw.unpersist()
+            parsed.unpersist()
 
-    def _keep_bad(self, raw: DataFrame, events: DataFrame, work: dict[MartSpec, list[TableKey]], batch_id: int) -> None:
+    def _keep_bad(self, parsed: DataFrame, events: DataFrame, work: dict[MartSpec, list[TableKey]], batch_id: int) -> None:
         """Keep records that could not be used."""
         if self._done(BAD_RECORDS, self.name, batch_id):
             return
-        bad = bad_records(raw).select("value", F.lit("not an envelope").alias("reason"))
+        bad = bad_in(parsed).select("value", F.lit("not an envelope").alias("reason"))
         for spec, keys in work.items():
             for key in keys:
                 lost = keyless_events(events, spec, key).select(
