@@ -54,9 +54,13 @@ def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(scores, dtype="float64")
 
 
+# Spark copies a deterministic function into every filter on its result, and would run it again there.
+_once = _jaro_winkler.asNondeterministic()
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Similarity of two text columns, row by row, in Arrow batches."""
-    return _jaro_winkler(a, b)
+    return _once(a, b)
 
 
 def normal_name(c: Column) -> Column:

@@ -57,10 +57,15 @@ def common_type(c: Column) -> Column:
     return F.when(c.isNotNull(), F.concat(F.coalesce(F.try_element_at(names, base), F.lit("text")), suffix))
 
 
+def _type_code(c: Column) -> Column:
+    """A type as a number, NULL when unknown. Types are only compared, and numbers aggregate by hash."""
+    return F.when(c.isNotNull(), F.xxhash64(common_type(c)))
+
+
 def column_presence(
     source: DataFrame, spec: DataFrame, mart: DataFrame, alias_aware: bool = True
 ) -> DataFrame:
-    """One row per (view, table, column name) telling where the name occurs, with its type.
+    """One row per (view, table, column name) telling where the name occurs, with a code for its type.
 
     The catalogs are tagged, unioned and grouped once, which needs one shuffle where pairwise
     differences would need one each. With ``alias_aware`` a spec column is known by its source name to the
@@ -69,13 +74,13 @@ def column_presence(
     scope = spec.select(*GROUP).distinct()
     in_mart = mart.select("view_id", F.lower("column").alias("target"), F.lit(True).alias("in_mart")).distinct()
     from_source = source.join(scope, GROUP[1:]).select(
-        *GROUP, F.lower("column").alias("name"), common_type(F.col("type")).alias("source_type"), F.lit(True).alias("in_source")
+        *GROUP, F.lower("column").alias("name"), _type_code(F.col("type")).alias("source_type"), F.lit(True).alias("in_source")
     )
     # A spec column speaks for its own name and for its target's name.
-    unknown = F.lit(None).cast("string")
+    unknown = F.lit(None).cast("bigint")
     as_column = F.struct(
         F.lower("column" if alias_aware else "target").alias("name"),
-        common_type(F.col("type")).alias("spec_type"),
+        _type_code(F.col("type")).alias("spec_type"),
         F.lit(True).alias("in_spec"),
         F.coalesce("in_mart", F.lit(False)).alias("in_mart"),
         F.lit(False).alias("is_target"),
@@ -109,10 +114,14 @@ def rename_candidates(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
     types add a bonus, so a score may exceed 1. All pairs at or above the threshold are kept. A group
     is one table, whose width the source limits (about 1600 columns), so its pairs are bounded too.
     """
-    a = old.select(*keys, F.col("name").alias("old"), normal_type(F.col("type")).alias("old_type"))
-    b = new.select(*keys, F.col("name").alias("new"), normal_type(F.col("type")).alias("new_type"))
-    known_a = F.coalesce(F.col("old_type"), F.lit("")) != ""
-    known_b = F.coalesce(F.col("new_type"), F.lit("")) != ""
+
+    def typed(side: DataFrame) -> Column:
+        kind = F.col("type")
+        return F.nullif(normal_type(kind), F.lit("")) if dict(side.dtypes)["type"] == "string" else kind
+
+    a = old.select(*keys, F.col("name").alias("old"), typed(old).alias("old_type"))
+    b = new.select(*keys, F.col("name").alias("new"), typed(new).alias("new_type"))
+    known_a, known_b = F.col("old_type").isNotNull(), F.col("new_type").isNotNull()
     equal = known_a & known_b & (F.col("old_type") == F.col("new_type"))
     pairs = a.join(b, keys).where(equal | (known_a != known_b))
     score = jaro_winkler(normal_name(F.col("old")), normal_name(F.col("new")))
@@ -166,9 +175,9 @@ def drift_report(
         return report
 
     # Without source types every spec column counts as typed, text by default.
-    old_type = F.col("type") if source_types else F.coalesce("type", F.lit("text"))
+    old_type = F.col("type") if source_types else F.coalesce("type", _type_code(F.lit("text")))
     old = seen.where("in_spec and in_mart and not in_source").select(*GROUP, "name", old_type.alias("type"))
-    new_type = F.col("source_type") if source_types else none
+    new_type = F.col("source_type") if source_types else F.lit(None).cast("bigint")
     new = seen.where("in_source and not in_spec and not is_target").select(*GROUP, "name", new_type.alias("type"))
     likely = rename_candidates(old, new, GROUP)
     return report.unionByName(likely.withColumn("type", F.lit(RENAME)))

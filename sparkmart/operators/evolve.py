@@ -102,14 +102,9 @@ class Evolution:
 
     def __init__(self, store: TableStore, registry: Registry):
         self.store, self.registry = store, registry
-        spark = store.spark
-        for name, schema in (
-            (self.GROUPS, drift.GROUPS),
-            (self.ITEMS, drift.ITEMS),
-            (self.SUGGESTIONS, SUGGESTIONS),
-        ):
-            if not store.exists(name):
-                store.publish(name, spark.createDataFrame([], schema))
+        store.create(self.GROUPS, drift.GROUPS)
+        store.create(self.ITEMS, drift.ITEMS)
+        store.create(self.SUGGESTIONS, SUGGESTIONS)
 
     # -- mismatch groups ------------------------------------------------------------------------
 

@@ -163,8 +163,7 @@ class Registry:
 
     def __init__(self, store: TableStore):
         self.store = store
-        if not store.exists(self.TABLE):
-            store.publish(self.TABLE, store.spark.createDataFrame([], REGISTRY))
+        store.create(self.TABLE, REGISTRY)
 
     def frame(self) -> DataFrame:
         return self.store.read(self.TABLE)

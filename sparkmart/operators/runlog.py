@@ -46,8 +46,7 @@ class RunLog:
 
     def __init__(self, store: TableStore):
         self.store = store
-        if not store.exists(self.TABLE):
-            store.publish(self.TABLE, store.spark.createDataFrame([], LOG))
+        store.create(self.TABLE, LOG)
 
     def frame(self) -> DataFrame:
         return self.store.read(self.TABLE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,21 @@ def upsert(mart: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return merge(mart, settle(fold(rows, list(keys)), "changes"), keys)
 
 
+def merge_into(target: str, folded: DataFrame, keys: Sequence[str]) -> None:
+    """The same merge as one MERGE statement, for a catalog table whose format supports it."""
+    table = folded.sparkSession.table(target)
+    _check(table, folded)
+    others = [c for c in value_columns(folded) if c not in keys]
+    new = folded.alias("new")
+    condition = [F.col(f"{target}.{k}") == F.col(f"new.{k}") for k in keys]
+    updates = {c: F.when(F.col(f"new.{has(c)}"), F.col(f"new.{c}")).otherwise(F.col(f"{target}.{c}")) for c in others}
+    inserts = {c: F.col(f"new.{c}") for c in [*keys, *others]}
+    writer = new.mergeInto(target, reduce(Column.__and__, condition))
+    if updates:
+        writer = writer.whenMatched().update(updates)
+    writer.whenNotMatched().insert(inserts).merge()
+
+
 def by_conflict_set(spec: MartSpec, tables: Sequence[TableKey]) -> list[TableKey]:
     """The order in which the tables of one batch are applied: largest conflict set first.
 
@@ -135,4 +151,4 @@ def append_rows(mart: DataFrame, rows: DataFrame, updated_at: Column | None = No
     return wide.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields))
 
 
-__all__ = ["SEQ", "append_rows", "apply_events", "by_conflict_set", "merge", "overlay", "unmatched", "upsert", "widen"]
+__all__ = ["SEQ", "append_rows", "apply_events", "by_conflict_set", "merge", "merge_into", "overlay", "unmatched", "upsert", "widen"]

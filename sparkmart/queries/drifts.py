@@ -20,7 +20,7 @@ _LINES_SQL = """
 WITH lines AS (
   SELECT l_orderkey AS view_id, 'orders_' || l_orderkey AS tab, replace(p_name, ' ', '_') || '_' || p_size AS col,
          l_returnflag AS flag, l_linestatus AS status,
-         CASE p_type WHEN 'PROMO' THEN 'text' WHEN 'LARGE' THEN 'text' WHEN 'SMALL' THEN NULL ELSE 'integer' END AS typ
+         CASE WHEN p_size < 20 THEN 'integer' WHEN p_size < 40 THEN 'text' END AS typ
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 src AS (SELECT view_id, tab, col, max(typ) AS typ FROM lines WHERE flag IN ('A', 'N') GROUP BY ALL),
 spec AS (SELECT view_id, tab, col, max(typ) AS typ FROM lines WHERE flag IN ('N', 'R') GROUP BY ALL),
@@ -59,7 +59,7 @@ report AS (
 
 def line_catalogs(spark, sf_dir):
     """Source, spec and mart column catalogs."""
-    kind = F.when(F.col("p_type").isin("PROMO", "LARGE"), "text").when(F.col("p_type") != "SMALL", "int4")
+    kind = F.when(F.col("p_size") < 20, "int4").when(F.col("p_size") < 40, "text")
     lines = (
         read(spark, sf_dir, "lineitem")
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -74,14 +74,10 @@ def line_catalogs(spark, sf_dir):
             "l_linestatus",
         )
     )
-    key = ["db", "schema", "table", "column"]
-    source = lines.where(F.col("l_returnflag").isin("A", "N")).groupBy(*key).agg(F.max("type").alias("type"))
-    spec = (
-        lines.where(F.col("l_returnflag").isin("N", "R"))
-        .groupBy("view_id", *key)
-        .agg(F.max("type").alias("type"))
-        .withColumn("target", F.col("column"))
-    )
+    facts = ["db", "schema", "table", "column", "type"]
+    source = lines.where(F.col("l_returnflag").isin("A", "N")).select(*facts).distinct()
+    spec = lines.where(F.col("l_returnflag").isin("N", "R")).select("view_id", *facts).distinct()
+    spec = spec.withColumn("target", F.col("column"))
     mart = lines.where("l_linestatus = 'O'").select("view_id", "column").distinct()
     return settle(source, "source"), settle(spec, "spec"), settle(mart, "mart")
 

@@ -177,17 +177,27 @@ class TableStore:
 
     def _write(self, name: str, df: DataFrame, columns, buckets: int) -> dict[str, list[str]]:
         """Write rows with their bucket column as a data folder; returns the folder of every bucket."""
-        stored = df.select(*(F.col(f"`{n}`").alias(s) for n, s in columns), BUCKET)
-        if buckets > 1:
-            # Rebalancing gathers a bucket's rows into few files, and AQE splits a large bucket again.
-            stored = stored.hint("rebalance", F.col(BUCKET))
         # A part number belongs to one attempt, so a retry never meets leftovers of a failed one.
-        part = time.time_ns()
-        folder = f"part={part}"
-        stored.write.partitionBy(BUCKET).parquet(f"{self._folder(name)}/data/{folder}")
-        written = self._files.names(f"{self._folder(name)}/data/{folder}")
+        folder = f"part={time.time_ns()}"
+        path = f"{self._folder(name)}/data/{folder}"
+        stored = df.select(*(F.col(f"`{n}`").alias(s) for n, s in columns), BUCKET)
+        if buckets == 1:
+            stored.drop(BUCKET).write.parquet(f"{path}/{BUCKET}=0")
+            return {"0": [f"{folder}/{BUCKET}=0"]}
+        # Rebalancing gathers a bucket's rows into few files, and AQE splits a large bucket again.
+        stored.hint("rebalance", F.col(BUCKET)).write.partitionBy(BUCKET).parquet(path)
         prefix = f"{BUCKET}="
-        return {f[len(prefix) :]: [f"{folder}/{f}"] for f in written if f.startswith(prefix)}
+        return {f[len(prefix) :]: [f"{folder}/{f}"] for f in self._files.names(path) if f.startswith(prefix)}
+
+    def create(self, name: str, schema: T.StructType) -> Version:
+        """Make an empty table unless it exists; needs no Spark job."""
+        if self.exists(name):
+            return self.version(name)
+        return self._commit(name, Version(1, schema.json(), tuple((n, n) for n in schema.names)))
+
+    def is_empty(self, name: str) -> bool:
+        """Whether the current version has no data folder at all."""
+        return not self.version(name).folders
 
     def publish(
         self,
@@ -231,9 +241,7 @@ class TableStore:
 
     def append(self, name: str, df: DataFrame, batch: tuple[str, int] | None = None) -> Version:
         """Publish a version with more rows; columns the new rows lack are NULL. Reads no old data."""
-        if not self.exists(name):
-            self.publish(name, df.limit(0))
-        base = self.version(name)
+        base = self.create(name, df.schema)
         fields = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(base.schema)).fields}
         extra = set(df.columns) - set(base.names)
         if extra:

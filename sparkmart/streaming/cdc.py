@@ -201,7 +201,7 @@ class ChangeApplier:
 
     def _gated(self) -> set[tuple[int, TableKey]]:
         """Marts and tables with a pending rename suggestion."""
-        if self.evolution is None:
+        if self.evolution is None or self.store.is_empty(self.evolution.SUGGESTIONS):
             return set()
         pending = self.evolution.suggestions().select("view_id", "db", "schema", "table").distinct()
         return {(r[0], TableKey(*r[1:])) for r in pending.toLocalIterator()}
