@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -115,18 +116,21 @@ class Evolution:
         return self.store.read(self.ITEMS)
 
     def record(self, report: DataFrame) -> None:
-        """Open or refresh the groups of a drift report; a report without findings writes nothing."""
-        now = F.lit(self.store.spark.range(1).select(F.current_timestamp()).first()[0])
-        report = report.persist()
-        try:
-            if report.isEmpty():
-                return
-            groups, items = drift.upsert_groups(report, self.groups(), self.items(), now)
-            # Items go first: an item without its group is never shown, a group without items would be.
-            self.store.publish(self.ITEMS, items)
-            self.store.publish(self.GROUPS, groups)
-        finally:
-            report.unpersist()
+        """Open or refresh the groups of a drift report; a report without findings writes nothing.
+
+        The report is read several times: settle it first.
+        """
+        if report.isEmpty():
+            return
+        now = F.lit(datetime.datetime.now(datetime.timezone.utc))
+        groups, items = drift.upsert_groups(report, self.groups(), self.items(), now)
+        # Items go first: an item without its group is never shown, a group without items would be.
+        self.store.publish(self.ITEMS, items)
+        self.store.publish(self.GROUPS, groups)
+
+    def state(self) -> tuple[int, ...]:
+        """Version numbers of the drift tables, to tell whether anything changed."""
+        return tuple(self.store.version(t).number for t in (self.GROUPS, self.ITEMS, self.SUGGESTIONS))
 
     def list_groups(self, limit=None, offset=None, **filters) -> DataFrame:
         """Groups matching the given columns, newest first; ``status="all"`` means any."""
@@ -173,12 +177,9 @@ class Evolution:
             F.lit(None).cast("string").alias("task_number"),
             F.current_timestamp().alias("created_at"),
         )
-        fresh = found.join(self.suggestions().select("id"), "id", "left_anti").persist()
-        try:
-            if not fresh.isEmpty():
-                self.store.append(self.SUGGESTIONS, fresh)
-        finally:
-            fresh.unpersist()
+        fresh = found.join(self.suggestions().select("id"), "id", "left_anti")
+        if not fresh.isEmpty():
+            self.store.append(self.SUGGESTIONS, fresh)
 
     def list_suggestions(self, limit=None, offset=None, newest_first: bool = True, **filters) -> DataFrame:
         kept = match_all(self.suggestions(), filters)

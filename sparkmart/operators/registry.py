@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from sparkmart.errors import NotFound
 from sparkmart.functions.types import row_type
 from sparkmart.plans.spec import MartSpec
+from sparkmart.session import local_frame
 from sparkmart.sources.change_log import topic_name
 from sparkmart.store import TableStore
 
@@ -172,7 +173,7 @@ class Registry:
         """Store a spec and return its id."""
         last = self.frame().agg(F.max("id")).first()[0]
         new_id = (last or 0) + 1
-        row = self.store.spark.createDataFrame([(new_id, spec.to_json())], REGISTRY)
+        row = local_frame(self.store.spark, [(new_id, spec.to_json())], REGISTRY)
         self.store.append(self.TABLE, row)
         return new_id
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from sparkmart.errors import NotFound
 from sparkmart.functions.types import row_type
 from sparkmart.operators.paging import in_range, paginate
+from sparkmart.session import local_frame
 from sparkmart.store import TableStore
 
 # The states a run can be in.
@@ -56,10 +58,8 @@ class RunLog:
             raise ValueError("a task needs an id")
         if status not in STATUSES:
             raise ValueError(f"unknown status {status!r}")
-        row = self.store.spark.createDataFrame(
-            [(task_id, status, comment)], "task_id string, status string, comment string"
-        )
-        self.store.append(self.TABLE, row.withColumn("at", F.current_timestamp()))
+        now = datetime.datetime.now(datetime.timezone.utc)
+        self.store.append(self.TABLE, local_frame(self.store.spark, [(task_id, now, status, comment)], LOG))
 
     def create(self, status: str = IN_PROGRESS, task_id: str | None = None) -> str:
         task_id = task_id if task_id is not None else str(uuid.uuid4())

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Run-time SQL settings the plans rely on. AQE sizes the shuffles, splits skewed join partitions and
 # turns a join into a broadcast only after it has measured the side. Forcing the skew split matters for
@@ -63,6 +67,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/sparkmart/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def local_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows of metadata as a local relation, whose exact size the planner knows."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema.names), schema)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read to the shared folder, and read it back.
 

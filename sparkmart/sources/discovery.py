@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from sparkmart.functions.types import type_name
 from sparkmart.operators.paging import paginate
 from sparkmart.plans.spec import TableKey
+from sparkmart.session import local_frame
 from sparkmart.sources.catalog import JdbcSource, SourceCatalog
 
 _TABLE = ("source", "schema", "table")
@@ -40,7 +41,7 @@ def column_catalog(spark: SparkSession, catalog: SourceCatalog, keys: Iterable[T
         for k in keys
         for i, f in enumerate(catalog.table(k).schema.fields, 1)
     ]
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+    return local_frame(spark, rows, COLUMN_SCHEMA)
 
 
 def jdbc_column_catalog(spark: SparkSession, source: str, jdbc: JdbcSource) -> DataFrame:

@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmart.errors import NotFound, SpecError
+from sparkmart.session import local_frame
 
 log = logging.getLogger(__name__)
 
 BUCKET = "_bucket"
 
+_COLUMN_LIST = T.StructType().add("mart", T.StringType()).add("column", T.StringType()).add("ordinal", T.IntegerType())
+
 
 @dataclass(frozen=True)
 class Version:
@@ -165,13 +168,13 @@ class TableStore:
             reader = self.spark.read.schema(stored).option("basePath", data)
             df = reader.parquet(*[f"{data}/{f}" for f in folders])
         else:
-            df = self.spark.createDataFrame([], stored)
+            df = local_frame(self.spark, [], stored)
         return df.select(*(F.col(f"`{s}`").alias(n) for n, s in version.columns), BUCKET)
 
     def columns(self, name: str) -> DataFrame:
         """The table's columns in order as ``(mart, column, ordinal)``."""
         rows = [(name, c, i) for i, c in enumerate(self.version(name).names, 1)]
-        return self.spark.createDataFrame(rows, "mart string, column string, ordinal int")
+        return local_frame(self.spark, rows, _COLUMN_LIST)
 
     # -- writing --------------------------------------------------------------------------------
 

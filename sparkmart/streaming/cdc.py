@@ -8,7 +8,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkmart.functions.types import row_type
 from sparkmart.operators import drift
 from sparkmart.operators.changes import conflict_columns, fold, keyless_events, partial_rows
 from sparkmart.operators.evolve import Evolution
@@ -17,7 +19,7 @@ from sparkmart.operators.routing import data_events, observed_columns
 from sparkmart.operators.upsert import append_rows, by_conflict_set, merge
 from sparkmart.plans.mart import UPDATED_AT, mart_frame, order_key, stamp
 from sparkmart.plans.spec import MartSpec, TableKey
-from sparkmart.session import settle
+from sparkmart.session import local_frame, settle
 from sparkmart.sources.catalog import SourceCatalog
 from sparkmart.sources.change_log import bad_in, events_in, parse
 from sparkmart.store import BUCKET, TableStore, Version, bucket_of
@@ -26,6 +28,11 @@ log = logging.getLogger(__name__)
 
 BAD_RECORDS = "bad_records"
 
+_TEXT = T.StringType()
+_TABLES = row_type(db=_TEXT, schema=_TEXT, table=_TEXT)
+_SOURCE = row_type(db=_TEXT, schema=_TEXT, table=_TEXT, column=_TEXT, type=_TEXT)
+_MARTS = row_type(view_id=T.LongType(), column=_TEXT)
+
 
 def layout_columns(spec: MartSpec) -> tuple[str, ...]:
     """Columns to lay a mart out by: a table's conflict columns that no event can overwrite.
@@ -121,6 +128,7 @@ class ChangeApplier:
         self.store, self.registry, self.evolution = store, registry, evolution
         self.source_columns, self.auto_suggest = source_columns, auto_suggest
         self.name, self.profile, self.ts_unit, self.parallel = name, profile, ts_unit, parallel
+        self._checked = None
 
     # -- one batch ------------------------------------------------------------------------------
 
@@ -167,37 +175,36 @@ class ChangeApplier:
             bad.unpersist()
 
     def _check_drift(self, events: DataFrame, present: set[TableKey], specs: dict[int, MartSpec]) -> None:
-        """Compare the touched tables of all marts once per batch."""
-        if self.evolution is None or self.source_columns is None or not present:
+        """Compare the touched tables of all marts, unless nothing changed since the last comparison."""
+        built = {i: self.store.version(s.name).names for i, s in specs.items() if self.store.exists(s.name)}
+        if self.evolution is None or self.source_columns is None or not present or not built:
             return
-        spark = self.store.spark
-        touched = spark.createDataFrame([(k.source, k.schema, k.table) for k in present], "db string, schema string, table string")
         if self.source_columns == "observed":
             seen = observed_columns(data_events(events))
-            source = seen.withColumn("type", F.lit(None).cast("string"))
+            found = seen.withColumn("type", F.lit(None).cast("string"))
         else:
-            source = self.source_columns(present)
-        built = [(i, s.name) for i, s in specs.items() if self.store.exists(s.name)]
-        if not built:
+            found = self.source_columns(present)
+        # Column lists are metadata: at most the columns of the tables the marts use.
+        source = sorted({tuple(r) for r in found.select(*_SOURCE.names).toLocalIterator()}, key=repr)
+        state = [source, present, specs, built, self.evolution.state()]
+        if state == self._checked:
             return
-        marts = spark.createDataFrame(
-            [(i, c) for i, n in built for c in self.store.version(n).names], "view_id bigint, column string"
-        )
-        registry = self.registry.frame().where(F.col("id").isin([i for i, _ in built]))
+        spark = self.store.spark
+        touched = local_frame(spark, [(k.source, k.schema, k.table) for k in present], _TABLES)
+        registry = self.registry.frame().where(F.col("id").isin(list(built)))
         spec = spec_columns(registry)
         report = drift.drift_report(
-            source,
-            spec.join(touched, ["db", "schema", "table"], "left_semi"),
-            marts,
+            local_frame(spark, source, _SOURCE),
+            spec.join(touched, _TABLES.names, "left_semi"),
+            local_frame(spark, [(i, c) for i, names in built.items() for c in names], _MARTS),
             # Columns of the mart's other tables belong to the spec as well.
             extra_targets(registry).union(spec.select("view_id", "target")),
-        ).persist()
-        try:
-            self.evolution.record(report)
-            if self.auto_suggest:
-                self.evolution.suggest(report)
-        finally:
-            report.unpersist()
+        )
+        report = settle(report, "drift")
+        self.evolution.record(report)
+        if self.auto_suggest:
+            self.evolution.suggest(report)
+        self._checked = [*state[:-1], self.evolution.state()]
 
     def _gated(self) -> set[tuple[int, TableKey]]:
         """Marts and tables with a pending rename suggestion."""
