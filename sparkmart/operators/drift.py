@@ -137,13 +137,14 @@ def drift_report(
     alias_aware: bool = True,
     source_types: bool = True,
     renames: bool = True,
+    scratch: str | None = None,
 ) -> DataFrame:
     """All findings as ``(view_id, db, schema, table, type, old, new, score)``.
 
     ``extra`` lists further mart columns a spec creates, which are therefore not mart-only. With
     ``source_types=False`` only spec types take part in the rename score.
     """
-    seen = settle(column_presence(source, spec, mart, alias_aware), "columns")
+    seen = settle(column_presence(source, spec, mart, alias_aware), "columns", scratch)
     none, no_score = F.lit(None).cast("string"), F.lit(None).cast("double")
     kind = F.when(F.col("in_spec") & ~F.col("in_source"), SCHEMA_ONLY).when(
         F.col("in_spec") & F.col("in_source") & ~F.col("in_mart"), MISSING_IN_MART

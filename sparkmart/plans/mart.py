@@ -26,7 +26,7 @@ def mart_frame(
     catalog: SourceCatalog,
     profile: str = "full",
     on_bad_cast: str = "fail",
-    check_nulls: bool = False,
+    check_nulls: bool = True,
     strict: bool = False,
     composite: bool = False,
 ) -> DataFrame:
@@ -34,6 +34,7 @@ def mart_frame(
 
     Each table is projected once to its mart columns plus the source columns its join rules name, so a
     rule works on source names whatever the aliases are. Tables outside the join tree are not scanned.
+    A NULL in a column that the spec does not call nullable fails the load, unless ``check_nulls`` is off.
     """
     plan = plan_joins(spec, strict=strict, composite=composite)
     slots = {t.key: i for i, t in enumerate(spec.tables) if t.key in plan.tables}

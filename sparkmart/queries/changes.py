@@ -9,6 +9,7 @@ from sparkmart.operators.evolve import Evolution
 from sparkmart.operators.registry import Registry, routes
 from sparkmart.operators.routing import data_events, known_op, observed_columns, route, write_gate
 from sparkmart.operators.upsert import apply_events
+from sparkmart.plans.build import build_mart
 from sparkmart.plans.mart import current_view, mart_frame
 from sparkmart.plans.spec import JsonField, Transform
 from sparkmart.queries.base import PUBLIC, SHOP, catalog, column, mart, on, query, read, table, table_key
@@ -16,7 +17,7 @@ from sparkmart.queries.listings import supplier_registry
 from sparkmart.session import scratch_path
 from sparkmart.sources import change_log
 from sparkmart.store import TableStore
-from sparkmart.streaming.cdc import ChangeApplier, apply_stream, build_mart
+from sparkmart.streaming.cdc import ChangeApplier, apply_stream
 
 
 def _key(name: str = "user_id", **facts):

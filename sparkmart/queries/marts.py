@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from sparkmart.functions.transform import align, stage
 from sparkmart.operators.registry import Registry
+from sparkmart.plans.build import build_mart
 from sparkmart.plans.mart import current_view, mart_frame
 from sparkmart.plans.spec import JsonField, MartSpec, Transform
 from sparkmart.queries.base import CRM, SHOP, catalog, column, mart, on, query, read, table
 from sparkmart.session import scratch_path
 from sparkmart.sources.catalog import count_spec_tables
 from sparkmart.store import TableStore
-from sparkmart.streaming.cdc import build_mart
 
 CUSTOMER_ORDERS = mart(
     "customer_orders",

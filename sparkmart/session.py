@@ -50,16 +50,13 @@ def shared_folder(spark: SparkSession) -> str:
     Without that setting a temporary folder is used, but only on a local master: on a cluster a
     machine-local folder would lose data with its machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sparkmart-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkmart-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -74,11 +71,12 @@ def local_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema.names), schema)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
     """Write a result that several later steps read to the shared folder, and read it back.
 
     The steps then neither recompute it nor lose it with an executor, and the planner knows its size.
+    ``under`` names a folder the caller removes afterwards.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = f"{under}/{name}-{uuid.uuid4().hex[:12]}" if under else scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,15 +15,22 @@ from sparkmart.plans.spec import MartSpec, TableKey
 
 @dataclass(frozen=True)
 class FileSource:
-    """Tables kept as files; ``path`` may use ``{schema}`` and ``{table}``."""
+    """Tables kept as files; ``path`` may use ``{schema}`` and ``{table}``.
+
+    ``schemas`` gives the columns of tables in formats that do not carry them, as DDL by table name.
+    """
 
     path: str
     format: str = "parquet"
     options: Mapping[str, str] = field(default_factory=dict)
+    schemas: Mapping[str, str] = field(default_factory=dict)
 
     def read(self, spark: SparkSession, key: TableKey) -> DataFrame:
         path = self.path.format(schema=key.schema, table=key.table)
-        return spark.read.format(self.format).options(**self.options).load(path)
+        reader = spark.read.format(self.format).options(**self.options)
+        if key.table in self.schemas:
+            reader = reader.schema(self.schemas[key.table])
+        return reader.load(path)
 
 
 @dataclass(frozen=True)

@@ -49,22 +49,30 @@ def drop_staging_topics(df: DataFrame, column: str = "topic") -> DataFrame:
     return df.where(~F.col(column).contains(STAGING_MARK))
 
 
-def kafka_options(servers: str, topics: Iterable[str] | None = None) -> dict[str, str]:
-    """Reader options: named topics, or every topic of the prefix so that new ones join by themselves."""
+def kafka_options(
+    servers: str, topics: Iterable[str] | None = None, min_partitions: int | None = None
+) -> dict[str, str]:
+    """Reader options: named topics, or every topic of the prefix so that new ones join by themselves.
+
+    ``min_partitions`` splits large topic partitions, so that parsing is not bound to their number.
+    """
     subject = (
         {"subscribe": ",".join(topics)}
         if topics is not None
         else {"subscribePattern": f"{TOPIC_PREFIX}(?!.*{STAGING_MARK}).*"}
     )
-    return {"kafka.bootstrap.servers": servers, "startingOffsets": "earliest", **subject}
+    more = {"minPartitions": str(min_partitions)} if min_partitions else {}
+    return {"kafka.bootstrap.servers": servers, "startingOffsets": "earliest", **subject, **more}
 
 
-def read_kafka(spark: SparkSession, servers: str, topics: Iterable[str] | None = None) -> DataFrame:
+def read_kafka(
+    spark: SparkSession, servers: str, topics: Iterable[str] | None = None, min_partitions: int | None = None
+) -> DataFrame:
     """The change stream from Kafka as ``(value, seq)``; needs the Kafka connector on the class path.
 
     Within a partition the offset is the order of arrival, and a key always stays in one partition.
     """
-    stream = spark.readStream.format("kafka").options(**kafka_options(servers, topics)).load()
+    stream = spark.readStream.format("kafka").options(**kafka_options(servers, topics, min_partitions)).load()
     return drop_staging_topics(stream).select(
         F.col("value").cast("string").alias("value"), F.col("offset").alias("seq")
     )

@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import logging
 import time
-import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmart.errors import NotFound, SpecError
+from sparkmart.files import Files
 from sparkmart.session import local_frame
 
 log = logging.getLogger(__name__)
@@ -49,6 +49,10 @@ class Version:
     def names(self) -> list[str]:
         return [n for n, _ in self.columns]
 
+    def crowded(self, folders: int) -> set[int]:
+        """Buckets that consist of at least so many folders."""
+        return {int(b) for b, fs in self.folders.items() if len(fs) >= folders}
+
     def to_json(self) -> str:
         return json.dumps(self.__dict__)
 
@@ -60,44 +64,6 @@ class Version:
         return Version(**raw)
 
 
-class _Files:
-    """The few file operations the store needs, on whatever file system the path names."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self._jvm = spark._jvm
-        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, path: str):
-        return self._jvm.org.apache.hadoop.fs.Path(path)
-
-    def names(self, path: str) -> list[str]:
-        folder = self._path(path)
-        return [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-
-    def read(self, path: str) -> str:
-        stream = self._fs.open(self._path(path))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def write_new(self, path: str, text: str) -> bool:
-        """Write a file that must not exist yet; False when somebody else wrote it first."""
-        target = self._path(path)
-        draft = self._path(f"{path[: path.rindex('/')]}/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        # The rename shows the file whole or not at all.
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            self._fs.delete(draft, False)
-            return False
-        return True
-
-    def remove(self, path: str) -> None:
-        self._fs.delete(self._path(path), True)
-
-
 def suggest_buckets(total_bytes: int, per_bucket: int = 4 << 30) -> int:
     """Bucket count for a mart of this size: a few gigabytes to rewrite per touched bucket."""
     return max(1, -(-total_bytes // per_bucket))
@@ -123,7 +89,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._files = _Files(spark, self.root)
+        self._files = Files(spark, self.root)
 
     # -- versions -------------------------------------------------------------------------------
 
@@ -258,10 +224,10 @@ class TableStore:
         rows = rows.withColumn(BUCKET, bucket_of(rows, base.bucket_by, base.buckets))
         return self.publish_buckets(name, base, rows, set(), batch)
 
-    def compact(self, name: str) -> Version:
-        """Rewrite the buckets that consist of several folders."""
+    def compact(self, name: str, folders: int = 2) -> Version:
+        """Rewrite the buckets that consist of at least so many folders."""
         base = self.version(name)
-        many = {int(b) for b, fs in base.folders.items() if len(fs) > 1}
+        many = base.crowded(folders)
         if not many:
             return base
         return self.publish_buckets(name, base, self.read_version(name, base, many), many)

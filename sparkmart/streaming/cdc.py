@@ -17,10 +17,10 @@ from sparkmart.operators.evolve import Evolution
 from sparkmart.operators.registry import Registry, extra_targets, spec_columns
 from sparkmart.operators.routing import data_events, observed_columns
 from sparkmart.operators.upsert import append_rows, by_conflict_set, merge
-from sparkmart.plans.mart import UPDATED_AT, mart_frame, order_key, stamp
+from sparkmart.plans.mart import UPDATED_AT
 from sparkmart.plans.spec import MartSpec, TableKey
-from sparkmart.session import local_frame, settle
-from sparkmart.sources.catalog import SourceCatalog
+from sparkmart.files import Files
+from sparkmart.session import local_frame, scratch_path, settle
 from sparkmart.sources.change_log import bad_in, events_in, parse
 from sparkmart.store import BUCKET, TableStore, Version, bucket_of
 
@@ -28,40 +28,15 @@ log = logging.getLogger(__name__)
 
 BAD_RECORDS = "bad_records"
 
+# Additions to a bucket before it is rewritten as one folder.
+MAX_FOLDERS = 16
+
 _TEXT = T.StringType()
 _TABLES = row_type(db=_TEXT, schema=_TEXT, table=_TEXT)
 _SOURCE = row_type(db=_TEXT, schema=_TEXT, table=_TEXT, column=_TEXT, type=_TEXT)
 _MARTS = row_type(view_id=T.LongType(), column=_TEXT)
 
 
-def layout_columns(spec: MartSpec) -> tuple[str, ...]:
-    """Columns to lay a mart out by: a table's conflict columns that no event can overwrite.
-
-    A row then never changes its bucket, so the keys of a change name the only buckets it can touch.
-    """
-    overwritten = {
-        n for t in spec.tables for n in t.written_columns() if n not in t.conflict_columns()
-    }
-    choices = [t.conflict_columns() for t in spec.tables]
-    return next((c for c in choices if c and not set(c) & overwritten), ())
-
-
-def build_mart(
-    store: TableStore,
-    spec: MartSpec,
-    catalog: SourceCatalog,
-    if_exists: str = "overwrite",
-    buckets: int = 1,
-    versioned: bool = False,
-    **options,
-) -> Version:
-    """Build a mart and publish it. A versioned mart keeps every version of a row with a time stamp."""
-    df = mart_frame(spec, catalog, **options)
-    if versioned:
-        return store.publish(spec.name, stamp(df), (order_key(spec),), buckets, if_exists)
-    return store.publish(spec.name, df, layout_columns(spec), buckets, if_exists)
-
-
 def touched_buckets(store: TableStore, name: str, base: Version, changes: DataFrame, keys: list[str]) -> set[int]:
     """The buckets that hold rows the changes match.
 
@@ -87,17 +62,19 @@ def upsert_table(
     batch: tuple[str, int] | None = None,
     profile: str = "full",
     ts_unit: str = "us",
+    scratch: str | None = None,
 ) -> Version:
     """Apply the events of one source table to a stored mart and publish the result.
 
-    Buckets with matching rows are rewritten; new rows are added next to the data that is there.
+    Buckets with matching rows are rewritten; new rows are added next to the data that is there. Buckets
+    that additions have split into many folders are rewritten along the way.
     """
     name, base = spec.name, store.version(spec.name)
     schema = store.read_version(name, base).drop(BUCKET).schema
     keys = conflict_columns(spec.table(key))
     rows = partial_rows(events, spec, key, schema, profile, ts_unit)
-    changes = settle(fold(rows, keys), "changes")
-    touched = touched_buckets(store, name, base, changes, keys)
+    changes = settle(fold(rows, keys), "changes", scratch)
+    touched = touched_buckets(store, name, base, changes, keys) | base.crowded(MAX_FOLDERS)
     merged = merge(store.read_version(name, base, touched), changes, keys)
     placed = F.coalesce(F.col(BUCKET), bucket_of(merged, base.bucket_by, base.buckets))
     return store.publish_buckets(name, base, merged.withColumn(BUCKET, placed), touched, batch)
@@ -109,6 +86,7 @@ class ChangeApplier:
     Every (mart, source table) of a batch is one published version tagged with the batch id, so replaying
     a batch after a failure repeats nothing. The registry is read per batch: a new mart joins by itself.
 
+    ``keep_versions`` deletes older mart versions after each batch; by default all are kept.
     ``source_columns`` gives the current source columns of the touched tables for the drift check;
     ``"observed"`` takes the columns seen in the events, ``None`` switches the check off.
     """
@@ -124,10 +102,12 @@ class ChangeApplier:
         profile: str = "full",
         ts_unit: str = "us",
         parallel: int = 4,
+        keep_versions: int | None = None,
     ):
         self.store, self.registry, self.evolution = store, registry, evolution
         self.source_columns, self.auto_suggest = source_columns, auto_suggest
         self.name, self.profile, self.ts_unit, self.parallel = name, profile, ts_unit, parallel
+        self.keep_versions = keep_versions
         self._checked = None
 
     # -- one batch ------------------------------------------------------------------------------
@@ -135,6 +115,7 @@ class ChangeApplier:
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
         # Every later step reads the parsed records; a lost cache block is parsed again from the source.
         parsed = parse(raw).persist()
+        scratch = scratch_path(self.store.spark, f"batch-{batch_id}")
         try:
             events = events_in(parsed)
             specs = self.registry.specs()
@@ -144,17 +125,20 @@ class ChangeApplier:
             work = {i: [t.key for t in s.tables if t.key in present] for i, s in specs.items()}
             work = {i: keys for i, keys in work.items() if keys}
             self._keep_bad(parsed, events, {specs[i]: keys for i, keys in work.items()}, batch_id)
-            self._check_drift(events, present, specs)
+            self._check_drift(events, present, specs, scratch)
             gated = self._gated()
             with ThreadPoolExecutor(max(1, self.parallel)) as pool:
                 jobs = [
-                    pool.submit(self._apply, specs[i], [k for k in keys if (i, k) not in gated], events, batch_id)
+                    pool.submit(
+                        self._apply, specs[i], [k for k in keys if (i, k) not in gated], events, batch_id, scratch
+                    )
                     for i, keys in work.items()
                 ]
                 for job in jobs:
                     job.result()  # a failed mart fails the batch, which is then replayed
         finally:
             parsed.unpersist()
+            Files(self.store.spark, scratch).remove(scratch)
 
     def _keep_bad(self, parsed: DataFrame, events: DataFrame, work: dict[MartSpec, list[TableKey]], batch_id: int) -> None:
         """Keep records that could not be used."""
@@ -174,7 +158,9 @@ class ChangeApplier:
         finally:
             bad.unpersist()
 
-    def _check_drift(self, events: DataFrame, present: set[TableKey], specs: dict[int, MartSpec]) -> None:
+    def _check_drift(
+        self, events: DataFrame, present: set[TableKey], specs: dict[int, MartSpec], scratch: str
+    ) -> None:
         """Compare the touched tables of all marts, unless nothing changed since the last comparison."""
         built = {i: self.store.version(s.name).names for i, s in specs.items() if self.store.exists(s.name)}
         if self.evolution is None or self.source_columns is None or not present or not built:
@@ -199,8 +185,9 @@ class ChangeApplier:
             local_frame(spark, [(i, c) for i, names in built.items() for c in names], _MARTS),
             # Columns of the mart's other tables belong to the spec as well.
             extra_targets(registry).union(spec.select("view_id", "target")),
+            scratch=scratch,
         )
-        report = settle(report, "drift")
+        report = settle(report, "drift", scratch)
         self.evolution.record(report)
         if self.auto_suggest:
             self.evolution.suggest(report)
@@ -216,7 +203,9 @@ class ChangeApplier:
     def _done(self, table: str, tag: str, batch_id: int) -> bool:
         return self.store.exists(table) and self.store.version(table).batches.get(tag, -1) >= batch_id
 
-    def _apply(self, spec: MartSpec, keys: list[TableKey], events: DataFrame, batch_id: int) -> None:
+    def _apply(
+        self, spec: MartSpec, keys: list[TableKey], events: DataFrame, batch_id: int, scratch: str
+    ) -> None:
         if not self.store.exists(spec.name):
             log.warning("mart %s is not built yet; its changes are skipped", spec.name)
             return
@@ -230,8 +219,11 @@ class ChangeApplier:
                 mart = self.store.read(spec.name)
                 rows = partial_rows(events, spec, key, mart.schema, self.profile, self.ts_unit)
                 self.store.append(spec.name, append_rows(mart, rows), batch)
+                self.store.compact(spec.name, MAX_FOLDERS)
             else:
-                upsert_table(self.store, spec, events, key, batch, self.profile, self.ts_unit)
+                upsert_table(self.store, spec, events, key, batch, self.profile, self.ts_unit, scratch)
+        if self.keep_versions:
+            self.store.prune(spec.name, self.keep_versions)
 
 
 def start_cdc(

@@ -15,7 +15,7 @@ from sparkmart.plans.spec import (
     rename_column,
     unique_names,
 )
-from sparkmart.sources.catalog import FrameSource, JdbcSource, SourceCatalog
+from sparkmart.sources.catalog import FileSource, FrameSource, JdbcSource, SourceCatalog, TableSource
 
 BASIC = {
     "view_name": "User_Basic",
@@ -225,3 +225,26 @@ def test_jdbc_options():
     assert options["partitionColumn"] == "id" and options["numPartitions"] == "4"
     assert (options["lowerBound"], options["upperBound"]) == ("1", "900")
     assert source.range_query(key("t"), "id") == 'SELECT MIN("id") AS lo, MAX("id") AS hi FROM "public"."t"'
+
+
+def test_file_and_table_sources(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "id long, name string")
+    df.write.json(str(tmp_path / "public" / "j"))
+    df.write.csv(str(tmp_path / "public" / "c"), header=True)
+    df.createOrReplaceTempView("unused")
+    path = str(tmp_path) + "/{schema}/{table}"
+    ddl = "id long, name string"
+    catalog = SourceCatalog(
+        spark,
+        {
+            "j": FileSource(path, "json", schemas={"j": ddl}),
+            "c": FileSource(path, "csv", {"header": "true"}, {"c": ddl}),
+            "t": TableSource(),
+        },
+    )
+    for k in (key("j", "j"), key("c", "c")):
+        assert [tuple(r) for r in catalog.table(k).collect()] == [(1, "x")]
+    spark.sql("CREATE DATABASE IF NOT EXISTS spec_db")
+    df.write.mode("overwrite").saveAsTable("spec_db.people")
+    assert catalog.table(TableKey("t", "spec_db", "people")).count() == 1
+    spark.sql("DROP DATABASE spec_db CASCADE")

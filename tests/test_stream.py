@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from sparkmart.operators.evolve import Evolution, Resolution
 from sparkmart.operators.registry import Registry
 from sparkmart.operators.runlog import COMPLETED, FAILED, RunLog
+from sparkmart.plans.build import build_mart, layout_columns, run_build
 from sparkmart.plans.mart import current_view
 from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, MartSpec, TableKey, TableSpec
 from sparkmart.sources import change_log
 from sparkmart.sources.catalog import FrameSource, SourceCatalog
-from sparkmart.streaming.cdc import BAD_RECORDS, ChangeApplier, apply_stream, build_mart, layout_columns, touched_buckets
+from sparkmart.streaming.cdc import BAD_RECORDS, ChangeApplier, apply_stream, touched_buckets
 
 USERS, ORDERS = TableKey("db", "public", "users"), TableKey("db", "public", "orders")
 
@@ -261,3 +262,40 @@ def test_run_log(spark, store):
         runs.create(FAILED, "")
     with pytest.raises(LookupError):
         runs.get("none")
+
+
+def test_builds_are_logged(spark, store):
+    s = Setup(spark, store)
+    runs = RunLog(store)
+    task = run_build(store, s.registry, runs, s.registry.add(NAMES), s.catalog, buckets=2)
+    assert runs.get(task).status == COMPLETED and store.read("names").count() == 20
+    broken = s.registry.add(spec_named("broken", ColumnSpec("no_such_column")))
+    with pytest.raises(ValueError):
+        run_build(store, s.registry, runs, broken, s.catalog)
+    assert runs.frame().where("status = 'Execution error' and comment like '%no_such_column%'").count() == 1
+    assert not store.exists("broken")
+
+
+def test_additions_are_gathered_again(spark, store, monkeypatch):
+    monkeypatch.setattr("sparkmart.streaming.cdc.MAX_FOLDERS", 3)
+    s = Setup(spark, store, keep_versions=2)
+    s.add(NAMES)
+    for i in range(4):
+        s.batch(i, record(i, {"id": 100 + i, "name": "new"}))
+    assert max(len(f) for f in store.version("names").folders.values()) <= 3
+    assert store.read("names").count() == 24
+    assert len(store._numbers("names")) == 2
+
+
+def test_scratch_folders_of_a_batch_are_removed(spark, store, tmp_path, monkeypatch):
+    used = []
+
+    def scratch(session, name):
+        used.append(tmp_path / name)
+        return str(tmp_path / name)
+
+    monkeypatch.setattr("sparkmart.streaming.cdc.scratch_path", scratch)
+    s = Setup(spark, store)
+    s.add(NAMES)
+    s.batch(0, record(1, {"id": 1, "name": "x"}))
+    assert used == [tmp_path / "batch-0"] and not used[0].exists()
