@@ -101,11 +101,12 @@ def partial_rows(
     mart_schema: T.StructType | None = None,
     profile: str = "full",
     ts_unit: str = "us",
+    need_keys: bool = True,
 ) -> DataFrame:
     """Typed partial rows of a mart from the decoded events of one of its tables.
 
-    Events that write none of the mart's columns are skipped, as are events that lack a key column:
-    ``keyless_events`` returns those.
+    Events that write none of the mart's columns are skipped. So are events that lack a key column, unless
+    the rows are only appended (``need_keys=False``); ``keyless_events`` returns those.
     """
     table = spec.table(key)
     writes = _writes(table, mart_schema, profile, ts_unit)
@@ -115,7 +116,7 @@ def partial_rows(
         *(p.alias(has(n)) for n, (_, p) in writes.items()),
     )
     keys = table.conflict_columns()
-    if keys:
+    if keys and need_keys:
         return rows.where(reduce(Column.__and__, [F.col(has(k)) for k in keys]))
     return rows.where(reduce(Column.__or__, [F.col(has(n)) for n in writes]))
 

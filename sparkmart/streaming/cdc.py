@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ class ChangeApplier:
             }
             work = {i: [t.key for t in s.tables if t.key in present] for i, s in specs.items()}
             work = {i: keys for i, keys in work.items() if keys}
-            self._keep_bad(parsed, events, {specs[i]: keys for i, keys in work.items()}, batch_id)
+            self._keep_bad(parsed, events, [(specs[i], k) for i, keys in work.items() for k in keys], batch_id)
             self._check_drift(events, present, specs, scratch)
             gated = self._gated()
             with ThreadPoolExecutor(max(1, self.parallel)) as pool:
@@ -140,18 +141,24 @@ class ChangeApplier:
             parsed.unpersist()
             Files(self.store.spark, scratch).remove(scratch)
 
-    def _keep_bad(self, parsed: DataFrame, events: DataFrame, work: dict[MartSpec, list[TableKey]], batch_id: int) -> None:
+    def _keep_bad(
+        self, parsed: DataFrame, events: DataFrame, work: list[tuple[MartSpec, TableKey]], batch_id: int
+    ) -> None:
         """Keep records that could not be used."""
         if self._done(BAD_RECORDS, self.name, batch_id):
             return
         bad = bad_in(parsed).select("value", F.lit("not an envelope").alias("reason"))
-        for spec, keys in work.items():
-            for key in keys:
-                lost = keyless_events(events, spec, key).select(
-                    F.to_json("after").alias("value"), F.lit(f"{key}: key column missing").alias("reason")
-                )
-                bad = bad.union(lost)
-        bad = bad.distinct().withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
+        lost = [
+            keyless_events(events, spec, key).select(
+                "seq", F.to_json("after").alias("value"), F.lit(f"{key}: key column missing").alias("reason")
+            )
+            for spec, key in work
+            if not self._versioned(spec)
+        ]
+        if lost:
+            # An event counts once, however many marts it cannot be applied to.
+            bad = bad.union(reduce(DataFrame.union, lost).distinct().drop("seq"))
+        bad = bad.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
         try:
             if not bad.isEmpty():
                 self.store.append(BAD_RECORDS, bad, (self.name, batch_id))
@@ -203,21 +210,27 @@ class ChangeApplier:
     def _done(self, table: str, tag: str, batch_id: int) -> bool:
         return self.store.exists(table) and self.store.version(table).batches.get(tag, -1) >= batch_id
 
+    def _versioned(self, spec: MartSpec) -> bool:
+        return self.store.exists(spec.name) and UPDATED_AT in self.store.version(spec.name).names
+
     def _apply(
         self, spec: MartSpec, keys: list[TableKey], events: DataFrame, batch_id: int, scratch: str
     ) -> None:
         if not self.store.exists(spec.name):
             log.warning("mart %s is not built yet; its changes are skipped", spec.name)
             return
-        versioned = UPDATED_AT in self.store.version(spec.name).names
+        versioned = self._versioned(spec)
         for key in by_conflict_set(spec, keys):
             tag = f"{self.name}:{key}"
             if self._done(spec.name, tag, batch_id):
                 continue
             batch = (tag, batch_id)
+            if not versioned and not spec.table(key).conflict_columns():
+                log.warning("table %s of mart %s has no update key; its changes cannot be applied", key, spec.name)
+                continue
             if versioned:
                 mart = self.store.read(spec.name)
-                rows = partial_rows(events, spec, key, mart.schema, self.profile, self.ts_unit)
+                rows = partial_rows(events, spec, key, mart.schema, self.profile, self.ts_unit, need_keys=False)
                 self.store.append(spec.name, append_rows(mart, rows), batch)
                 self.store.compact(spec.name, MAX_FOLDERS)
             else:

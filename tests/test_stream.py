@@ -9,7 +9,7 @@ from sparkmart.operators.registry import Registry
 from sparkmart.operators.runlog import COMPLETED, FAILED, RunLog
 from sparkmart.plans.build import build_mart, layout_columns, run_build
 from sparkmart.plans.mart import current_view
-from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, MartSpec, TableKey, TableSpec
+from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, JsonField, MartSpec, TableKey, TableSpec, Transform
 from sparkmart.sources import change_log
 from sparkmart.sources.catalog import FrameSource, SourceCatalog
 from sparkmart.streaming.cdc import BAD_RECORDS, ChangeApplier, apply_stream, touched_buckets
@@ -113,8 +113,11 @@ def test_fan_out_and_missing_mart(spark, store):
 def test_events_without_key_are_kept_aside(spark, store):
     s = Setup(spark, store)
     s.add(NAMES)
-    s.batch(0, record(1, {"name": "lost"}), record(2, {"unrelated": 1}))
-    assert [r[0] for r in store.read(BAD_RECORDS).select("reason").collect()] == ["db.public.users: key column missing"]
+    s.add(spec_named("copies", ColumnSpec("name", type="text")))
+    s.batch(0, record(1, {"name": "lost"}), record(2, {"unrelated": 1}), "same", "same")
+    assert [r[0] for r in store.read(BAD_RECORDS).select("reason").orderBy("reason").collect()] == [
+        "db.public.users: key column missing", "not an envelope", "not an envelope",
+    ]
     assert store.read("names").count() == 20
 
 
@@ -299,3 +302,28 @@ def test_scratch_folders_of_a_batch_are_removed(spark, store, tmp_path, monkeypa
     s.add(NAMES)
     s.batch(0, record(1, {"id": 1, "name": "x"}))
     assert used == [tmp_path / "batch-0"] and not used[0].exists()
+
+
+def test_marts_without_update_key(spark, store):
+    s = Setup(spark, store)
+    plain = MartSpec("plain", (TableSpec(USERS, (ColumnSpec("id", type="int8"), ColumnSpec("name", type="text"))),))
+    s.add(plain)
+    s.add(spec_named("history", ColumnSpec("name", type="text")), versioned=True)
+    s.batch(0, record(1, {"id": 1, "name": "x"}), record(2, {"name": "no key"}))
+    # Nothing can be matched in the one; the other appends whatever comes.
+    assert store.read("plain").count() == 20
+    assert rows_of(store.read("history").where("_seq > 0").select("id", "name")) == [(1, "x"), (None, "no key")]
+    assert not store.exists(BAD_RECORDS)
+
+
+def test_transforms_in_the_stream(spark, store):
+    s = Setup(spark, store, source_columns=lambda keys: source_columns(spark, ("id", "bigint"), ("name", "text")))
+    flat = Transform("JSON", fields=(JsonField("n", "n", "int"),))
+    labels = Transform("FieldTransform", values={"a": "first"}, output="label")
+    s.add(spec_named("flat", ColumnSpec("name", type="jsonb", transform=flat)), buckets=2)
+    s.add(spec_named("labels", ColumnSpec("name", type="text", transform=labels)))
+    s.batch(0, record(1, {"id": 1, "name": '{"n": 5}'}), record(2, {"id": 2, "name": "a"}))
+    assert rows_of(store.read("flat").where("n is not null").select("id", "n")) == [(1, 5)]
+    assert rows_of(store.read("labels").where("label is not null").select("id", "label")) == [(2, "first")]
+    # Transform outputs are part of the spec, so they are no drift.
+    assert s.evolution.groups().count() == 0
