@@ -6,7 +6,7 @@ whether the event wrote it: a present NULL is a value, an absent column is not.
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,35 +56,50 @@ def _lookup_text(c: Column, col: ColumnSpec) -> Column:
     return text
 
 
+@dataclass(frozen=True)
+class _Write:
+    """What one event writes to one mart column."""
+
+    value: Column
+    present: Column
+    bad: Column  # the event has a value that cannot be read as the column's type
+
+    def over(self, earlier: _Write | None) -> _Write:
+        """This write on top of an earlier one of the same event."""
+        if earlier is None:
+            return self
+        value = F.when(self.present, self.value).otherwise(earlier.value)
+        return _Write(value, earlier.present | self.present, earlier.bad | self.bad)
+
+
 def _writes(
-    table: TableSpec, schema: T.StructType | None, profile: str, ts_unit: str
-) -> dict[str, tuple[Column, Column]]:
-    """Mart column → (value, was it written) for one event."""
-    out: dict[str, tuple[Column, Column]] = {}
+    table: TableSpec, schema: T.StructType | None, profile: str, ts_unit: str, on_bad_cast: str
+) -> dict[str, _Write]:
+    """Mart column → what an event writes to it."""
+    out: dict[str, _Write] = {}
 
-    def write(name: str, value: Column, present: Column) -> None:
-        if name in out:  # a later write of the same event wins
-            old, had = out[name]
-            value, present = F.when(present, value).otherwise(old), had | present
-        out[name] = (value, present)
+    def write(name: str, value: Column, present: Column, text: Column) -> None:
+        bad = present & text.isNotNull() & value.isNull()
+        out[name] = _Write(value, present, bad).over(out.get(name))
 
     for raw in table.columns:
         col = _typed_like(raw, schema)
         payload = F.try_element_at("after", F.lit(col.name))
         present = F.map_contains_key("after", F.lit(col.name))
-        value = decode_change(payload, col, profile, ts_unit)
-        write(col.target, value, present)
+        value = decode_change(payload, col, profile, ts_unit, on_bad_cast)
+        write(col.target, value, present, payload)
         if col.is_update_key and col.view_key and col.view_key != col.target:
-            write(col.view_key, value, present)
+            write(col.view_key, value, present, payload)
         mapped = col.value_map()
         if mapped:
             label = map_value(_lookup_text(payload, col), mapped[1])
-            write(mapped[0], label, present & label.isNotNull())
+            write(mapped[0], label, present & label.isNotNull(), label)
         for f in col.json_fields():
             fields = json_text(payload)
+            text = F.try_element_at(fields, F.lit(f.key))
             found = F.coalesce(F.map_contains_key(fields, F.lit(f.key)), F.lit(False))
             typed = ColumnSpec(f.output, type=f.type or "text")
-            write(f.output, to_mart_type(F.try_element_at(fields, F.lit(f.key)), typed, profile), present & found)
+            write(f.output, to_mart_type(text, typed, profile, on_bad_cast), present & found, text)
     return out
 
 
@@ -102,25 +117,46 @@ def partial_rows(
     profile: str = "full",
     ts_unit: str = "us",
     need_keys: bool = True,
+    on_bad_value: str = "fail",
 ) -> DataFrame:
     """Typed partial rows of a mart from the decoded events of one of its tables.
 
     Events that write none of the mart's columns are skipped. So are events that lack a key column, unless
-    the rows are only appended (``need_keys=False``); ``keyless_events`` returns those.
+    the rows are only appended (``need_keys=False``); ``keyless_events`` returns those. A value that cannot
+    be read as its column's type fails the job (a temporal text becomes NULL); with ``on_bad_value="skip"``
+    its event is left out instead, and ``bad_value_events`` returns it.
     """
     table = spec.table(key)
-    writes = _writes(table, mart_schema, profile, ts_unit)
+    skip = on_bad_value == "skip"
+    writes = _writes(table, mart_schema, profile, ts_unit, "null" if skip else "fail")
     rows = events_of(events, key).select(
         F.col(SEQ),
-        *(v.alias(n) for n, (v, _) in writes.items()),
-        *(p.alias(has(n)) for n, (_, p) in writes.items()),
+        *(w.value.alias(n) for n, w in writes.items()),
+        *(w.present.alias(has(n)) for n, w in writes.items()),
+        *((reduce(Column.__or__, [w.bad for w in writes.values()]).alias("_bad"),) if skip else ()),
     )
+    if skip:
+        rows = rows.where(~F.col("_bad")).drop("_bad")
     keys = table.conflict_columns()
     if keys and need_keys:
         return rows.where(reduce(Column.__and__, [F.col(has(k)) for k in keys]))
     return rows.where(reduce(Column.__or__, [F.col(has(n)) for n in writes]))
 
 
+def bad_value_events(
+    events: DataFrame,
+    spec: MartSpec,
+    key: TableKey,
+    mart_schema: T.StructType | None = None,
+    profile: str = "full",
+    ts_unit: str = "us",
+) -> DataFrame:
+    """Data-changing events with a value their mart column cannot hold, with those columns' names."""
+    writes = _writes(spec.table(key), mart_schema, profile, ts_unit, "null")
+    names = F.concat_ws(", ", *[F.when(w.bad, F.lit(n)) for n, w in writes.items()])
+    return events_of(events, key).withColumn("bad_columns", names).where(F.col("bad_columns") != "")
+
+
 def keyless_events(events: DataFrame, spec: MartSpec, key: TableKey) -> DataFrame:
     """Data-changing events that have mart columns but not every key column of their table."""
     table = spec.table(key)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from sparkmart.functions.types import row_type
 from sparkmart.operators import drift
-from sparkmart.operators.changes import conflict_columns, fold, keyless_events, partial_rows
+from sparkmart.operators.changes import bad_value_events, conflict_columns, fold, keyless_events, partial_rows
 from sparkmart.operators.evolve import Evolution
 from sparkmart.operators.registry import Registry, extra_targets, spec_columns
 from sparkmart.operators.routing import data_events, observed_columns
@@ -67,13 +67,13 @@ def upsert_table(
 ) -> Version:
     """Apply the events of one source table to a stored mart and publish the result.
 
-    Buckets with matching rows are rewritten; new rows are added next to the data that is there. Buckets
+    Events with a value the mart cannot hold are left out. Buckets with matching rows are rewritten; new rows are added next to the data that is there. Buckets
     that additions have split into many folders are rewritten along the way.
     """
     name, base = spec.name, store.version(spec.name)
     schema = store.read_version(name, base).drop(BUCKET).schema
     keys = conflict_columns(spec.table(key))
-    rows = partial_rows(events, spec, key, schema, profile, ts_unit)
+    rows = partial_rows(events, spec, key, schema, profile, ts_unit, on_bad_value="skip")
     changes = settle(fold(rows, keys), "changes", scratch)
     touched = touched_buckets(store, name, base, changes, keys) | base.crowded(MAX_FOLDERS)
     merged = merge(store.read_version(name, base, touched), changes, keys)
@@ -148,13 +148,18 @@ class ChangeApplier:
         if self._done(BAD_RECORDS, self.name, batch_id):
             return
         bad = bad_in(parsed).select("value", F.lit("not an envelope").alias("reason"))
-        lost = [
-            keyless_events(events, spec, key).select(
-                "seq", F.to_json("after").alias("value"), F.lit(f"{key}: key column missing").alias("reason")
-            )
-            for spec, key in work
-            if not self._versioned(spec)
-        ]
+        lost = []
+        for spec, key in work:
+            if not self.store.exists(spec.name):
+                continue
+            schema = self.store.read(spec.name).schema
+            wrong = bad_value_events(events, spec, key, schema, self.profile, self.ts_unit)
+            reason = F.concat(F.lit(f"{key}: bad value for "), "bad_columns")
+            lost.append(wrong.select("seq", F.to_json("after").alias("value"), reason.alias("reason")))
+            if not self._versioned(spec):
+                keyless = keyless_events(events, spec, key)
+                reason = F.lit(f"{key}: key column missing")
+                lost.append(keyless.select("seq", F.to_json("after").alias("value"), reason.alias("reason")))
         if lost:
             # An event counts once, however many marts it cannot be applied to.
             bad = bad.union(reduce(DataFrame.union, lost).distinct().drop("seq"))
@@ -230,7 +235,7 @@ class ChangeApplier:
                 continue
             if versioned:
                 mart = self.store.read(spec.name)
-                rows = partial_rows(events, spec, key, mart.schema, self.profile, self.ts_unit, need_keys=False)
+                rows = partial_rows(events, spec, key, mart.schema, self.profile, self.ts_unit, False, "skip")
                 self.store.append(spec.name, append_rows(mart, rows), batch)
                 self.store.compact(spec.name, MAX_FOLDERS)
             else:

@@ -327,3 +327,21 @@ def test_transforms_in_the_stream(spark, store):
     assert rows_of(store.read("labels").where("label is not null").select("id", "label")) == [(2, "first")]
     # Transform outputs are part of the spec, so they are no drift.
     assert s.evolution.groups().count() == 0
+
+
+def test_bad_values_do_not_stop_the_stream(spark, store):
+    s = Setup(spark, store)
+    flat = Transform("JSON", fields=(JsonField("n", "n", "int"),))
+    s.add(spec_named("typed", ColumnSpec("name", type="jsonb", transform=flat)))
+    s.batch(
+        0,
+        record(1, {"id": "one", "name": "{}"}),
+        record(2, {"id": 2, "name": '{"n": "many"}'}),
+        record(3, {"id": 3, "name": '{"n": 3}'}),
+        record(4, {"id": 4, "name": None}),
+    )
+    assert rows_of(store.read("typed").where("n is not null or name is null").select("id", "n")) == [(3, 3), (4, None)]
+    assert rows_of(store.read("typed").where("id = 2").select("name")) == [("n2",)]
+    assert [r[0] for r in store.read(BAD_RECORDS).select("reason").orderBy("reason").collect()] == [
+        "db.public.users: bad value for id", "db.public.users: bad value for n",
+    ]
