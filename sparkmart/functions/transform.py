@@ -65,14 +65,14 @@ def staged_columns(
     declared not nullable fails the load.
     """
     reject_duplicates(table)
-    have = set(df.columns)
+    have = {c.lower() for c in df.columns}
     out: dict[str, Column] = {}
     for col in table.columns:
         if col.is_deleted:
             kept = spark_type(col, profile) if col.has_type else T.StringType()
             out[col.target] = F.lit(None).cast(kept)
             continue
-        if col.name not in have:
+        if col.name.lower() not in have:
             raise SpecError(f"column {col.name} is not in {table.key}")
         value = to_mart_type(F.col(f"`{col.name}`"), col, profile, on_bad_cast)
         out[col.target] = _not_null(value, table, col) if check_nulls and not col.is_nullable else value

@@ -184,7 +184,7 @@ def drift_report(
     return report.unionByName(likely.withColumn("type", F.lit(RENAME)))
 
 
-def _id(*columns) -> Column:
+def content_id(*columns) -> Column:
     """A positive id derived from content, so that replaying a batch gives the same id."""
     return F.xxhash64(*columns).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
@@ -209,7 +209,7 @@ def upsert_groups(
     key = ["schema_id", "database_name", "schema_name", "table_name"]
     opened = groups.where(F.col("status") == _OPEN).select(F.col("id").alias("open_id"), *key)
     checked = found.select(*key).distinct().join(opened, key, "left")
-    fresh_id = _id(*key, now)
+    fresh_id = content_id(*key, now)
     current = checked.select(*key, F.coalesce("open_id", fresh_id).alias("id"), F.col("open_id").isNull().alias("fresh"))
     created = current.where("fresh").select(
         "id",
@@ -220,7 +220,7 @@ def upsert_groups(
     )
     with_group = found.join(current.select(*key, F.col("id").alias("group_id")), key)
     new_items = with_group.select(
-        _id("group_id", "type", "old", "new").alias("id"),
+        content_id("group_id", "type", "old", "new").alias("id"),
         "group_id",
         F.col("old").alias("old_column_name"),
         F.col("new").alias("new_column_name"),

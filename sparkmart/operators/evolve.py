@@ -96,6 +96,23 @@ def project_change(mart: DataFrame, change: Change) -> DataFrame:
     return mart.select(*(F.col(f"`{c}`").alias(n) for c, n in names if n not in change.drops))
 
 
+def new_suggestions(report: DataFrame, pending: DataFrame, strategy: str = "heuristic") -> DataFrame:
+    """The rename findings of a report that are not suggested yet."""
+    found = report.where(F.col("type") == drift.RENAME).select(
+        drift.content_id("view_id", "db", "schema", "table", "old", "new").alias("id"),
+        "view_id",
+        "db",
+        "schema",
+        "table",
+        F.col("old").alias("old_column_name"),
+        F.col("new").alias("new_column_name"),
+        F.lit(strategy).alias("strategy"),
+        F.lit(None).cast("string").alias("task_number"),
+        F.current_timestamp().alias("created_at"),
+    )
+    return found.join(pending.select("id"), "id", "left_anti")
+
+
 class Evolution:
     """Mismatch groups and rename suggestions kept in a table store."""
 
@@ -165,21 +182,9 @@ class Evolution:
 
     def suggest(self, report: DataFrame, strategy: str = "heuristic") -> None:
         """Turn the rename findings of a report into pending suggestions, once each."""
-        found = report.where(F.col("type") == drift.RENAME).select(
-            drift._id("view_id", "db", "schema", "table", "old", "new").alias("id"),
-            "view_id",
-            "db",
-            "schema",
-            "table",
-            F.col("old").alias("old_column_name"),
-            F.col("new").alias("new_column_name"),
-            F.lit(strategy).alias("strategy"),
-            F.lit(None).cast("string").alias("task_number"),
-            F.current_timestamp().alias("created_at"),
-        )
-        fresh = found.join(self.suggestions().select("id"), "id", "left_anti")
+        fresh = new_suggestions(report, self.suggestions(), strategy)
         if not fresh.isEmpty():
-            self.store.append(self.SUGGESTIONS, fresh)
+            self.store.append_small(self.SUGGESTIONS, fresh)
 
     def list_suggestions(self, limit=None, offset=None, newest_first: bool = True, **filters) -> DataFrame:
         kept = match_all(self.suggestions(), filters)

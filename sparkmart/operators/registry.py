@@ -174,7 +174,7 @@ class Registry:
         last = self.frame().agg(F.max("id")).first()[0]
         new_id = (last or 0) + 1
         row = local_frame(self.store.spark, [(new_id, spec.to_json())], REGISTRY)
-        self.store.append(self.TABLE, row)
+        self.store.append_small(self.TABLE, row)
         return new_id
 
     def get(self, view_id: int) -> MartSpec:

@@ -59,7 +59,7 @@ class RunLog:
         if status not in STATUSES:
             raise ValueError(f"unknown status {status!r}")
         now = datetime.datetime.now(datetime.timezone.utc)
-        self.store.append(self.TABLE, local_frame(self.store.spark, [(task_id, now, status, comment)], LOG))
+        self.store.append_small(self.TABLE, local_frame(self.store.spark, [(task_id, now, status, comment)], LOG))
 
     def create(self, status: str = IN_PROGRESS, task_id: str | None = None) -> str:
         task_id = task_id if task_id is not None else str(uuid.uuid4())

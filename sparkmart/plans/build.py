@@ -7,7 +7,10 @@ from sparkmart.operators.runlog import COMPLETED, FAILED, RunLog
 from sparkmart.plans.mart import mart_frame, order_key, stamp
 from sparkmart.plans.spec import MartSpec
 from sparkmart.sources.catalog import SourceCatalog
-from sparkmart.store import TableStore, Version
+from sparkmart.store import TableStore, Version, suggest_buckets
+
+# Spark gives data of unknown size a size near the largest long.
+_UNKNOWN_SIZE = 1 << 60
 
 
 def layout_columns(spec: MartSpec) -> tuple[str, ...]:
@@ -22,17 +25,29 @@ def layout_columns(spec: MartSpec) -> tuple[str, ...]:
     return next((c for c in choices if c and not set(c) & overwritten), ())
 
 
+def default_buckets(spec: MartSpec, catalog: SourceCatalog) -> int:
+    """Bucket count from the planner's size of the largest source table; one where it knows none."""
+    plans = (catalog.table(t.key)._jdf.queryExecution().optimizedPlan() for t in spec.tables)
+    sizes = [int(str(p.stats().sizeInBytes())) for p in plans]
+    known = [s for s in sizes if s < _UNKNOWN_SIZE]
+    return suggest_buckets(max(known, default=0))
+
+
 def build_mart(
     store: TableStore,
     spec: MartSpec,
     catalog: SourceCatalog,
     if_exists: str = "overwrite",
-    buckets: int = 1,
+    buckets: int | None = None,
     versioned: bool = False,
     **options,
 ) -> Version:
-    """Build a mart and publish it. A versioned mart keeps every version of a row with a time stamp."""
+    """Build a mart and publish it. A versioned mart keeps every version of a row with a time stamp.
+
+    Without a bucket count, the size of the largest source table decides.
+    """
     df = mart_frame(spec, catalog, **options)
+    buckets = default_buckets(spec, catalog) if buckets is None else buckets
     if versioned:
         return store.publish(spec.name, stamp(df), (order_key(spec),), buckets, if_exists)
     return store.publish(spec.name, df, layout_columns(spec), buckets, if_exists)

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkmart.operators import drift
-from sparkmart.operators.evolve import Resolution, plan_resolution, project_change
+from sparkmart.operators.evolve import SUGGESTIONS, Resolution, new_suggestions, plan_resolution, project_change
 from sparkmart.operators.paging import match_all, ordered_page
 from sparkmart.plans.mart import mart_frame
 from sparkmart.queries.base import catalog, query, read, table_key
 from sparkmart.queries.marts import CUSTOMER_ORDERS
-from sparkmart.session import settle
+from sparkmart.session import local_frame, settle
 
 _LINES_SQL = """
 WITH lines AS (
@@ -95,6 +95,25 @@ def rename_candidates(spark, sf_dir):
     return likely.select("view_id", "table", "old", "new", F.round("score", 9).alias("score"))
 
 
+@query(_LINES_SQL + """
+, pending AS (SELECT DISTINCT o_orderkey AS view_id FROM orders WHERE o_orderstatus = 'P')
+SELECT view_id, old AS old_column_name, new AS new_column_name FROM renames
+WHERE view_id NOT IN (SELECT view_id FROM pending) ORDER BY view_id, old, new LIMIT 50 OFFSET 10
+""")
+def suggestions_page(spark, sf_dir):
+    report = settle(drift.drift_report(*line_catalogs(spark, sf_dir)), "report")
+    orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    known = new_suggestions(report, local_frame(spark, [], SUGGESTIONS))
+    pending = known.join(orders, F.col("view_id") == F.col("o_orderkey"), "left_semi")
+    fresh = new_suggestions(report, pending)
+    return ordered_page(
+        fresh.select("view_id", "old_column_name", "new_column_name"),
+        ["view_id", "old_column_name", "new_column_name"],
+        offset=10,
+        descending=False,
+    )
+
+
 def _open_groups(spark, sf_dir):
     """The groups that exist before the check, one per order: open or resolved, each with a stale item."""
     orders = read(spark, sf_dir, "orders")

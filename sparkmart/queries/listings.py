@@ -7,8 +7,10 @@ import datetime
 from pyspark.sql import functions as F
 
 from sparkmart.operators import dedup, paging, registry, runlog
+from sparkmart.operators.drift import common_type
 from sparkmart.queries.base import query, read
 from sparkmart.sources import discovery
+from sparkmart.sources.change_log import drop_staging_topics
 
 _START, _END = datetime.datetime(1996, 1, 1), datetime.datetime(1998, 12, 31)
 
@@ -141,6 +143,18 @@ def views_using_table(spark, sf_dir):
     return registry.views_using(supplier_registry(spark, sf_dir), "NATION_3", "public", "orders")
 
 
+@query("""
+SELECT 'dbserver_' || n_name || '.public.stock_' || s_suppkey AS topic
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION SELECT 'dbserver_' || n_name || '.public.orders' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION SELECT 'dbserver_crm.sales.customer' FROM supplier WHERE s_acctbal > 0
+""")
+def topics_without_staging(spark, sf_dir):
+    topics = registry.topics(supplier_registry(spark, sf_dir))
+    staging = topics.select(F.concat(F.lit("dbserver_dwh.public."), F.lit("temp_"), "topic").alias("topic"))
+    return drop_staging_topics(topics.union(staging))
+
+
 # -- discovery ----------------------------------------------------------------------------------
 
 _CATALOG_SQL = """
@@ -173,6 +187,22 @@ def part_catalog(spark, sf_dir):
     )
 
 
+@query(_CATALOG_SQL + """
+SELECT source, sch AS "schema", tab AS "table", col AS "column",
+       CASE WHEN ord < 20 THEN 'integer' WHEN ord < 40 THEN 'varchar(' || ord || ')' ELSE 'text' END AS resolved
+FROM cat
+""")
+def resolved_types(spark, sf_dir):
+    spelt = (
+        F.when(F.col("ordinal") < 10, " INT4 ")
+        .when(F.col("ordinal") < 20, "int")
+        .when(F.col("ordinal") < 40, F.concat(F.lit("character varying("), "ordinal", F.lit(")")))
+        .otherwise("mood")
+    )
+    columns = part_catalog(spark, sf_dir)
+    return columns.select("source", "schema", "table", "column", common_type(spelt).alias("resolved"))
+
+
 @query(_CATALOG_SQL + "SELECT DISTINCT source, sch AS \"schema\" FROM cat WHERE sch NOT LIKE 'pg\\_%' ESCAPE '\\'")
 def list_schemas(spark, sf_dir):
     return discovery.list_schemas(part_catalog(spark, sf_dir))

@@ -224,6 +224,11 @@ class TableStore:
         rows = rows.withColumn(BUCKET, bucket_of(rows, base.bucket_by, base.buckets))
         return self.publish_buckets(name, base, rows, set(), batch)
 
+    def append_small(self, name: str, df: DataFrame) -> Version:
+        """Append to a metadata table, gathering its rows now and then."""
+        self.append(name, df)
+        return self.compact(name, 64)
+
     def compact(self, name: str, folders: int = 2) -> Version:
         """Rewrite the buckets that consist of at least so many folders."""
         base = self.version(name)
@@ -235,7 +240,8 @@ class TableStore:
     def alter(self, name: str, renames: dict[str, str] | None = None, drops: list[str] | tuple = ()) -> Version:
         """Rename and drop columns in one new version, without touching data.
 
-        Renaming a missing column is an error; dropping one is not.
+        Renaming a missing column is an error; dropping one is not. Without its layout column a table keeps
+        working, but a change no longer tells which buckets it can be in.
         """
         base = self.version(name)
         columns, by = list(base.columns), list(base.bucket_by)
@@ -248,7 +254,7 @@ class TableStore:
             by = [new if b == old else b for b in by]
         gone = [d for d in drops if d in [n for n, _ in columns]]
         if set(gone) & set(by):
-            raise SpecError(f"table {name} is laid out by {', '.join(by)}; rebuild it to drop that column")
+            by = []  # rows keep their buckets; new ones spread by content
         columns = [(n, s) for n, s in columns if n not in gone]
         return self._commit(name, replace(base, number=base.number + 1, columns=tuple(columns), bucket_by=tuple(by)))
 

@@ -167,6 +167,7 @@ class ChangeApplier:
         try:
             if not bad.isEmpty():
                 self.store.append(BAD_RECORDS, bad, (self.name, batch_id))
+                self.store.compact(BAD_RECORDS, 64)
         finally:
             bad.unpersist()
 
