@@ -157,6 +157,14 @@ def to_mart_type(c: Column, col: ColumnSpec, profile: str = "full", on_bad_cast:
     return cast(target)
 
 
+def _whole(c: Column) -> Column:
+    """Integral text without the fraction it may be spelt with ("1.0")."""
+    return F.when(c.contains("."), F.regexp_replace(c, r"\.0+$", "")).otherwise(c)
+
+
+_INTEGRAL = (T.ShortType, T.IntegerType, T.LongType)
+
+
 def decode_change(
     c: Column, col: ColumnSpec, profile: str = "full", unit: str = "us", on_bad_cast: str = "fail"
 ) -> Column:
@@ -165,14 +173,15 @@ def decode_change(
         return c
     kind = mart_type(col)
     if kind.is_array and profile != "compact":
-        return to_mart_type(F.from_json(c, T.ArrayType(T.StringType())), col, profile, on_bad_cast)
+        items = F.from_json(c, T.ArrayType(T.StringType()))
+        if isinstance(spark_type(col).elementType, _INTEGRAL):
+            items = F.transform(items, _whole)
+        return to_mart_type(items, col, profile, on_bad_cast)
     if kind.is_temporal and profile != "compact":
         return temporal_value(c, kind.name, unit)
     if kind.name == "bytea" and profile != "compact":
         return F.try_to_binary(c, F.lit("base64")) if on_bad_cast == "null" else F.unbase64(c)
     target = spark_type(col, profile)
-    if isinstance(target, (T.ShortType, T.IntegerType, T.LongType)) and kind.name != "boolean":
-        # Integral values may be spelt as doubles ("1.0").
-        whole = F.when(c.contains("."), F.regexp_replace(c, r"\.0+$", "")).otherwise(c)
-        return whole.try_cast(target) if on_bad_cast == "null" else whole.cast(target)
+    if isinstance(target, _INTEGRAL) and kind.name != "boolean":
+        return _whole(c).try_cast(target) if on_bad_cast == "null" else _whole(c).cast(target)
     return to_mart_type(c, col, profile, on_bad_cast)

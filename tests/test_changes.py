@@ -140,7 +140,7 @@ def test_typed_values(spark):
         ColumnSpec("ts", type="timestamp"), ColumnSpec("d", type="date"), ColumnSpec("flag", type="bool"),
         ColumnSpec("tags", udt_name="_text"), ColumnSpec("nums", udt_name="_int4"), ColumnSpec("short", type="varchar(2)"),
     )
-    after = {"id": 1.0, "ts": 1704067200000000, "d": 19723, "flag": True, "tags": ["a", "b"], "nums": [1, 2], "short": "abc"}
+    after = {"id": 1.0, "ts": 1704067200000000, "d": 19723, "flag": True, "tags": ["a", "b"], "nums": [1, 2.0], "short": "abc"}
     row = partial_rows(change_log.decode(log(spark, record(after))), spec, USERS).first()
     assert (row.id, str(row.ts), str(row.d), row.flag, row.tags, row.nums, row.short) == (
         1, "2024-01-01 00:00:00", "2024-01-01", True, ["a", "b"], [1, 2], "ab",
