@@ -21,6 +21,10 @@ class Files:
         folder = self._path(path)
         return [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
 
+    def size(self, path: str) -> int:
+        """Bytes in a file or folder."""
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
     def read(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
         try:

@@ -6,6 +6,7 @@ from sparkmart.operators.registry import Registry
 from sparkmart.operators.runlog import COMPLETED, FAILED, RunLog
 from sparkmart.plans.mart import mart_frame, order_key, stamp
 from sparkmart.plans.spec import MartSpec
+from sparkmart.session import tune
 from sparkmart.sources.catalog import SourceCatalog
 from sparkmart.store import TableStore, Version, suggest_buckets
 
@@ -25,12 +26,11 @@ def layout_columns(spec: MartSpec) -> tuple[str, ...]:
     return next((c for c in choices if c and not set(c) & overwritten), ())
 
 
-def default_buckets(spec: MartSpec, catalog: SourceCatalog) -> int:
-    """Bucket count from the planner's size of the largest source table; one where it knows none."""
+def source_sizes(spec: MartSpec, catalog: SourceCatalog) -> list[int]:
+    """The planner's sizes of the source tables, without those it does not know."""
     plans = (catalog.table(t.key)._jdf.queryExecution().optimizedPlan() for t in spec.tables)
     sizes = [int(str(p.stats().sizeInBytes())) for p in plans]
-    known = [s for s in sizes if s < _UNKNOWN_SIZE]
-    return suggest_buckets(max(known, default=0))
+    return [s for s in sizes if s < _UNKNOWN_SIZE]
 
 
 def build_mart(
@@ -44,10 +44,12 @@ def build_mart(
 ) -> Version:
     """Build a mart and publish it. A versioned mart keeps every version of a row with a time stamp.
 
-    Without a bucket count, the size of the largest source table decides.
+    Shuffles are sized for the source tables. Without a bucket count, the largest of them decides.
     """
+    sizes = source_sizes(spec, catalog)
+    tune(store.spark, sum(sizes))
     df = mart_frame(spec, catalog, **options)
-    buckets = default_buckets(spec, catalog) if buckets is None else buckets
+    buckets = suggest_buckets(max(sizes, default=0)) if buckets is None else buckets
     if versioned:
         return store.publish(spec.name, stamp(df), (order_key(spec),), buckets, if_exists)
     return store.publish(spec.name, df, layout_columns(spec), buckets, if_exists)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkmart.files import Files
 from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, MartSpec, TableKey, TableSpec
 from sparkmart.session import tune
 from sparkmart.sources.catalog import FileSource, FrameSource, SourceCatalog
@@ -24,7 +25,7 @@ def query(sql: str | None = None):
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(tune(spark), sf_dir)
+            return fn(tune(spark, Files(spark, sf_dir).size(sf_dir)), sf_dir)
 
         QUERIES[fn.__name__] = run
         if sql is not None:

@@ -23,9 +23,29 @@ ADAPTIVE_CONF = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Set the adaptive options on a running session and return it."""
-    for key, value in ADAPTIVE_CONF.items():
+# Shuffle partitions are planned for this much input each, up to a number a driver still handles well.
+_PER_PARTITION, _MOST_PARTITIONS = 256 << 20, 50_000
+
+
+def size_conf(input_bytes: int) -> dict[str, str]:
+    """Settings that depend on the size of the input.
+
+    AQE merges shuffle partitions that turn out small but cannot add any, so it has to start with enough
+    of them. Large inputs are also read and written in larger pieces.
+    """
+    partitions = min(-(-input_bytes // _PER_PARTITION), _MOST_PARTITIONS)
+    conf = {}
+    if partitions > 200:
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(partitions)
+    if input_bytes >= 1 << 40:
+        conf["spark.sql.files.maxPartitionBytes"] = str(512 << 20)
+        conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(256 << 20)
+    return conf
+
+
+def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Set the adaptive options, and those for an input of this size, on a running session."""
+    for key, value in {**ADAPTIVE_CONF, **size_conf(input_bytes)}.items():
         spark.conf.set(key, value)
     return spark
 

@@ -12,7 +12,10 @@ from sparkmart.operators.changes import fold, has
 from sparkmart.operators.upsert import overlay, unmatched
 from sparkmart.plans.mart import current_view, mart_frame
 from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, MartSpec, TableKey, TableSpec
-from sparkmart.sources.catalog import FrameSource, SourceCatalog
+from sparkmart.plans.build import source_sizes
+from sparkmart.queries.marts import CUSTOMER_ORDERS
+from sparkmart.session import size_conf
+from sparkmart.sources.catalog import FileSource, FrameSource, SourceCatalog
 
 ROWS = 300_000
 HOT = "CASE WHEN id % 3 = 0 THEN 5 ELSE id % 1000 END AS k"
@@ -53,6 +56,22 @@ def hot_rows(spark, path, name, *columns):
     return spark.read.parquet(target)
 
 
+def test_settings_follow_the_input_size():
+    assert size_conf(40 << 20) == {}
+    assert size_conf(100 << 30)["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "400"
+    large = size_conf(100 << 40)
+    assert large["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "50000"
+    assert large["spark.sql.files.maxPartitionBytes"] == str(512 << 20)
+
+
+def test_build_measures_its_sources(spark, sf_dir):
+    files = SourceCatalog(spark, {"shop": FileSource(sf_dir + "/{table}.parquet")})
+    sizes = source_sizes(CUSTOMER_ORDERS, files)
+    assert len(sizes) == 3 and all(0 < s < 1 << 30 for s in sizes)
+    assert source_sizes(CUSTOMER_ORDERS, SourceCatalog(spark, {"shop": FrameSource(
+        {f"public.{t.key.table}": spark.createDataFrame([(1,)], "a int") for t in CUSTOMER_ORDERS.tables})})) == []
+
+
 def test_a_hot_join_key_is_split(spark, tmp_path):
     facts = hot_rows(spark, tmp_path, "facts", F.sha2(F.col("id").cast("string"), 256).alias("v"))
     dims = spark.range(1000).select(F.col("id").alias("d"), F.col("id").cast("string").alias("name"))
