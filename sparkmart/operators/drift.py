@@ -74,7 +74,10 @@ def column_presence(
     scope = spec.select(*GROUP).distinct()
     in_mart = mart.select("view_id", F.lower("column").alias("target"), F.lit(True).alias("in_mart")).distinct()
     from_source = source.join(scope, GROUP[1:]).select(
-        *GROUP, F.lower("column").alias("name"), _type_code(F.col("type")).alias("source_type"), F.lit(True).alias("in_source")
+        *GROUP,
+        F.lower("column").alias("name"),
+        _type_code(F.col("type")).alias("source_type"),
+        F.lit(True).alias("in_source"),
     )
     # A spec column speaks for its own name and for its target's name.
     unknown = F.lit(None).cast("bigint")
@@ -126,7 +129,8 @@ def rename_candidates(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
     pairs = a.join(b, keys).where(equal | (known_a != known_b))
     score = jaro_winkler(normal_name(F.col("old")), normal_name(F.col("new")))
     bonus = F.when(equal, F.lit(TYPE_BONUS)).otherwise(F.lit(0.0))
-    return pairs.withColumn("score", score + bonus).where(F.col("score") >= MIN_SCORE).select(*keys, "old", "new", "score")
+    scored = pairs.withColumn("score", score + bonus).where(F.col("score") >= MIN_SCORE)
+    return scored.select(*keys, "old", "new", "score")
 
 
 def drift_report(
@@ -210,7 +214,9 @@ def upsert_groups(
     opened = groups.where(F.col("status") == _OPEN).select(F.col("id").alias("open_id"), *key)
     checked = found.select(*key).distinct().join(opened, key, "left")
     fresh_id = content_id(*key, now)
-    current = checked.select(*key, F.coalesce("open_id", fresh_id).alias("id"), F.col("open_id").isNull().alias("fresh"))
+    current = checked.select(
+        *key, F.coalesce("open_id", fresh_id).alias("id"), F.col("open_id").isNull().alias("fresh")
+    )
     created = current.where("fresh").select(
         "id",
         *key,

@@ -150,5 +150,3 @@ def append_rows(mart: DataFrame, rows: DataFrame, updated_at: Column | None = No
     fields = [f for f in mart.schema.fields if f.name in wide.columns]
     return wide.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields))
 
-
-__all__ = ["SEQ", "append_rows", "apply_events", "by_conflict_set", "merge", "merge_into", "overlay", "unmatched", "upsert", "widen"]

@@ -30,8 +30,9 @@ def _is(*kinds: str):
 
 def _after(*pairs):
     """A row image from (condition, column, value) triples; a column is present where its condition holds."""
+    nothing = F.create_map().cast("map<string,string>")
     entries = [
-        F.when(cond, F.create_map(F.lit(name), value.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+        F.when(cond, F.create_map(F.lit(name), value.cast("string"))).otherwise(nothing)
         for cond, name, value in pairs
     ]
     return F.map_concat(*entries)
@@ -66,7 +67,8 @@ FROM events WHERE event_type <> 'error'
 """)
 def cdc_decode(spark, sf_dir):
     events = change_log.decode(raw_user_log(spark, sf_dir))
-    return events.select("seq", "db", "table", F.col("after")["user_id"].alias("user_id"), known_op(F.col("op")).alias("op"))
+    user = F.col("after")["user_id"].alias("user_id")
+    return events.select("seq", "db", "table", user, known_op(F.col("op")).alias("op"))
 
 
 @query("SELECT 'cut' AS kind, count(*) AS records FROM events WHERE event_type = 'error'")
@@ -285,7 +287,8 @@ def cdc_json_flatten(spark, sf_dir):
     doc = F.concat(F.lit('{"k": '), "c_nationkey", F.lit("}"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", doc.alias("doc"))
     flatten = Transform("JSON", fields=(JsonField("k", "k", "int"),))
-    spec = mart("docs", table("customer", _key("c_custkey"), column("doc", type="text", transform=flatten), source="derived"))
+    doc_column = column("doc", type="text", transform=flatten)
+    spec = mart("docs", table("customer", _key("c_custkey"), doc_column, source="derived"))
     payload = (
         F.when(_is("click"), F.col("props"))
         .when(_is("view"), "{}")

@@ -82,7 +82,9 @@ def line_catalogs(spark, sf_dir):
     return settle(source, "source"), settle(spec, "spec"), settle(mart, "mart")
 
 
-@query(_LINES_SQL + """SELECT view_id, 'shop' AS db, 'public' AS "schema", tab AS "table", type, old, new, score FROM report""")
+@query(_LINES_SQL + """
+SELECT view_id, 'shop' AS db, 'public' AS "schema", tab AS "table", type, old, new, score FROM report
+""")
 def drift_report(spark, sf_dir):
     report = drift.drift_report(*line_catalogs(spark, sf_dir))
     return report.withColumn("score", F.round("score", 9))
@@ -157,7 +159,8 @@ def mismatch_groups(spark, sf_dir):
     now = F.lit("2030-01-01 00:00:00").cast("timestamp")
     groups, items = drift.upsert_groups(report, *_open_groups(spark, sf_dir), now)
     full = drift.groups_with_items(groups, items)
-    return full.select("schema_id", "status", (F.col("id") < 0).alias("old_group"), F.size("items").cast("bigint").alias("items"))
+    old = F.col("id") < 0
+    return full.select("schema_id", "status", old.alias("old_group"), F.size("items").cast("bigint").alias("items"))
 
 
 @query("""

@@ -128,7 +128,8 @@ class TableStore:
     def read_version(self, name: str, version: Version, only: set[int] | None = None) -> DataFrame:
         """The rows of a version with their bucket, optionally of some buckets only."""
         folders = [f for b, fs in version.folders.items() if only is None or int(b) in only for f in fs]
-        stored = T.StructType.fromJson(json.loads(version.schema)).add(BUCKET, T.IntegerType()).add("part", T.LongType())
+        stored = T.StructType.fromJson(json.loads(version.schema))
+        stored = stored.add(BUCKET, T.IntegerType()).add("part", T.LongType())
         if folders:
             data = f"{self._folder(name)}/data"
             reader = self.spark.read.schema(stored).option("basePath", data)

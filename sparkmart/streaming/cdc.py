@@ -29,6 +29,9 @@ log = logging.getLogger(__name__)
 
 BAD_RECORDS = "bad_records"
 
+# Checks combined into one plan.
+MAX_UNION = 64
+
 # Additions to a bucket before it is rewritten as one folder.
 MAX_FOLDERS = 16
 
@@ -67,8 +70,9 @@ def upsert_table(
 ) -> Version:
     """Apply the events of one source table to a stored mart and publish the result.
 
-    Events with a value the mart cannot hold are left out. Buckets with matching rows are rewritten; new rows are added next to the data that is there. Buckets
-    that additions have split into many folders are rewritten along the way.
+    Events with a value the mart cannot hold are left out. Buckets with matching rows are rewritten; new
+    rows are added next to the data that is there. Buckets that additions have split into many folders are
+    rewritten along the way.
     """
     name, base = spec.name, store.version(spec.name)
     schema = store.read_version(name, base).drop(BUCKET).schema
@@ -109,7 +113,7 @@ class ChangeApplier:
         self.source_columns, self.auto_suggest = source_columns, auto_suggest
         self.name, self.profile, self.ts_unit, self.parallel = name, profile, ts_unit, parallel
         self.keep_versions = keep_versions
-        self._checked = None
+        self._checked: dict[frozenset[TableKey], list] = {}  # touched tables → what they were checked with
 
     # -- one batch ------------------------------------------------------------------------------
 
@@ -128,13 +132,13 @@ class ChangeApplier:
             self._keep_bad(parsed, events, [(specs[i], k) for i, keys in work.items() for k in keys], batch_id)
             self._check_drift(events, present, specs, scratch)
             gated = self._gated()
+            # Specs that share a mart follow each other; different marts run side by side.
+            marts: dict[str, list[tuple[int, MartSpec, list[TableKey]]]] = {}
+            for i, keys in work.items():
+                open_keys = [k for k in keys if (i, k) not in gated]
+                marts.setdefault(specs[i].name, []).append((i, specs[i], open_keys))
             with ThreadPoolExecutor(max(1, self.parallel)) as pool:
-                jobs = [
-                    pool.submit(
-                        self._apply, specs[i], [k for k in keys if (i, k) not in gated], events, batch_id, scratch
-                    )
-                    for i, keys in work.items()
-                ]
+                jobs = [pool.submit(self._apply_all, m, events, batch_id, scratch) for m in marts.values()]
                 for job in jobs:
                     job.result()  # a failed mart fails the batch, which is then replayed
         finally:
@@ -144,37 +148,39 @@ class ChangeApplier:
     def _keep_bad(
         self, parsed: DataFrame, events: DataFrame, work: list[tuple[MartSpec, TableKey]], batch_id: int
     ) -> None:
-        """Keep records that could not be used."""
-        if self._done(BAD_RECORDS, self.name, batch_id):
-            return
-        bad = bad_in(parsed).select("value", F.lit("not an envelope").alias("reason"))
-        lost = []
+        """Keep records that could not be used: those that are no envelope, and per mart the unusable events."""
+        found = [bad_in(parsed).select("value", F.lit("not an envelope").alias("reason"))]
         for spec, key in work:
             if not self.store.exists(spec.name):
                 continue
             schema = self.store.read(spec.name).schema
             wrong = bad_value_events(events, spec, key, schema, self.profile, self.ts_unit)
-            reason = F.concat(F.lit(f"{key}: bad value for "), "bad_columns")
-            lost.append(wrong.select("seq", F.to_json("after").alias("value"), reason.alias("reason")))
+            problem = F.concat(F.lit(f"mart {spec.name}, {key}: bad value for "), "bad_columns")
+            found.append(wrong.select(F.to_json("after").alias("value"), problem.alias("reason")))
             if not self._versioned(spec):
                 keyless = keyless_events(events, spec, key)
-                reason = F.lit(f"{key}: key column missing")
-                lost.append(keyless.select("seq", F.to_json("after").alias("value"), reason.alias("reason")))
-        if lost:
-            # An event counts once, however many marts it cannot be applied to.
-            bad = bad.union(reduce(DataFrame.union, lost).distinct().drop("seq"))
-        bad = bad.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
-        try:
-            if not bad.isEmpty():
-                self.store.append(BAD_RECORDS, bad, (self.name, batch_id))
-                self.store.compact(BAD_RECORDS, 64)
-        finally:
-            bad.unpersist()
+                problem = F.lit(f"mart {spec.name}, {key}: key column missing")
+                found.append(keyless.select(F.to_json("after").alias("value"), problem.alias("reason")))
+        # Many marts are handled in several plans of limited size, each tagged on its own.
+        for n in range(0, len(found), MAX_UNION):
+            tag = f"{self.name}:{n}"
+            if self._done(BAD_RECORDS, tag, batch_id):
+                continue
+            bad = reduce(DataFrame.union, found[n : n + MAX_UNION])
+            bad = bad.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
+            try:
+                if not bad.isEmpty():
+                    self.store.append(BAD_RECORDS, bad, (tag, batch_id))
+            finally:
+                bad.unpersist()
+        if self.store.exists(BAD_RECORDS):
+            self.store.compact(BAD_RECORDS, 64)
 
     def _check_drift(
         self, events: DataFrame, present: set[TableKey], specs: dict[int, MartSpec], scratch: str
     ) -> None:
         """Compare the touched tables of all marts, unless nothing changed since the last comparison."""
+        present = present & {t.key for s in specs.values() for t in s.tables}
         built = {i: self.store.version(s.name).names for i, s in specs.items() if self.store.exists(s.name)}
         if self.evolution is None or self.source_columns is None or not present or not built:
             return
@@ -185,8 +191,8 @@ class ChangeApplier:
             found = self.source_columns(present)
         # Column lists are metadata: at most the columns of the tables the marts use.
         source = sorted({tuple(r) for r in found.select(*_SOURCE.names).toLocalIterator()}, key=repr)
-        state = [source, present, specs, built, self.evolution.state()]
-        if state == self._checked:
+        state = [source, specs, built, self.evolution.state()]
+        if state == self._checked.get(frozenset(present)):
             return
         spark = self.store.spark
         touched = local_frame(spark, [(k.source, k.schema, k.table) for k in present], _TABLES)
@@ -204,7 +210,7 @@ class ChangeApplier:
         self.evolution.record(report)
         if self.auto_suggest:
             self.evolution.suggest(report)
-        self._checked = [*state[:-1], self.evolution.state()]
+        self._checked[frozenset(present)] = [*state[:-1], self.evolution.state()]
 
     def _gated(self) -> set[tuple[int, TableKey]]:
         """Marts and tables with a pending rename suggestion."""
@@ -219,15 +225,19 @@ class ChangeApplier:
     def _versioned(self, spec: MartSpec) -> bool:
         return self.store.exists(spec.name) and UPDATED_AT in self.store.version(spec.name).names
 
+    def _apply_all(self, work: list[tuple[int, MartSpec, list[TableKey]]], *batch) -> None:
+        for view_id, spec, keys in work:
+            self._apply(view_id, spec, keys, *batch)
+
     def _apply(
-        self, spec: MartSpec, keys: list[TableKey], events: DataFrame, batch_id: int, scratch: str
+        self, view_id: int, spec: MartSpec, keys: list[TableKey], events: DataFrame, batch_id: int, scratch: str
     ) -> None:
         if not self.store.exists(spec.name):
             log.warning("mart %s is not built yet; its changes are skipped", spec.name)
             return
         versioned = self._versioned(spec)
         for key in by_conflict_set(spec, keys):
-            tag = f"{self.name}:{key}"
+            tag = f"{self.name}:{view_id}:{key}"
             if self._done(spec.name, tag, batch_id):
                 continue
             batch = (tag, batch_id)

@@ -116,7 +116,8 @@ def test_events_without_key_are_kept_aside(spark, store):
     s.add(spec_named("copies", ColumnSpec("name", type="text")))
     s.batch(0, record(1, {"name": "lost"}), record(2, {"unrelated": 1}), "same", "same")
     assert [r[0] for r in store.read(BAD_RECORDS).select("reason").orderBy("reason").collect()] == [
-        "db.public.users: key column missing", "not an envelope", "not an envelope",
+        "mart copies, db.public.users: key column missing", "mart names, db.public.users: key column missing",
+        "not an envelope", "not an envelope",
     ]
     assert store.read("names").count() == 20
 
@@ -343,5 +344,23 @@ def test_bad_values_do_not_stop_the_stream(spark, store):
     assert rows_of(store.read("typed").where("n is not null or name is null").select("id", "n")) == [(3, 3), (4, None)]
     assert rows_of(store.read("typed").where("id = 2").select("name")) == [("n2",)]
     assert [r[0] for r in store.read(BAD_RECORDS).select("reason").orderBy("reason").collect()] == [
-        "db.public.users: bad value for id", "db.public.users: bad value for n",
+        "mart typed, db.public.users: bad value for id", "mart typed, db.public.users: bad value for n",
     ]
+
+
+def test_two_specs_of_one_mart(spark, store):
+    s = Setup(spark, store, parallel=4)
+    s.add(NAMES)
+    s.registry.add(spec_named("names"))
+    s.batch(0, record(1, {"id": 1, "name": "x"}), record(2, {"id": 50}))
+    assert rows_of(store.read("names").where("id in (1, 50)")) == [(1, "x"), (50, None)]
+
+
+def test_many_checks_are_split(spark, store, monkeypatch):
+    monkeypatch.setattr("sparkmart.streaming.cdc.MAX_UNION", 2)
+    s = Setup(spark, store)
+    s.add(NAMES)
+    s.add(spec_named("copies", ColumnSpec("name", type="text")))
+    for _ in range(2):
+        s.batch(0, record(1, {"name": "lost"}), "bad", record(2, {"id": "x"}))
+    assert store.read(BAD_RECORDS).count() == 5
