@@ -10,9 +10,6 @@ from sparkmart.session import tune
 from sparkmart.sources.catalog import SourceCatalog
 from sparkmart.store import TableStore, Version, suggest_buckets
 
-# Spark gives data of unknown size a size near the largest long.
-_UNKNOWN_SIZE = 1 << 60
-
 
 def layout_columns(spec: MartSpec) -> tuple[str, ...]:
     """Columns to lay a mart out by: a table's conflict columns that no event can overwrite.
@@ -28,9 +25,8 @@ def layout_columns(spec: MartSpec) -> tuple[str, ...]:
 
 def source_sizes(spec: MartSpec, catalog: SourceCatalog) -> list[int]:
     """The planner's sizes of the source tables, without those it does not know."""
-    plans = (catalog.table(t.key)._jdf.queryExecution().optimizedPlan() for t in spec.tables)
-    sizes = [int(str(p.stats().sizeInBytes())) for p in plans]
-    return [s for s in sizes if s < _UNKNOWN_SIZE]
+    sizes = [catalog.size(t.key) for t in spec.tables]
+    return [s for s in sizes if s is not None]
 
 
 def build_mart(
@@ -46,6 +42,7 @@ def build_mart(
 
     Shuffles are sized for the source tables. Without a bucket count, the largest of them decides.
     """
+    catalog = catalog.opened(t.key for t in spec.tables)
     sizes = source_sizes(spec, catalog)
     tune(store.spark, sum(sizes))
     df = mart_frame(spec, catalog, **options)

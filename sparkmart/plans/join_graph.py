@@ -1,6 +1,6 @@
-"""Order the join rules of a mart into a left-deep chain.
+"""Order the join rules of a mart.
 
-The chain only has to be valid: which join runs how, and with which build side, is left to Catalyst and AQE.
+Which join runs how, and with which build side, is left to Catalyst and AQE.
 """
 
 from __future__ import annotations
@@ -32,6 +32,31 @@ class JoinPlan:
         return {self.root, *(s.table for s in self.steps)}
 
 
+Pairs = tuple[tuple[Endpoint, Endpoint], ...]
+
+
+def hang_from(plan: JoinPlan, root: TableKey) -> dict[TableKey, list[tuple[TableKey, Pairs]]] | None:
+    """The join tree hung up at any of its tables: table → joined tables below it with their key pairs.
+
+    None when a step ties its table to several others, so that the joins are no tree of table pairs.
+    """
+    links: dict[TableKey, list[tuple[TableKey, Pairs]]] = {t: [] for t in plan.tables}
+    for step in plan.steps:
+        known = {a.table for a, _ in step.pairs}
+        if len(known) > 1:
+            return None
+        other = known.pop()
+        links[other].append((step.table, step.pairs))
+        links[step.table].append((other, tuple((b, a) for a, b in step.pairs)))
+    below: dict[TableKey, list[tuple[TableKey, Pairs]]] = {}
+    todo: list[tuple[TableKey, TableKey | None]] = [(root, None)]
+    while todo:
+        table, above = todo.pop()
+        below[table] = [link for link in links[table] if link[0] != above]
+        todo += [(t, table) for t, _ in below[table]]
+    return below
+
+
 def _root(spec: MartSpec) -> TableKey:
     """The first left table that no rule has on its right, else the left table of rule one."""
     rights = {r.right.table for r in spec.joins}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkmart.errors import SpecError
 from sparkmart.functions.transform import staged_columns
-from sparkmart.plans.join_graph import plan_joins
+from sparkmart.plans.join_graph import Pairs, hang_from, plan_joins
 from sparkmart.plans.spec import Endpoint, MartSpec, TableKey
 from sparkmart.sources.catalog import SourceCatalog
 
@@ -38,6 +38,7 @@ def mart_frame(
     """
     plan = plan_joins(spec, strict=strict, composite=composite)
     slots = {t.key: i for i, t in enumerate(spec.tables) if t.key in plan.tables}
+    catalog = catalog.opened(slots)
     ends = {e for s in plan.steps for pair in s.pairs for e in pair}
 
     layout: list[tuple[str, str]] = []  # (internal name, mart name) in mart order
@@ -62,10 +63,21 @@ def mart_frame(
     def key(e: Endpoint) -> Column:
         return F.col(f"`{_key_name(slots[e.table], e.column)}`")
 
-    joined = frames[plan.root]
-    for step in plan.steps:
-        condition = reduce(Column.__and__, [key(a) == key(b) for a, b in step.pairs])
-        joined = joined.join(frames[step.table], condition, "inner")
+    def attach(left: DataFrame, right: DataFrame, pairs: Pairs) -> DataFrame:
+        return left.join(right, reduce(Column.__and__, [key(a) == key(b) for a, b in pairs]), "inner")
+
+    # Hung up at the largest table, the others are joined among themselves first: the largest one is then
+    # shuffled for its own joins only, not again for joins between smaller tables.
+    sizes = {t: catalog.size(t) or 0 for t in slots} if plan.steps else {plan.root: 0}
+    below = hang_from(plan, max(sizes, key=lambda t: (sizes[t], t == plan.root)))
+
+    def subtree(table: TableKey) -> DataFrame:
+        return reduce(lambda df, link: attach(df, subtree(link[0]), link[1]), below[table], frames[table])
+
+    if below is None:
+        joined = reduce(lambda df, step: attach(df, frames[step.table], step.pairs), plan.steps, frames[plan.root])
+    else:
+        joined = subtree(next(iter(below)))
     return joined.select(*(F.col(f"`{inner}`").alias(name) for inner, name in layout))
 
 

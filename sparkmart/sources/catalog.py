@@ -96,18 +96,36 @@ class FrameSource:
             raise NotFound(f"no table {key.schema}.{key.table} in source {key.source}") from None
 
 
+# Spark gives data of unknown size a size near the largest long.
+_UNKNOWN_SIZE = 1 << 60
+
+
 class SourceCatalog:
     """Source name → reader."""
 
-    def __init__(self, spark: SparkSession, sources: Mapping[str, object]):
+    def __init__(
+        self, spark: SparkSession, sources: Mapping[str, object], frames: Mapping[TableKey, DataFrame] | None = None
+    ):
         self.spark = spark
         self.sources = dict(sources)
+        self._frames = dict(frames or {})
+
+    def opened(self, keys: Iterable[TableKey]) -> SourceCatalog:
+        """This catalog with some tables opened, so that their files are listed only once."""
+        return SourceCatalog(self.spark, self.sources, {k: self.table(k) for k in keys})
 
     def table(self, key: TableKey) -> DataFrame:
+        if key in self._frames:
+            return self._frames[key]
         if key.source not in self.sources:
             raise ValueError(f"unknown source {key.source}")
         return self.sources[key.source].read(self.spark, key)
 
+    def size(self, key: TableKey) -> int | None:
+        """The planner's size of a table in bytes, if it knows one."""
+        size = int(str(self.table(key)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return size if size < _UNKNOWN_SIZE else None
+
 
 def count_tables(catalog: SourceCatalog, keys: Iterable[TableKey]) -> DataFrame:
     """Row count of every table as one DataFrame ``(source, schema, table, rows)``."""

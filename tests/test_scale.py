@@ -13,7 +13,7 @@ from sparkmart.operators.upsert import overlay, unmatched
 from sparkmart.plans.mart import current_view, mart_frame
 from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, MartSpec, TableKey, TableSpec
 from sparkmart.plans.build import source_sizes
-from sparkmart.queries.marts import CUSTOMER_ORDERS
+from sparkmart.queries.marts import CUSTOMER_ORDERS, FIVE_TABLES
 from sparkmart.session import size_conf
 from sparkmart.sources.catalog import FileSource, FrameSource, SourceCatalog
 
@@ -112,6 +112,16 @@ def test_hot_null_keys_of_a_mart_are_split(spark, tmp_path):
         assert out.count() == ROWS
 
 
+def test_the_largest_table_is_shuffled_once(spark, sf_dir):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        df = mart_frame(FIVE_TABLES, SourceCatalog(spark, {"shop": FileSource(sf_dir + "/{table}.parquet")}))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    # Five tables, four joins, and every join shuffles its two sides; no shuffle carries line items twice.
+    assert plan.count("Exchange hashpartitioning") == 8
+    carrying = [p for p in plan.split("Exchange hashpartitioning")[1:] if "l_quantity" in p.split("\n")[1]]
+    assert len(carrying) == 1
+
+
 def shuffled_rows(df):
     """Rows written by each shuffle of an executed plan."""
     plan = df._jdf.queryExecution().executedPlan()

@@ -1,7 +1,7 @@
 import pytest
 
 from sparkmart.errors import SpecError
-from sparkmart.plans.join_graph import plan_joins
+from sparkmart.plans.join_graph import hang_from, plan_joins
 from sparkmart.plans.mart import mart_columns, mart_frame, order_key
 from sparkmart.plans.spec import (
     ColumnSpec,
@@ -154,6 +154,18 @@ def test_bad_join_graphs(tables, joins):
         plan_joins(spec_of(*tables, joins=joins))
 
 
+def test_joins_hang_from_any_table():
+    plan = plan_joins(spec_of("a", "b", "c", "d", joins=[("a", "b"), ("b", "c"), ("b", "d")]))
+    below = hang_from(plan, key("c"))
+    assert {t.table: [c.table for c, _ in links] for t, links in below.items()} == {
+        "c": ["b"], "b": ["a", "d"], "a": [], "d": [],
+    }
+    (_, pairs), = below[key("c")]
+    assert [(x.table.table, y.table.table) for x, y in pairs] == [("c", "b")]
+    cycle = plan_joins(spec_of("a", "b", "c", joins=[("a", "b"), ("b", "c"), ("a", "c")]), composite=True)
+    assert hang_from(cycle, key("a")) is None
+
+
 def test_composite_folds_extra_rules_into_the_condition():
     plan = plan_joins(spec_of("a", "b", "c", joins=[("a", "b"), ("b", "c"), ("a", "c")]), composite=True)
     assert [len(s.pairs) for s in plan.steps] == [1, 2]
