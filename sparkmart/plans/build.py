@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from sparkmart.operators.registry import Registry
 from sparkmart.operators.runlog import COMPLETED, FAILED, RunLog
+from sparkmart.plans.join_graph import plan_joins
 from sparkmart.plans.mart import mart_frame, order_key, stamp
-from sparkmart.plans.spec import MartSpec
+from sparkmart.plans.spec import MartSpec, TableKey
 from sparkmart.session import tune
 from sparkmart.sources.catalog import SourceCatalog
 from sparkmart.store import TableStore, Version, suggest_buckets
@@ -23,9 +26,9 @@ def layout_columns(spec: MartSpec) -> tuple[str, ...]:
     return next((c for c in choices if c and not set(c) & overwritten), ())
 
 
-def source_sizes(spec: MartSpec, catalog: SourceCatalog) -> list[int]:
-    """The planner's sizes of the source tables, without those it does not know."""
-    sizes = [catalog.size(t.key) for t in spec.tables]
+def source_sizes(catalog: SourceCatalog, tables: Iterable[TableKey]) -> list[int]:
+    """The planner's sizes of source tables, without those it does not know."""
+    sizes = [catalog.size(t) for t in tables]
     return [s for s in sizes if s is not None]
 
 
@@ -42,8 +45,9 @@ def build_mart(
 
     Shuffles are sized for the source tables. Without a bucket count, the largest of them decides.
     """
-    catalog = catalog.opened(t.key for t in spec.tables)
-    sizes = source_sizes(spec, catalog)
+    tables = plan_joins(spec, composite=options.get("composite", False)).tables
+    catalog = catalog.opened(tables)
+    sizes = source_sizes(catalog, tables)
     tune(store.spark, sum(sizes))
     df = mart_frame(spec, catalog, **options)
     buckets = suggest_buckets(max(sizes, default=0)) if buckets is None else buckets

@@ -66,10 +66,11 @@ def test_settings_follow_the_input_size():
 
 def test_build_measures_its_sources(spark, sf_dir):
     files = SourceCatalog(spark, {"shop": FileSource(sf_dir + "/{table}.parquet")})
-    sizes = source_sizes(CUSTOMER_ORDERS, files)
+    keys = [t.key for t in CUSTOMER_ORDERS.tables]
+    sizes = source_sizes(files, keys)
     assert len(sizes) == 3 and all(0 < s < 1 << 30 for s in sizes)
-    assert source_sizes(CUSTOMER_ORDERS, SourceCatalog(spark, {"shop": FrameSource(
-        {f"public.{t.key.table}": spark.createDataFrame([(1,)], "a int") for t in CUSTOMER_ORDERS.tables})})) == []
+    unsized = {f"public.{k.table}": spark.createDataFrame([(1,)], "a int") for k in keys}
+    assert source_sizes(SourceCatalog(spark, {"shop": FrameSource(unsized)}), keys) == []
 
 
 def test_a_hot_join_key_is_split(spark, tmp_path):
