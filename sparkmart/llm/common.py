@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmart.files import Files
@@ -83,3 +83,25 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes["node"] == roots["u"], "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "n") -> DataFrame:
+    """Number all rows from 0 in the given order, with no task holding more than a range of them.
+
+    Rows are sorted in range partitions and written with their place in the partition; the sizes of the
+    partitions (one row each) then give where each begins.
+    """
+    place = F.monotonically_increasing_id()
+    rows = settle(
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "numbered"
+    )
+    part = F.shiftright("_place", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    begins = sizes.withColumn("_begin", F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    begins = settle(begins.select("_part", F.coalesce("_begin", F.lit(0)).alias("_begin")), "begins")
+    return (
+        rows.withColumn("_of", part)
+        .join(begins, F.col("_of") == F.col("_part"))
+        .withColumn(name, F.col("_begin") + F.col("_place").bitwiseAND((1 << 33) - 1))
+        .drop("_of", "_part", "_begin", "_place")
+    )
