@@ -1,6 +1,6 @@
 """All registered queries of the package and the SQL they must agree with."""
 
-from sparkmart.llm import exact_dedup, line_dedup, mixing
+from sparkmart.llm import chat, exact_dedup, line_dedup, mixing
 from sparkmart.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "exact_dedup", "line_dedup", "mixing"]
+__all__ = ["ORACLES", "QUERIES", "chat", "exact_dedup", "line_dedup", "mixing"]
