@@ -66,14 +66,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written first, the minima join as an input of their own, whose hot keys Spark can split.
+        low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         large = settle(large, "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u")
-        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        under = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        small = small.select(under.alias("u"), F.col("m").alias("v"))
         links = settle(small.where("u <> v").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:

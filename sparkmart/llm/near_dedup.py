@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = settle(classes.select("set", F.coalesce("r", "f").alias("r")).select("set", "r.*"), "classes")
     banded = classes.select("set", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("set").alias("head"), F.max("set").alias("_last")).where("head <> _last")
-    members = settle(banded.join(buckets.drop("_last"), "band"), "members")
+    members = settle(banded.join(settle(buckets.drop("_last"), "buckets"), "band"), "members")
     in_play = members.select("set").distinct().withColumnRenamed("set", "_set")
     known = classes.join(in_play, F.col("set") == F.col("_set")).select("set", "id", "version", "odd")
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"), F.col(text_col).alias("text"))
@@ -206,14 +206,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_head = joined.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
     placed = members.join(of_member, "set").join(of_head, "head")
     outside = settle(placed.where("component <> head_component").select("band", F.col("set").alias("x"), F.col("component").alias("cx")), "outside")
-    open_members = placed.join(outside.select("band").distinct(), "band").select("band", F.col("set").alias("y"), F.col("component").alias("cy"))
+    open_bands = settle(outside.select("band").distinct(), "bands")
+    open_members = placed.join(open_bands, "band").select("band", F.col("set").alias("y"), F.col("component").alias("cy"))
     cross = outside.join(open_members, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     cross = cross.distinct().join(pairs, ["a", "b"], "left_anti")
     more = _links(cross, known, s)
     joined = connected_components(nodes, links.unionByName(more))
     named = classes.select("set", "id").join(joined, F.col("set") == F.col("node"), "left").select("set", "id", F.coalesce("component", "set").alias("component"))
     named = settle(named, "named")
-    lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    lowest = settle(named.groupBy("component").agg(F.min("id").alias("component_id")), "lowest")
     named = settle(named.join(lowest, "component").select(F.col("set").alias("_set"), "component_id"), "classes")
     return sketches.join(named, F.when(F.col("n") > 0, F.col("set")) == F.col("_set"), "left").select(
         "id", "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
