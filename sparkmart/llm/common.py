@@ -107,3 +107,19 @@ def numbered(df: DataFrame, *order: Column, name: str = "n") -> DataFrame:
         .withColumn(name, F.col("_begin") + F.col("_place").bitwiseAND((1 << 33) - 1))
         .drop("_of", "_part", "_begin", "_place")
     )
+
+
+def running_sum(values: Column, block: int = 256) -> Column:
+    """The sums of an array's elements before each element.
+
+    Sums are taken per block and then over the blocks, so that the work of growing arrays stays small however
+    long the array is.
+    """
+    zero = F.array(F.lit(0).cast("long"))
+    sums = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    blocks = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")))
+    inner = F.transform(F.coalesce(blocks, F.array().cast("array<int>")), lambda k: sums(F.slice(values, k * block + 1, block)))
+    begins = sums(F.transform(inner, lambda s: F.element_at(s, -1)))
+    return F.flatten(
+        F.transform(inner, lambda s, k: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x + F.get(begins, k)))
+    )

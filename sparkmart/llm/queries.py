@@ -1,6 +1,6 @@
 """All registered queries of the package and the SQL they must agree with."""
 
-from sparkmart.llm import chat, embeddings, exact_dedup, langid, line_dedup, mixing, near_dedup, repeats
+from sparkmart.llm import chat, embeddings, exact_dedup, langid, line_dedup, mixing, near_dedup, privacy, repeats
 from sparkmart.llm.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chat", "embeddings", "exact_dedup", "langid", "line_dedup", "mixing", "near_dedup", "repeats"]
+__all__ = ["ORACLES", "QUERIES", "chat", "embeddings", "exact_dedup", "langid", "line_dedup", "mixing", "near_dedup", "privacy", "repeats"]
