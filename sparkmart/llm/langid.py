@@ -198,10 +198,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return ByteNet(langs, settings).train(data.reshape(-1, settings.window)[pick].astype(np.int64), y[pick])
 
 
-def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text", *keep: str) -> DataFrame:
-    """The columns ``keep`` of every row with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> DataFrame:
+    """Every row as ``row`` with ``lang_pred`` and ``score``."""
+    rows = docs.select(F.struct("*").alias("row"))
     if net is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     parameters = docs.sparkSession.sparkContext.broadcast((net.langs, net.s, net.p))  # a few hundred kB at most
 
     @F.pandas_udf("lang string, score double")
@@ -225,9 +226,16 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text", *keep
                 at = end
             yield pd.DataFrame({"lang": lang, "score": score})
 
-    text = F.when(has_letter(F.col(text_col)), F.col(text_col))
-    done = docs.select(F.struct(*keep).alias("_row"), predict(text).alias("_found"))
-    return done.select("_row.*", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    text = F.col("row")[text_col]
+    done = rows.select("row", predict(F.when(has_letter(text), text)).alias("found"))
+    return done.select("row", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def in_known_language(docs: DataFrame, net: ByteNet | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language is found, with their columns; a missing label is filled with it."""
+    found = identify(docs, net, text_col).where(F.col("lang_pred") != UNKNOWN)
+    label = F.coalesce(F.col("row")[lang_col], F.col("lang_pred"))
+    return found.select(F.col("row").withField(lang_col, label).alias("row")).select("row.*")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -239,4 +247,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op2_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = train(docs.where(~held_out()))
-    return identify(docs.withColumn("held_out", held_out()), net, "text", "doc_id", "held_out")
+    found = identify(docs.select("doc_id", "text"), net)
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
