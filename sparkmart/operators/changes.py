@@ -1,6 +1,6 @@
 """Change events as partial rows of a mart, and their folding to one row per key.
 
-A partial row has ``seq``, every mart column the table can write, and a flag ``_has_<column>`` telling
+A partial row has ``seq``, the position ``at`` if its event has one, every mart column the table can write, and a flag ``_has_<column>`` telling
 whether the event wrote it: a present NULL is a value, an absent column is not.
 """
 
@@ -20,7 +20,7 @@ from sparkmart.functions.types import mart_type, type_name
 from sparkmart.operators.routing import data_events
 from sparkmart.plans.spec import ColumnSpec, MartSpec, TableKey, TableSpec
 
-SEQ = "seq"
+SEQ, AT = "seq", "at"
 _HAS = "_has_"
 
 # Fixed value: the text a NULL has when it is looked up in a value map.
@@ -82,7 +82,7 @@ def _writes(
         bad = present & text.isNotNull() & value.isNull()
         out[name] = _Write(value, present, bad).over(out.get(name))
 
-    for raw in table.columns:
+    for raw in table.live_columns():
         col = _typed_like(raw, schema)
         payload = F.try_element_at("after", F.lit(col.name))
         present = F.map_contains_key("after", F.lit(col.name))
@@ -130,7 +130,7 @@ def partial_rows(
     skip = on_bad_value == "skip"
     writes = _writes(table, mart_schema, profile, ts_unit, "null" if skip else "fail")
     rows = events_of(events, key).select(
-        F.col(SEQ),
+        *(c for c in (SEQ, AT) if c in events.columns),
         *(w.value.alias(n) for n, w in writes.items()),
         *(w.present.alias(has(n)) for n, w in writes.items()),
         *((reduce(Column.__or__, [w.bad for w in writes.values()]).alias("_bad"),) if skip else ()),
@@ -158,20 +158,23 @@ def bad_value_events(
 
 
 def keyless_events(events: DataFrame, spec: MartSpec, key: TableKey) -> DataFrame:
-    """Data-changing events that have mart columns but not every key column of their table."""
+    """Data-changing events that have mart columns but not every key column of their table.
+
+    Of a table without update key that is all of its events.
+    """
     table = spec.table(key)
 
     def present(col: ColumnSpec) -> Column:
         return F.map_contains_key("after", F.lit(col.name))
 
-    keyed = [present(c) for c in table.columns if c.is_update_key]
-    any_data = reduce(Column.__or__, [present(c) for c in table.columns])
-    all_keys = reduce(Column.__and__, keyed) if keyed else F.lit(True)
+    keyed = [present(c) for c in table.live_columns() if c.is_update_key]
+    any_data = reduce(Column.__or__, [present(c) for c in table.live_columns()], F.lit(False))
+    all_keys = reduce(Column.__and__, keyed) if keyed else F.lit(False)
     return events_of(events, key).where(any_data & ~all_keys)
 
 
 def value_columns(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c != SEQ and not c.startswith(_HAS)]
+    return [c for c in rows.columns if c not in (SEQ, AT) and not c.startswith(_HAS)]
 
 
 def any_null(keys: list[str]) -> Column:
@@ -181,15 +184,16 @@ def any_null(keys: list[str]) -> Column:
 def fold(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: the last present value of every column.
 
-    Equals applying the events one at a time in ``seq`` order. ``seq`` must not repeat within a key. The
-    aggregates combine on the map side, so a hot key reaches the shuffle as one row per task. A row with
-    a NULL key column equals no other row and stays on its own.
+    Equals applying the events one at a time in the order of their positions, or of ``seq`` where events have
+    none, which then must not repeat. The aggregates combine on the map side, so a hot key reaches the
+    shuffle as one row per task. A row with a NULL key column equals no other row and stays on its own.
     """
+    order = F.col(AT if AT in rows.columns else SEQ)
     others = [c for c in value_columns(rows) if c not in keys]
     aggregates = [F.max(SEQ).alias(SEQ)]
     for c in others:
         # max_by keeps a NULL value and skips rows whose ordering is NULL.
-        aggregates.append(F.max_by(c, F.when(F.col(has(c)), F.col(SEQ))).alias(c))
+        aggregates.append(F.max_by(c, F.when(F.col(has(c)), order)).alias(c))
         aggregates.append(F.max(has(c)).alias(has(c)))
-    alone = F.when(any_null(keys), F.col(SEQ)).alias("_alone")
+    alone = F.when(any_null(keys), order).alias("_alone")
     return rows.groupBy(*keys, alone).agg(*aggregates).drop("_alone")

@@ -188,6 +188,19 @@ def drift_report(
     return report.unionByName(likely.withColumn("type", F.lit(RENAME)))
 
 
+def observed_report(
+    seen: DataFrame, spec: DataFrame, mart: DataFrame, extra: DataFrame | None = None, scratch: str | None = None
+) -> DataFrame:
+    """The findings that columns seen in events can show.
+
+    Row images are partial, so a column that was not seen may well exist: spec columns count as part of the source,
+    and nothing is taken for gone or renamed. Only a catalog of the source can tell that.
+    """
+    known = spec.select("db", "schema", "table", "column", "type")
+    source = seen.select("db", "schema", "table", "column", F.lit(None).cast("string").alias("type")).union(known)
+    return drift_report(source, spec, mart, extra, renames=False, scratch=scratch)
+
+
 def content_id(*columns) -> Column:
     """A positive id derived from content, so that replaying a batch gives the same id."""
     return F.xxhash64(*columns).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
@@ -198,7 +211,8 @@ def upsert_groups(
 ) -> tuple[DataFrame, DataFrame]:
     """Record findings: open a group where none is open, else replace the open group's items.
 
-    Returns the new ``(groups, items)``. Groups without findings stay as they are.
+    Returns the new ``(groups, items)``. Groups without findings stay as they are. The id of a new group follows
+    from its table and the number of groups it had before, so recording a report again gives the same ids.
     """
     found = report.select(
         F.col("view_id").alias("schema_id"),
@@ -212,8 +226,9 @@ def upsert_groups(
     )
     key = ["schema_id", "database_name", "schema_name", "table_name"]
     opened = groups.where(F.col("status") == _OPEN).select(F.col("id").alias("open_id"), *key)
-    checked = found.select(*key).distinct().join(opened, key, "left")
-    fresh_id = content_id(*key, now)
+    before = groups.groupBy(*key).agg(F.count("*").alias("before"))
+    checked = found.select(*key).distinct().join(opened, key, "left").join(before, key, "left")
+    fresh_id = content_id(*key, F.coalesce("before", F.lit(0)))
     current = checked.select(
         *key, F.coalesce("open_id", fresh_id).alias("id"), F.col("open_id").isNull().alias("fresh")
     )

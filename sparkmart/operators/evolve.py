@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,16 +163,29 @@ class Evolution:
             raise NotFound(f"no mismatch group {group_id}")
         return row
 
+    def _change(self, view_id: int, key: TableKey, resolution: Resolution) -> None:
+        """Bring mart and spec to where a resolution leads, from wherever an earlier attempt has stopped.
+
+        The mart comes first. What is already so is skipped: a mart column that has its new name or is gone, and
+        a spec that no longer has the old name.
+        """
+        spec = self.registry.get(view_id)
+        known = {c.name.lower() for t in spec.tables if t.key == key for c in t.columns}
+        open_renames = tuple(r for r in resolution.renames if r[0].lower() in known or r[1].lower() not in known)
+        change = plan_resolution(spec, key, replace(resolution, renames=open_renames))
+        names = set(self.store.version(spec.name).names)
+        renames = {old: new for old, new in change.renames.items() if old in names or new not in names}
+        drops = [d for d in change.drops if d in names]
+        if renames or drops:
+            self.store.alter(spec.name, renames, drops)
+        if change.spec_changed:
+            self.registry.update(view_id, change.spec)
+
     def apply(self, group_id: int, resolution: Resolution) -> None:
-        """Apply a resolution to mart and spec, then close the group."""
+        """Apply a resolution to mart and spec, then close the group. After a failure it can be applied again."""
         group = self.group(group_id)
         key = TableKey(group["database_name"], group["schema_name"], group["table_name"])
-        spec = self.registry.get(group["schema_id"])
-        change = plan_resolution(spec, key, resolution)
-        if change.renames or change.drops:
-            self.store.alter(spec.name, change.renames, change.drops)
-        if change.spec_changed:
-            self.registry.update(group["schema_id"], change.spec)
+        self._change(group["schema_id"], key, resolution)
         self.store.publish(self.GROUPS, drift.resolve_group(self.groups(), group_id, F.current_timestamp()))
 
     # -- rename suggestions ---------------------------------------------------------------------
@@ -197,14 +210,10 @@ class Evolution:
         return row
 
     def accept(self, suggestion_id: int) -> None:
-        """Rename in mart and spec, then drop the suggestion."""
+        """Rename in mart and spec, then drop the suggestion. After a failure it can be accepted again."""
         s = self._suggestion(suggestion_id)
         key = TableKey(s["db"], s["schema"], s["table"])
-        spec = self.registry.get(s["view_id"])
-        change = plan_resolution(spec, key, Resolution(renames=((s["old_column_name"], s["new_column_name"]),)))
-        if change.renames:
-            self.store.alter(spec.name, change.renames)
-        self.registry.update(s["view_id"], change.spec)
+        self._change(s["view_id"], key, Resolution(renames=((s["old_column_name"], s["new_column_name"]),)))
         self.reject(suggestion_id)
 
     def reject(self, suggestion_id: int) -> None:

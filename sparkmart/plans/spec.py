@@ -194,10 +194,14 @@ class TableSpec:
         clean, _ = collapse_duplicates(self.columns + tuple(d for c in self.columns for d in c.derived()))
         return clean
 
+    def live_columns(self) -> tuple[ColumnSpec, ...]:
+        """The selected columns without deleted ones, which are never read."""
+        return tuple(c for c in self.columns if not c.is_deleted)
+
     def conflict_columns(self) -> tuple[str, ...]:
         """Mart columns that identify the rows an event of this table belongs to."""
         names: dict[str, None] = {}
-        for c in self.columns:
+        for c in self.live_columns():
             if c.is_update_key:
                 names[c.target] = None
                 if c.view_key:
@@ -206,8 +210,9 @@ class TableSpec:
 
     def written_columns(self) -> tuple[str, ...]:
         """Every mart column an event of this table can write."""
-        names = {c.target: None for c in self.mart_columns()}
-        names.update({n: None for n in self.conflict_columns()})
+        live = TableSpec(self.key, self.live_columns())
+        names = {c.target: None for c in live.mart_columns()}
+        names.update({n: None for n in live.conflict_columns()})
         return tuple(names)
 
 

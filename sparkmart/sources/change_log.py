@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 TOPIC_PREFIX = "dbserver_"
 STAGING_MARK = "temp"
+AT = "_at"
 
 _TEXT_MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -50,11 +51,15 @@ def drop_staging_topics(df: DataFrame, column: str = "topic") -> DataFrame:
 
 
 def kafka_options(
-    servers: str, topics: Iterable[str] | None = None, min_partitions: int | None = None
+    servers: str,
+    topics: Iterable[str] | None = None,
+    min_partitions: int | None = None,
+    per_trigger: int | None = 10_000_000,
 ) -> dict[str, str]:
     """Reader options: named topics, or every topic of the prefix so that new ones join by themselves.
 
     ``min_partitions`` splits large topic partitions, so that parsing is not bound to their number.
+    ``per_trigger`` bounds the records of a batch, so that a backlog is worked off in several.
     """
     subject = (
         {"subscribe": ",".join(topics)}
@@ -62,19 +67,18 @@ def kafka_options(
         else {"subscribePattern": f"{TOPIC_PREFIX}(?!.*{STAGING_MARK}).*"}
     )
     more = {"minPartitions": str(min_partitions)} if min_partitions else {}
+    more |= {"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {}
     return {"kafka.bootstrap.servers": servers, "startingOffsets": "earliest", **subject, **more}
 
 
-def read_kafka(
-    spark: SparkSession, servers: str, topics: Iterable[str] | None = None, min_partitions: int | None = None
-) -> DataFrame:
-    """The change stream from Kafka as ``(value, seq)``; needs the Kafka connector on the class path.
+def read_kafka(spark: SparkSession, servers: str, topics: Iterable[str] | None = None, **options) -> DataFrame:
+    """The change stream from Kafka as ``(value, topic, partition, offset)``; needs the connector on the class path.
 
-    Within a partition the offset is the order of arrival, and a key always stays in one partition.
+    An offset orders the records of one partition only; ``parse`` makes a position of all partitions of it.
     """
-    stream = spark.readStream.format("kafka").options(**kafka_options(servers, topics, min_partitions)).load()
+    stream = spark.readStream.format("kafka").options(**kafka_options(servers, topics, **options)).load()
     return drop_staging_topics(stream).select(
-        F.col("value").cast("string").alias("value"), F.col("offset").alias("seq")
+        F.col("value").cast("string").alias("value"), "topic", "partition", "offset"
     )
 
 
@@ -87,24 +91,48 @@ def read_files(spark: SparkSession, path: str, per_trigger: int | None = None) -
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """Envelope fields next to the record's own text (``_value``) and order (``_seq``).
+    """Envelope fields next to the record's own text (``_value``), order and identity.
+
+    Records with a ``seq`` column come in that order, which must not repeat. All others get a position
+    ``_at``: log sequence number, then time in microseconds, then topic, partition and offset, or the place in the
+    input for records that are not from a topic. Numbers of different meaning are never compared, and no two
+    records share a position.
 
     The envelope is unpacked by a generator: filters on its fields then stay above it, where Spark would
     otherwise parse the text once per filter.
     """
-    seq = F.col("seq") if "seq" in raw.columns else F.lit(None).cast("bigint")
     parsed = F.inline(F.array(F.from_json("value", ENVELOPE)))
-    return raw.select(F.col("value").alias("_value"), seq.alias("_seq"), parsed)
+    if "seq" in raw.columns:
+        return raw.select(F.col("value").alias("_value"), F.col("seq").alias("_seq"), parsed)
+    from_topic = {"topic", "partition", "offset"} <= set(raw.columns)
+    places = ["topic", "partition", "offset"] if from_topic else [F.monotonically_increasing_id().alias("place")]
+    rows = raw.select(F.col("value").alias("_value"), F.struct(*places).alias("_place"), parsed)
+    micros = F.coalesce("ts_us", F.floor(F.col("ts_ns") / 1000), F.col("ts_ms") * 1000, F.col("source.ts_ms") * 1000)
+    at = F.struct(F.col("source.lsn").alias("lsn"), micros.alias("micros"), "_place.*")
+    known = F.col("source.lsn").isNotNull() | micros.isNotNull()
+    if from_topic:
+        known = known | F.col("_place.offset").isNotNull()
+    return rows.withColumn(AT, F.when(known, at)).drop("_place")
+
+
+def _is_envelope() -> Column:
+    return F.col("op").isNotNull() & F.col("source.table").isNotNull()
 
 
-def _is_event() -> Column:
-    return F.col("op").isNotNull() & F.col("source.table").isNotNull()
+def _has_position(parsed: DataFrame) -> Column:
+    return F.col("_seq" if "_seq" in parsed.columns else AT).isNotNull()
 
 
 def events_in(parsed: DataFrame) -> DataFrame:
-    """The parsed envelopes as rows ``(seq, op, db, schema, table, before, after, lsn, ts_ms)``."""
-    return parsed.where(_is_event()).select(
-        F.coalesce("_seq", "source.lsn", "ts_us", "ts_ms").alias("seq"),
+    """The parsed envelopes as rows ``(seq, at, op, db, schema, table, before, after, lsn, ts_ms)``.
+
+    ``seq`` is one number for a version stamp; ``at``, where there is one, orders and tells apart events.
+    """
+    positioned = AT in parsed.columns
+    seq = F.coalesce("source.lsn", f"{AT}.micros", F.lit(0)) if positioned else F.col("_seq")
+    return parsed.where(_is_envelope() & _has_position(parsed)).select(
+        seq.cast("bigint").alias("seq"),
+        *([F.col(AT).alias("at")] if positioned else []),
         "op",
         F.col("source.db").alias("db"),
         F.col("source.schema").alias("schema"),
@@ -117,20 +145,19 @@ def events_in(parsed: DataFrame) -> DataFrame:
 
 
 def bad_in(parsed: DataFrame) -> DataFrame:
-    """The text of parsed records that are no envelope."""
-    return parsed.where(~_is_event()).select(F.col("_value").alias("value"))
+    """``value`` and ``reason`` of parsed records that are no envelope or have no position."""
+    good = F.coalesce(_is_envelope(), F.lit(False))
+    reason = F.when(~good, F.lit("not an envelope")).when(~_has_position(parsed), F.lit("no position"))
+    return parsed.select(F.col("_value").alias("value"), reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def decode(raw: DataFrame) -> DataFrame:
-    """Raw records as event rows; bad text is dropped.
-
-    Events are ordered by the ``seq`` column of the input when it has one, else by log position.
-    """
+    """Raw records as event rows; ``bad_records`` has the others."""
     return events_in(parse(raw))
 
 
 def bad_records(raw: DataFrame) -> DataFrame:
-    """The text of records that are no envelope."""
+    """``value`` and ``reason`` of records that cannot be used."""
     return bad_in(parse(raw))
 
 

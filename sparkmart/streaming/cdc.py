@@ -27,7 +27,7 @@ from sparkmart.store import BUCKET, TableStore, Version, bucket_of
 
 log = logging.getLogger(__name__)
 
-BAD_RECORDS = "bad_records"
+BAD_RECORDS, OBSERVED = "bad_records", "observed_columns"
 
 # Checks combined into one plan.
 MAX_UNION = 64
@@ -37,6 +37,7 @@ MAX_FOLDERS = 16
 
 _TEXT = T.StringType()
 _TABLES = row_type(db=_TEXT, schema=_TEXT, table=_TEXT)
+_COLUMNS = row_type(db=_TEXT, schema=_TEXT, table=_TEXT, column=_TEXT)
 _SOURCE = row_type(db=_TEXT, schema=_TEXT, table=_TEXT, column=_TEXT, type=_TEXT)
 _MARTS = row_type(view_id=T.LongType(), column=_TEXT)
 
@@ -93,7 +94,11 @@ class ChangeApplier:
 
     ``keep_versions`` deletes older mart versions after each batch; by default all are kept.
     ``source_columns`` gives the current source columns of the touched tables for the drift check;
-    ``"observed"`` takes the columns seen in the events, ``None`` switches the check off.
+    ``"observed"`` takes all columns seen in events so far, which show what a mart lacks but never that a column
+    is gone or renamed; ``None`` switches the check off. ``renames`` switches the rename heuristic.
+
+    Events of a table without update key cannot be applied to a mart that is not versioned; like unreadable records
+    they are kept in the table of bad records.
     """
 
     def __init__(
@@ -108,11 +113,12 @@ class ChangeApplier:
         ts_unit: str = "us",
         parallel: int = 4,
         keep_versions: int | None = None,
+        renames: bool = True,
     ):
         self.store, self.registry, self.evolution = store, registry, evolution
         self.source_columns, self.auto_suggest = source_columns, auto_suggest
         self.name, self.profile, self.ts_unit, self.parallel = name, profile, ts_unit, parallel
-        self.keep_versions = keep_versions
+        self.keep_versions, self.renames = keep_versions, renames
         self._checked: dict[frozenset[TableKey], list] = {}  # touched tables → what they were checked with
 
     # -- one batch ------------------------------------------------------------------------------
@@ -130,7 +136,7 @@ class ChangeApplier:
             work = {i: [t.key for t in s.tables if t.key in present] for i, s in specs.items()}
             work = {i: keys for i, keys in work.items() if keys}
             self._keep_bad(parsed, events, [(specs[i], k) for i, keys in work.items() for k in keys], batch_id)
-            self._check_drift(events, present, specs, scratch)
+            self._check_drift(events, present, specs, batch_id, scratch)
             gated = self._gated()
             # Specs that share a mart follow each other; different marts run side by side.
             marts: dict[str, list[tuple[int, MartSpec, list[TableKey]]]] = {}
@@ -149,7 +155,7 @@ class ChangeApplier:
         self, parsed: DataFrame, events: DataFrame, work: list[tuple[MartSpec, TableKey]], batch_id: int
     ) -> None:
         """Keep records that could not be used: those that are no envelope, and per mart the unusable events."""
-        found = [bad_in(parsed).select("value", F.lit("not an envelope").alias("reason"))]
+        found = [bad_in(parsed)]
         for spec, key in work:
             if not self.store.exists(spec.name):
                 continue
@@ -159,7 +165,8 @@ class ChangeApplier:
             found.append(wrong.select(F.to_json("after").alias("value"), problem.alias("reason")))
             if not self._versioned(spec):
                 keyless = keyless_events(events, spec, key)
-                problem = F.lit(f"mart {spec.name}, {key}: key column missing")
+                lacking = "key column missing" if spec.table(key).conflict_columns() else "no update key"
+                problem = F.lit(f"mart {spec.name}, {key}: {lacking}")
                 found.append(keyless.select(F.to_json("after").alias("value"), problem.alias("reason")))
         # Many marts are handled in several plans of limited size, each tagged on its own.
         for n in range(0, len(found), MAX_UNION):
@@ -177,41 +184,56 @@ class ChangeApplier:
             self.store.compact(BAD_RECORDS, 64)
 
     def _check_drift(
-        self, events: DataFrame, present: set[TableKey], specs: dict[int, MartSpec], scratch: str
+        self, events: DataFrame, present: set[TableKey], specs: dict[int, MartSpec], batch_id: int, scratch: str
     ) -> None:
         """Compare the touched tables of all marts, unless nothing changed since the last comparison."""
         present = present & {t.key for s in specs.values() for t in s.tables}
         built = {i: self.store.version(s.name).names for i, s in specs.items() if self.store.exists(s.name)}
         if self.evolution is None or self.source_columns is None or not present or not built:
             return
-        if self.source_columns == "observed":
-            seen = observed_columns(data_events(events))
-            found = seen.withColumn("type", F.lit(None).cast("string"))
+        observed = self.source_columns == "observed"
+        if observed:
+            found = self._observed(events, batch_id)
         else:
-            found = self.source_columns(present)
-        # Column lists are metadata: at most the columns of the tables the marts use.
-        source = sorted({tuple(r) for r in found.select(*_SOURCE.names).toLocalIterator()}, key=repr)
-        state = [source, specs, built, self.evolution.state()]
+            found = settle(self.source_columns(present).select(*_SOURCE.names).distinct(), "source", scratch)
+        # Whether anything changed is told by a sum over the columns, which stay where they are.
+        mark = found.agg(F.count("*"), F.sum(F.xxhash64(*found.columns).cast("decimal(38,0)"))).first()
+        state = [tuple(mark), specs, built, self.evolution.state()]
         if state == self._checked.get(frozenset(present)):
             return
         spark = self.store.spark
         touched = local_frame(spark, [(k.source, k.schema, k.table) for k in present], _TABLES)
         registry = self.registry.frame().where(F.col("id").isin(list(built)))
         spec = spec_columns(registry)
-        report = drift.drift_report(
-            local_frame(spark, source, _SOURCE),
-            spec.join(touched, _TABLES.names, "left_semi"),
-            local_frame(spark, [(i, c) for i, names in built.items() for c in names], _MARTS),
-            # Columns of the mart's other tables belong to the spec as well.
-            extra_targets(registry).union(spec.select("view_id", "target")),
-            scratch=scratch,
-        )
+        spec = spec.join(touched, _TABLES.names, "left_semi")
+        mart = local_frame(spark, [(i, c) for i, names in built.items() for c in names], _MARTS)
+        # Columns of the mart's other tables belong to the spec as well.
+        extra = extra_targets(registry).union(spec_columns(registry).select("view_id", "target"))
+        if observed:
+            report = drift.observed_report(found, spec, mart, extra, scratch)
+        else:
+            report = drift.drift_report(found, spec, mart, extra, renames=self.renames, scratch=scratch)
         report = settle(report, "drift", scratch)
         self.evolution.record(report)
-        if self.auto_suggest:
+        if self.auto_suggest and not observed:
             self.evolution.suggest(report)
         self._checked[frozenset(present)] = [*state[:-1], self.evolution.state()]
 
+    def _observed(self, events: DataFrame, batch_id: int) -> DataFrame:
+        """The columns seen in any event so far; a batch adds those it is the first to show."""
+        tag = (f"{self.name}:observed", batch_id)
+        if not self._done(OBSERVED, *tag):
+            seen = observed_columns(data_events(events))
+            if self.store.exists(OBSERVED):
+                seen = seen.join(self.store.read(OBSERVED), _COLUMNS.names, "left_anti")
+            seen = seen.select(*_COLUMNS.names).persist()
+            try:
+                if not seen.isEmpty():
+                    self.store.append(OBSERVED, seen, tag)
+            finally:
+                seen.unpersist()
+        return self.store.read(OBSERVED) if self.store.exists(OBSERVED) else local_frame(self.store.spark, [], _COLUMNS)
+
     def _gated(self) -> set[tuple[int, TableKey]]:
         """Marts and tables with a pending rename suggestion."""
         if self.evolution is None or self.store.is_empty(self.evolution.SUGGESTIONS):
@@ -242,8 +264,7 @@ class ChangeApplier:
                 continue
             batch = (tag, batch_id)
             if not versioned and not spec.table(key).conflict_columns():
-                log.warning("table %s of mart %s has no update key; its changes cannot be applied", key, spec.name)
-                continue
+                continue  # its events are among the bad records
             if versioned:
                 mart = self.store.read(spec.name)
                 rows = partial_rows(events, spec, key, mart.schema, self.profile, self.ts_unit, False, "skip")

@@ -13,28 +13,28 @@ from sparkmart.plans.spec import ColumnSpec, JsonField, MartSpec, TableKey, Tabl
 from sparkmart.sources import discovery
 from sparkmart.sources.catalog import FrameSource, SourceCatalog, count_tables
 
-KEY = TableKey("db", "sch", "tbl")
+KEY = TableKey("shop", "stock", "part")
 
 
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def spec_with(*columns, name="sample_view", key=KEY):
+def spec_with(*columns, name="parts", key=KEY):
     return MartSpec(name, (TableSpec(key, tuple(columns)),))
 
 
 # -- drift --------------------------------------------------------------------------------------
 
 
-def frames(spark, source, spec, mart, table="plans"):
+def frames(spark, source, spec, mart, table="supplier"):
     """Catalogs from lists; a spec entry is name, (name, type) or (name, type, target)."""
     def facts(entry):
         name, kind, target = (entry, None, None) if isinstance(entry, str) else (*entry, None)[:3]
         return name, kind, target or name
 
-    src = [("db", "sch", table, *(e if isinstance(e, tuple) else (e, None))) for e in source]
-    spc = [(1, "db", "sch", table, facts(e)[0], facts(e)[2], facts(e)[1]) for e in spec]
+    src = [("shop", "stock", table, *(e if isinstance(e, tuple) else (e, None))) for e in source]
+    spc = [(1, "shop", "stock", table, facts(e)[0], facts(e)[2], facts(e)[1]) for e in spec]
     text, num = T.StringType(), T.LongType()
     return (
         spark.createDataFrame(src, row_type(db=text, schema=text, table=text, column=text, type=text)),
@@ -47,15 +47,22 @@ def findings(report):
     return sorted((r.type, r.old, r.new) for r in report.collect())
 
 
-def test_renamed_source_column(spark):
-    spec = [("id", "integer"), ("name", "text"), ("plan_id", "integer")]
-    cats = frames(spark, [("id", "integer"), ("title", "text"), ("plan_id", "integer")], spec, ["id", "name", "plan_id"])
-    assert findings(drift.drift_report(*cats)) == [("rename_candidate", "name", "title"), ("schema_only", "name", None)]
+def test_a_supplier_column_gets_a_longer_name(spark):
+    spec = [("s_suppkey", "bigint"), ("s_phone", "text"), ("s_acctbal", "numeric")]
+    source = [("s_suppkey", "bigint"), ("s_phone_no", "text"), ("s_acctbal", "numeric")]
+    cats = frames(spark, source, spec, [name for name, _ in spec])
+    assert findings(drift.drift_report(*cats)) == [("rename_candidate", "s_phone", "s_phone_no"), ("schema_only", "s_phone", None)]
 
 
-def test_removed_source_column(spark):
-    cats = frames(spark, ["id", "plan_id"], ["id", "name", "plan_id"], ["id", "name", "plan_id"])
-    assert findings(drift.drift_report(*cats)) == [("schema_only", "name", None)]
+def test_supplier_columns_go(spark):
+    spec = ["s_suppkey", "s_comment", "s_phone"]
+    cats = frames(spark, ["s_suppkey"], spec, spec)
+    assert findings(drift.drift_report(*cats)) == [("schema_only", "s_comment", None), ("schema_only", "s_phone", None)]
+
+
+def test_observed_columns_prove_nothing_gone(spark):
+    seen, spec, mart = frames(spark, ["s_suppkey", "s_phone_no"], [("s_suppkey", "bigint"), ("s_phone", "text"), ("s_rank", "int")], ["s_suppkey", "s_phone", "s_old"])
+    assert findings(drift.observed_report(seen, spec, mart)) == [("dwh_only", "s_old", None), ("missing_in_dwh", None, "s_rank")]
 
 
 def test_missing_and_unknown_mart_columns_ignore_case(spark):
@@ -109,23 +116,34 @@ def test_groups_are_opened_refreshed_and_closed(spark):
 
 # -- resolutions --------------------------------------------------------------------------------
 
+PARTS = ("p_partkey", "p_brand", "p_size", "p_comment")
+
 
 @pytest.mark.parametrize(
-    "decision,columns,renames,drops",
+    "decision,left,renames,drops",
     [
-        (Resolution(ignores=("x",)), ["col1", "legacy"], {}, ()),
-        (Resolution(renames=(("col1", "new_col"),)), ["new_col", "legacy"], {"col1": "new_col"}, ()),
-        (Resolution(deletes=("LEGACY",)), ["col1"], {}, ()),
-        (Resolution(drops=("legacy", "Legacy")), ["col1"], {}, ("legacy",)),
-        (Resolution(renames=(("col1", "n"),), drops=("legacy",), deletes=("legacy",)), ["n"], {"col1": "n"}, ("legacy",)),
+        (Resolution(ignores=PARTS), PARTS, {}, ()),
+        (Resolution(deletes=("P_Size", "p_size")), ("p_partkey", "p_brand", "p_comment"), {}, ()),
+        (Resolution(drops=("P_COMMENT",), deletes=("p_brand",)), ("p_partkey", "p_size"), {}, ("P_COMMENT",)),
+        (
+            Resolution(renames=(("p_size", "p_width"), ("p_width", "p_depth"))),
+            ("p_partkey", "p_brand", "p_depth", "p_comment"),
+            {"p_size": "p_width", "p_width": "p_depth"},
+            (),
+        ),
+        (
+            Resolution(renames=(("p_brand", "p_maker"),), drops=("p_maker",)),
+            ("p_partkey", "p_size", "p_comment"),
+            {"p_brand": "p_maker"},
+            ("p_maker",),
+        ),
     ],
+    ids=["ignored", "deleted twice", "dropped and deleted", "renamed twice", "renamed and dropped"],
 )
-def test_plan_resolution(decision, columns, renames, drops):
-    spec = spec_with(ColumnSpec("col1"), ColumnSpec("legacy"))
-    change = plan_resolution(spec, KEY, decision)
-    assert [c.name for c in change.spec.tables[0].columns] == columns
-    assert (change.renames, change.drops) == (renames, drops)
-    assert change.spec_changed == (columns != ["col1", "legacy"])
+def test_decisions_on_part_columns(decision, left, renames, drops):
+    change = plan_resolution(spec_with(*map(ColumnSpec, PARTS)), KEY, decision)
+    assert tuple(c.name for c in change.spec.tables[0].columns) == left
+    assert (change.renames, change.drops, change.spec_changed) == (renames, drops, left != PARTS)
 
 
 def test_resolution_of_an_alias_keeps_the_mart_name(spark):
@@ -158,7 +176,7 @@ def test_suggestions_can_be_rejected(spark, store):
     report = drift.drift_report(*frames(spark, [("id", "text"), ("names", "text")], spec, ["id", "name"]))
     evolution.suggest(report)
     evolution.suggest(report)
-    only = evolution.list_suggestions(db="db", limit="x", offset=-3).collect()
+    only = evolution.list_suggestions(db="shop", limit="x", offset=-3).collect()
     assert [(s.old_column_name, s.new_column_name) for s in only] == [("name", "names")]
     evolution.reject(only[0].id)
     assert evolution.suggestions().count() == 0
@@ -179,11 +197,11 @@ def test_registry(spark, store):
     assert (reg.add(one), reg.add(two)) == (1, 2)
     assert reg.get(1) == one and reg.specs() == {1: one, 2: two}
     frame = reg.frame()
-    assert rows_of(registry.topics(frame)) == [("dbserver_db.sch.tbl",), ("dbserver_db2.s.t",)]
+    assert rows_of(registry.topics(frame)) == [("dbserver_db2.s.t",), ("dbserver_shop.stock.part",)]
     assert [tuple(r) for r in registry.summary(frame).orderBy(F.desc("id")).collect()] == [(2, "two", 2, 2), (1, "one", 1, 1)]
-    assert rows_of(registry.views_using(frame, "db", "sch", "tbl")) == [(1, "one"), (2, "two")]
-    assert rows_of(registry.views_using(frame, "db2", "sch", "t")) == []
-    assert rows_of(registry.routes(frame).select("view", "table")) == [("one", "tbl"), ("two", "t"), ("two", "tbl")]
+    assert rows_of(registry.views_using(frame, "shop", "stock", "part")) == [(1, "one"), (2, "two")]
+    assert rows_of(registry.views_using(frame, "db2", "stock", "t")) == []
+    assert rows_of(registry.routes(frame).select("view", "table")) == [("one", "part"), ("two", "part"), ("two", "t")]
     assert rows_of(registry.spec_columns(frame).where("view_id = 2").select("column", "target")) == [("a", "a"), ("id", "key")]
     assert [r[0] for r in rows_of(registry.extra_targets(frame).where("view_id = 1").select("target"))] == [
         "_seq", "flat", "other_id", "st_transformed", "updated_at",
@@ -240,15 +258,15 @@ def test_dedup_meets_no_hot_value_in_one_task(spark):
 
 def test_catalog_of_known_tables(spark):
     frame = spark.createDataFrame([(1, "x", datetime.date(2024, 1, 1))], "id long, name string, day date")
-    catalog = SourceCatalog(spark, {"db": FrameSource({"sch.tbl": frame})})
+    catalog = SourceCatalog(spark, {"shop": FrameSource({"stock.part": frame})})
     columns = discovery.column_catalog(spark, catalog, [KEY])
     assert rows_of(columns.select("column", "ordinal", "data_type")) == [("day", 3, "date"), ("id", 1, "bigint"), ("name", 2, "text")]
-    assert rows_of(discovery.list_tables(columns)) == [("db", "sch", "tbl")]
+    assert rows_of(discovery.list_tables(columns)) == [("shop", "stock", "part")]
     tree = discovery.source_tree(columns).first()
     assert [(c["column"], c["data_type"]) for c in tree["tables"][0]["columns"]] == [("id", "bigint"), ("name", "text"), ("day", "date")]
-    assert rows_of(count_tables(catalog, [KEY, KEY])) == [("db", "sch", "tbl", 1)]
+    assert rows_of(count_tables(catalog, [KEY, KEY])) == [("shop", "stock", "part", 1)]
     with pytest.raises(NotFound):
-        catalog.table(TableKey("db", "sch", "none"))
+        catalog.table(TableKey("shop", "stock", "none"))
 
 
 def test_system_schemas_are_hidden(spark):

@@ -12,7 +12,7 @@ from sparkmart.plans.mart import current_view
 from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, JsonField, MartSpec, TableKey, TableSpec, Transform
 from sparkmart.sources import change_log
 from sparkmart.sources.catalog import FrameSource, SourceCatalog
-from sparkmart.streaming.cdc import BAD_RECORDS, ChangeApplier, apply_stream, touched_buckets
+from sparkmart.streaming.cdc import BAD_RECORDS, OBSERVED, ChangeApplier, apply_stream, touched_buckets
 
 USERS, ORDERS = TableKey("db", "public", "users"), TableKey("db", "public", "orders")
 
@@ -227,13 +227,74 @@ def test_no_findings_write_nothing_and_other_tables_do_not_count(spark, store):
     assert s.evolution.groups().count() == 0
 
 
-def test_observed_columns_feed_the_drift_check(spark, store):
+def test_partial_images_show_no_drift(spark, store):
+    s = Setup(spark, store, source_columns="observed", auto_suggest=True)
+    s.add(NAMES)
+    s.batch(0, record(1, {"id": 1, "nick": "x"}))
+    s.batch(1, record(2, {"id": 1, "name": "NEW"}))
+    s.batch(1, record(2, {"id": 1, "name": "NEW"}))
+    assert s.evolution.groups().count() == 0 and s.evolution.suggestions().count() == 0
+    assert store.read("names").where("id = 1").first()["name"] == "NEW"
+    assert rows_of(store.read(OBSERVED).select("table", "column")) == [("users", "id"), ("users", "name"), ("users", "nick")]
+
+
+def test_observed_columns_show_what_a_mart_lacks(spark, store):
     s = Setup(spark, store, source_columns="observed")
+    view_id = s.add(NAMES, versioned=True)
+    s.registry.update(view_id, spec_named("names", ColumnSpec("name", type="text"), ColumnSpec("nick", type="text")))
+    s.batch(0, record(1, {"id": 1, "nick": "x"}))
+    (group,) = s.evolution.groups().collect()
+    assert [(i.mismatch_type, i.new_column_name) for i in s.evolution.group(group.id)["items"]] == [("missing_in_dwh", "nick")]
+
+
+class Stopped(Exception):
+    pass
+
+
+def stop_at(monkeypatch, owner, name, call):
+    """Let the given call of a method fail."""
+    real, calls = getattr(owner, name), []
+
+    def run(*args, **options):
+        calls.append(name)
+        if len(calls) == call:
+            raise Stopped
+        return real(*args, **options)
+
+    monkeypatch.setattr(owner, name, run)
+
+
+@pytest.mark.parametrize("call", [1, 2])
+def test_recording_a_report_can_be_repeated(spark, store, monkeypatch, call):
+    s = Setup(spark, store, source_columns=lambda keys: source_columns(spark, ("id", "bigint")))
     s.add(NAMES)
-    s.batch(0, record(1, {"id": 1, "name": "x"}))
-    assert s.evolution.groups().count() == 0
-    s.batch(1, record(2, {"id": 1, "nick": "x"}))
-    assert s.evolution.groups().count() == 1
+    with monkeypatch.context() as m:
+        stop_at(m, s.store, "publish", call)
+        with pytest.raises(Stopped):
+            s.batch(0, record(1, {"id": 1, "name": "x"}))
+    for _ in range(2):
+        s.batch(0, record(1, {"id": 1, "name": "x"}))
+    (group,) = s.evolution.groups().collect()
+    assert rows_of(s.evolution.items().select("group_id", "old_column_name")) == [(group.id, "name")]
+    assert store.read("names").where("id = 1").first()["name"] == "x"
+
+
+@pytest.mark.parametrize("owner,name", [("store", "alter"), ("registry", "update"), ("store", "publish")])
+@pytest.mark.parametrize("alias", ["", "label"])
+def test_a_resolution_can_be_repeated(spark, store, monkeypatch, owner, name, alias):
+    s = Setup(spark, store, source_columns=lambda keys: source_columns(spark, ("id", "bigint"), ("nick", "text")))
+    view_id = s.add(spec_named("names", ColumnSpec("name", type="text", alias=alias)))
+    s.batch(0, record(1, {"id": 1}))
+    group = s.evolution.groups().first()
+    decision = Resolution(renames=(("name", "nick"),), drops=("id",))
+    with monkeypatch.context() as m:
+        stop_at(m, getattr(s, owner), name, 1)
+        with pytest.raises(Stopped):
+            s.evolution.apply(group.id, decision)
+    s.evolution.apply(group.id, decision)
+    assert store.read("names").columns == [alias or "nick"]
+    assert [c.name for c in s.registry.get(view_id).tables[0].columns] == ["nick"]
+    assert s.evolution.group(group.id).status == "resolved"
 
 
 def test_resolution_changes_mart_and_spec_together(spark, store):
@@ -311,10 +372,11 @@ def test_marts_without_update_key(spark, store):
     s.add(plain)
     s.add(spec_named("history", ColumnSpec("name", type="text")), versioned=True)
     s.batch(0, record(1, {"id": 1, "name": "x"}), record(2, {"name": "no key"}))
-    # Nothing can be matched in the one; the other appends whatever comes.
+    # Nothing can be matched in the one, so its events are kept aside; the other appends whatever comes.
     assert store.read("plain").count() == 20
     assert rows_of(store.read("history").where("_seq > 0").select("id", "name")) == [(1, "x"), (None, "no key")]
-    assert not store.exists(BAD_RECORDS)
+    kept = store.read(BAD_RECORDS).select("reason").distinct().collect()
+    assert store.read(BAD_RECORDS).count() == 2 and kept == [("mart plain, db.public.users: no update key",)]
 
 
 def test_transforms_in_the_stream(spark, store):
