@@ -78,7 +78,7 @@ def topics(registry: DataFrame) -> DataFrame:
 
 
 def summary(registry: DataFrame) -> DataFrame:
-    """``(id, name, source_count, table_count)`` of every mart; order by id descending for the newest first."""
+    """``(id, name, source_count, table_count)`` of every mart, the newest first."""
     per_source = F.transform(
         "v.sources",
         lambda s: F.aggregate(s["schemas"], F.lit(0), lambda n, c: n + F.coalesce(F.array_size(c["tables"]), F.lit(0))),
@@ -90,7 +90,7 @@ def summary(registry: DataFrame) -> DataFrame:
         F.coalesce(F.aggregate(per_source, F.lit(0), lambda n, k: n + F.coalesce(k, F.lit(0))), F.lit(0)).alias(
             "table_count"
         ),
-    )
+    ).orderBy(F.desc("id"))
 
 
 def views_using(registry: DataFrame, db: str, schema: str, table: str) -> DataFrame:

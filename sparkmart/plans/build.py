@@ -9,7 +9,7 @@ from sparkmart.operators.runlog import COMPLETED, FAILED, RunLog
 from sparkmart.plans.join_graph import plan_joins
 from sparkmart.plans.mart import mart_frame, order_key, stamp
 from sparkmart.plans.spec import MartSpec, TableKey
-from sparkmart.session import tune
+from sparkmart.session import tuned
 from sparkmart.sources.catalog import SourceCatalog
 from sparkmart.store import TableStore, Version, suggest_buckets
 
@@ -48,12 +48,12 @@ def build_mart(
     tables = plan_joins(spec, composite=options.get("composite", False)).tables
     catalog = catalog.opened(tables)
     sizes = source_sizes(catalog, tables)
-    tune(store.spark, sum(sizes))
-    df = mart_frame(spec, catalog, **options)
     buckets = suggest_buckets(max(sizes, default=0)) if buckets is None else buckets
-    if versioned:
-        return store.publish(spec.name, stamp(df), (order_key(spec),), buckets, if_exists)
-    return store.publish(spec.name, df, layout_columns(spec), buckets, if_exists)
+    with tuned(store.spark, sum(sizes)):
+        df = mart_frame(spec, catalog, **options)
+        if versioned:
+            return store.publish(spec.name, stamp(df), (order_key(spec),), buckets, if_exists)
+        return store.publish(spec.name, df, layout_columns(spec), buckets, if_exists)
 
 
 def run_build(

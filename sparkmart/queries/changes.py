@@ -71,10 +71,15 @@ def cdc_decode(spark, sf_dir):
     return events.select("seq", "db", "table", user, known_op(F.col("op")).alias("op"))
 
 
-@query("SELECT 'cut' AS kind, count(*) AS records FROM events WHERE event_type = 'error'")
+@query("""
+WITH e AS (
+  SELECT '{"before":null,"after":{"user_id":' || user_id || '},"source":{"db":"shop","schema":"public","table":"users",'
+         || '"lsn":' || event_id || '},"op":"u"}' AS record
+  FROM events WHERE event_type = 'error')
+SELECT left(record, length(record) - 10) AS value, 'not an envelope' AS reason FROM e
+""")
 def cdc_bad_records(spark, sf_dir):
-    bad = change_log.bad_records(raw_user_log(spark, sf_dir))
-    return bad.agg(F.count("*").alias("records")).select(F.lit("cut").alias("kind"), "records")
+    return change_log.bad_records(raw_user_log(spark, sf_dir))
 
 
 def stock_events(spark, sf_dir):
@@ -169,8 +174,8 @@ CUSTOMERS = mart(
 )
 
 
-def customer_log(spark, sf_dir, null_key: str | None = None):
-    """Changes of customers told by events: views concern customers that are not in the mart."""
+def _customer_images(spark, sf_dir, null_key: str | None = None):
+    """Events and the row images they stand for: views concern customers that are not in the mart."""
     events = read(spark, sf_dir, "events")
     key = F.when(_is("view"), -F.col("user_id") - 1).otherwise(F.col("user_id"))
     if null_key:
@@ -183,7 +188,25 @@ def customer_log(spark, sf_dir, null_key: str | None = None):
         (_is(*balance_kinds), "c_acctbal", F.when(~_is("purchase"), F.col("value"))),
         (_is("signup"), "c_mktsegment", F.col("event_type")),
     )
-    return envelopes(events, after, "customer")
+    return events, after
+
+
+def customer_log(spark, sf_dir, null_key: str | None = None):
+    """Changes of customers told by events."""
+    return envelopes(*_customer_images(spark, sf_dir, null_key), "customer")
+
+
+def partitioned_log(spark, sf_dir):
+    """The same as records of three topic partitions, whose offsets repeat; errors have no key, views no position."""
+    events, after = _customer_images(spark, sf_dir, null_key="error")
+    placed = ~_is("view")
+    value = change_log.envelope(after, SHOP, PUBLIC, "customer", "u", F.when(placed, F.col("event_id")))
+    return events.select(
+        value.alias("value"),
+        F.lit("dbserver_shop.public.customer").alias("topic"),
+        (F.col("event_id") % 3).cast("int").alias("partition"),
+        F.when(placed, F.floor(F.col("event_id") / 3)).alias("offset"),
+    )
 
 
 _FOLDED_SQL = """
@@ -222,6 +245,65 @@ def cdc_null_keys(spark, sf_dir):
     return apply_events(base, change_log.decode(customer_log(spark, sf_dir, null_key="error")), CUSTOMERS)
 
 
+_NULL_KEYS_SQL = "UNION ALL SELECT NULL, NULL, value, NULL FROM events WHERE event_type = 'error'"
+
+
+@query(_FOLDED_SQL.format(where="WHERE event_type NOT IN ('error', 'view')") + _APPLIED_SQL + _NULL_KEYS_SQL)
+def cdc_partitioned_log(spark, sf_dir):
+    base = mart_frame(CUSTOMERS, catalog(spark, sf_dir))
+    return apply_events(base, change_log.decode(partitioned_log(spark, sf_dir)), CUSTOMERS)
+
+
+@query("""
+SELECT 'no position' AS reason, -user_id - 1 AS c_custkey, 'v' || event_id AS c_name FROM events
+WHERE event_type = 'view'
+""")
+def cdc_unplaced_records(spark, sf_dir):
+    bad = change_log.bad_records(partitioned_log(spark, sf_dir))
+    field = lambda name: F.get_json_object("value", f"$.after.{name}").alias(name)
+    return bad.select("reason", field("c_custkey").cast("bigint").alias("c_custkey"), field("c_name"))
+
+
+@query(
+    _FOLDED_SQL.format(where="")
+    + """
+SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN has_n THEN n ELSE c_name END AS c_name,
+       CASE WHEN has_b THEN b ELSE c_acctbal END AS c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment
+FROM customer FULL JOIN f ON c_custkey = k
+"""
+)
+def cdc_deleted_column(spark, sf_dir):
+    """Sign-ups carry a value for a column that was deleted; it stays NULL."""
+    spec = mart(
+        "customers_without_segment",
+        table(
+            "customer",
+            _key("c_custkey"),
+            "c_name",
+            column("c_acctbal", type="float8"),
+            column("c_mktsegment", type="text", is_deleted=True),
+        ),
+    )
+    base = mart_frame(spec, catalog(spark, sf_dir))
+    return apply_events(base, change_log.decode(customer_log(spark, sf_dir)), spec)
+
+
+@query("""
+SELECT -1 - c_custkey AS c_custkey, c_name, CAST(NULL AS DOUBLE) AS c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment
+FROM customer WHERE c_nationkey < 20
+""")
+def cdc_no_mart_column(spark, sf_dir):
+    """Events that write no column of the mart are skipped, here those of customers of some nations."""
+    customers = read(spark, sf_dir, "customer")
+    ours = F.col("c_nationkey") < 20
+    after = _after(
+        (ours, "c_custkey", -F.col("c_custkey") - 1), (ours, "c_name", F.col("c_name")), (~ours, "c_nationkey", F.col("c_nationkey"))
+    )
+    log = envelopes(customers, after, "customer", seq="c_custkey")
+    empty = mart_frame(CUSTOMERS, catalog(spark, sf_dir)).where(F.lit(False))
+    return apply_events(empty, change_log.decode(log), CUSTOMERS)
+
+
 ORDER_CUSTOMERS = mart(
     "order_customers",
     table("orders", _key("o_orderkey"), "o_totalprice"),
@@ -233,15 +315,15 @@ ORDER_CUSTOMERS = mart(
 @query("""
 WITH m AS (SELECT o_orderkey, o_totalprice, c_custkey AS customer_id, c_name, c_acctbal
            FROM orders JOIN customer ON o_custkey = c_custkey),
-f AS (SELECT user_id, arg_max_null(value, event_id) AS b FROM events WHERE event_type = 'click' GROUP BY user_id)
+f AS (SELECT user_id, arg_max_null(value, event_id) AS b FROM events GROUP BY user_id)
 SELECT o_orderkey, o_totalprice, customer_id, c_name, CASE WHEN user_id IS NULL THEN c_acctbal ELSE b END AS c_acctbal
 FROM m LEFT JOIN f ON customer_id = user_id
 UNION ALL SELECT NULL, NULL, user_id, NULL, b FROM f WHERE user_id NOT IN (SELECT customer_id FROM m)
 """)
 def cdc_fanout_update_many(spark, sf_dir):
-    clicks = read(spark, sf_dir, "events").where(_is("click"))
+    events = read(spark, sf_dir, "events")
     after = _after((F.lit(True), "c_custkey", F.col("user_id")), (F.lit(True), "c_acctbal", F.col("value")))
-    changes = change_log.decode(envelopes(clicks, after, "customer"))
+    changes = change_log.decode(envelopes(events, after, "customer"))
     base = mart_frame(ORDER_CUSTOMERS, catalog(spark, sf_dir))
     return apply_events(base, changes, ORDER_CUSTOMERS, [table_key("customer")])
 
@@ -327,12 +409,12 @@ def cdc_view_key(spark, sf_dir):
 
 @query("""
 WITH a AS (
-  SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'P' THEN 1.5 ELSE o_totalprice END AS o_totalprice, c_custkey,
+  SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN o_totalprice ELSE 1.5 END AS o_totalprice, c_custkey,
          c_acctbal
   FROM orders JOIN customer ON o_custkey = c_custkey
   UNION ALL SELECT -o_orderkey - 1, o_custkey, 1.5, o_custkey, NULL FROM orders WHERE o_orderstatus = 'F'),
-f AS (SELECT user_id, arg_max(value, event_id) AS b FROM events WHERE event_type = 'click' GROUP BY user_id)
-SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, coalesce(b, c_acctbal) AS c_acctbal
+f AS (SELECT user_id, arg_max_null(value, event_id) AS b FROM events GROUP BY user_id)
+SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, CASE WHEN user_id IS NULL THEN c_acctbal ELSE b END AS c_acctbal
 FROM a LEFT JOIN f ON c_custkey = user_id AND o_custkey = user_id
 UNION ALL SELECT NULL, user_id, NULL, user_id, b FROM f WHERE user_id NOT IN (SELECT c_custkey FROM a)
 """)
@@ -348,16 +430,16 @@ def cdc_two_tables(spark, sf_dir):
         table("customer", _key("c_custkey", view_key="o_custkey"), column("c_acctbal", type="float8")),
         joins=(on("orders.o_custkey", "customer.c_custkey"),),
     )
-    orders = read(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("P", "F"))
+    orders = read(spark, sf_dir, "orders")
     key = F.when(F.col("o_orderstatus") == "F", -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey"))
     always = F.lit(True)
     order_changes = _after(
         (always, "o_orderkey", key), (always, "o_custkey", F.col("o_custkey")), (always, "o_totalprice", F.lit(1.5))
     )
-    clicks = read(spark, sf_dir, "events").where(_is("click"))
+    events = read(spark, sf_dir, "events")
     customer_changes = _after((always, "c_custkey", F.col("user_id")), (always, "c_acctbal", F.col("value")))
     log = envelopes(orders, order_changes, "orders", seq="o_orderkey").union(
-        envelopes(clicks, customer_changes, "customer")
+        envelopes(events, customer_changes, "customer")
     )
     return apply_events(mart_frame(spec, catalog(spark, sf_dir)), change_log.decode(log), spec)
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from sparkmart.operators import drift
 from sparkmart.operators.evolve import SUGGESTIONS, Resolution, new_suggestions, plan_resolution, project_change
 from sparkmart.operators.paging import match_all, ordered_page
+from sparkmart.operators.registry import REGISTRY, spec_columns
+from sparkmart.operators.routing import data_events, observed_columns
 from sparkmart.plans.mart import mart_frame
 from sparkmart.queries.base import catalog, query, read, table_key
 from sparkmart.queries.marts import CUSTOMER_ORDERS
@@ -74,12 +76,18 @@ def line_catalogs(spark, sf_dir):
             "l_linestatus",
         )
     )
-    facts = ["db", "schema", "table", "column", "type"]
-    source = lines.where(F.col("l_returnflag").isin("A", "N")).select(*facts).distinct()
-    spec = lines.where(F.col("l_returnflag").isin("N", "R")).select("view_id", *facts).distinct()
-    spec = spec.withColumn("target", F.col("column"))
-    mart = lines.where("l_linestatus = 'O'").select("view_id", "column").distinct()
-    return settle(source, "source"), settle(spec, "spec"), settle(mart, "mart")
+    # One pass over the lines: every name of a mart with the highest type and the catalogs that have it.
+    names = ["view_id", "db", "schema", "table", "column"]
+    kinds = {"source": F.col("l_returnflag").isin("A", "N"), "spec": F.col("l_returnflag").isin("N", "R")}
+    seen = lines.groupBy(*names).agg(
+        *(F.max(F.when(c, F.col("type"))).alias(f"{k}_type") for k, c in kinds.items()),
+        *(F.bool_or(c).alias(f"in_{k}") for k, c in kinds.items()),
+        F.bool_or(F.col("l_linestatus") == "O").alias("in_mart"),
+    )
+    seen = settle(seen, "lines")
+    source = seen.where("in_source").select("db", "schema", "table", "column", F.col("source_type").alias("type"))
+    spec = seen.where("in_spec").select(*names, F.col("spec_type").alias("type"), F.col("column").alias("target"))
+    return source, spec, seen.where("in_mart").select("view_id", "column")
 
 
 @query(_LINES_SQL + """
@@ -144,23 +152,32 @@ def _open_groups(spark, sf_dir):
 _GROUPS_SQL = _LINES_SQL + """,
 before AS (SELECT o_orderkey AS schema_id, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'resolved' END AS status
            FROM orders),
-found AS (SELECT view_id AS schema_id, count(*) AS items FROM report GROUP BY 1),
+found AS (SELECT view_id AS schema_id, type AS mismatch_type, old AS old_column_name, new AS new_column_name, score
+          FROM report),
+stale AS (SELECT 'schema_only' AS mismatch_type, 'stale' AS old_column_name, CAST(NULL AS VARCHAR) AS new_column_name,
+                 CAST(NULL AS DOUBLE) AS score),
 after AS (
-  SELECT schema_id, status, true AS old_group, coalesce(CASE WHEN status = 'open' THEN items END, 1) AS items
-  FROM before LEFT JOIN found USING (schema_id)
-  UNION ALL SELECT schema_id, 'open', false, items FROM found
-            WHERE schema_id NOT IN (SELECT schema_id FROM before WHERE status = 'open'))
+  SELECT schema_id, 'open' AS status, true AS old_group, found.* EXCLUDE (schema_id)
+  FROM before JOIN found USING (schema_id) WHERE status = 'open'
+  UNION ALL SELECT schema_id, 'open', false, found.* EXCLUDE (schema_id) FROM before JOIN found USING (schema_id)
+            WHERE status = 'resolved'
+  UNION ALL SELECT before.schema_id, status, true, stale.* FROM before CROSS JOIN stale
+            WHERE status = 'resolved' OR before.schema_id NOT IN (SELECT schema_id FROM found))
 """
 
 
 @query(_GROUPS_SQL + "SELECT * FROM after")
 def mismatch_groups(spark, sf_dir):
+    """Every group with each of its items."""
     report = settle(drift.drift_report(*line_catalogs(spark, sf_dir)), "report")
     now = F.lit("2030-01-01 00:00:00").cast("timestamp")
     groups, items = drift.upsert_groups(report, *_open_groups(spark, sf_dir), now)
-    full = drift.groups_with_items(groups, items)
-    old = F.col("id") < 0
-    return full.select("schema_id", "status", old.alias("old_group"), F.size("items").cast("bigint").alias("items"))
+    old = (F.col("id") < 0).alias("old_group")
+    shown = groups.select("schema_id", "status", old, F.col("id").alias("group_id"))
+    what = ["mismatch_type", "old_column_name", "new_column_name"]
+    return shown.join(items.drop("id"), "group_id").select(
+        "schema_id", "status", "old_group", *what, F.round("score", 9).alias("score")
+    )
 
 
 @query("""
@@ -197,3 +214,53 @@ def mart_resolution(spark, sf_dir):
     first = plan_resolution(CUSTOMER_ORDERS, table_key("customer"), customer)
     second = plan_resolution(first.spec, table_key("orders"), orders)
     return project_change(project_change(built, first), second)
+
+
+@query("""
+WITH kinds AS (SELECT unnest(['click', 'view', 'signup', 'purchase']) AS kind, unnest([0, 1, 2, 3]) AS number),
+seen AS (SELECT DISTINCT user_id AS view_id FROM events WHERE event_type <> 'error')
+SELECT view_id, 'users_' || view_id AS "table", 'missing_in_dwh' AS type, CAST(NULL AS VARCHAR) AS old,
+       kind || '_value' AS new
+FROM seen JOIN kinds ON number = view_id % 4
+""")
+def cdc_observed_drift(spark, sf_dir):
+    """Events show a few columns of a table each; only what a mart lacks is a finding, nothing counts as gone."""
+    from sparkmart.queries.changes import activity_events
+
+    events = data_events(activity_events(spark, sf_dir))
+    events = events.withColumn("table", F.concat(F.lit("users_"), F.col("after")["user_id"]))
+    seen = settle(observed_columns(events), "observed")
+    kinds = ["click", "view", "signup", "purchase"]
+    place = [F.substring("table", 7, 20).cast("bigint").alias("view_id"), "db", "schema", "table"]
+    views = seen.select(*place).distinct()
+    names = F.array(F.lit("user_id"), *(F.lit(f"{k}_value") for k in kinds))
+    spec = views.select("*", F.explode(names).alias("column")).withColumns({"target": F.col("column"), "type": F.lit("text")})
+    lacks = F.element_at(F.array(*(F.lit(f"{k}_value") for k in kinds)), (F.col("view_id") % 4 + 1).cast("int"))
+    mart = spec.where(F.col("column") != lacks).select("view_id", "column")
+    return drift.observed_report(seen, spec, mart).select("view_id", "table", "type", "old", "new")
+
+
+_RESOLVED_SPECS_SQL = """
+SELECT n_nationkey AS view_id, CASE WHEN c = 'bal' AND n_nationkey % 3 = 0 THEN 'balance' ELSE c END AS "column"
+FROM nation, (SELECT unnest(['id', 'bal', 'note']) AS c)
+WHERE NOT (c = 'note' AND n_nationkey % 3 = 1) AND NOT (c = 'bal' AND n_nationkey % 3 = 2)
+"""
+
+
+@query(_RESOLVED_SPECS_SQL)
+def resolved_specs(spark, sf_dir):
+    """The specs after renames, deletions and drops, one mart per nation."""
+    from sparkmart.queries.base import mart, table
+
+    decisions = [
+        Resolution(renames=(("bal", "balance"),)),
+        Resolution(deletes=("NOTE",)),
+        Resolution(drops=("bal", "BAL"), ignores=("id",)),
+    ]
+    rows = []
+    for r in read(spark, sf_dir, "nation").select("n_nationkey").toLocalIterator():
+        key = table_key(f"stock_{r[0]}")
+        spec = mart(f"stock_{r[0]}", table(key.table, "id", "bal", "note"))
+        rows.append((r[0], plan_resolution(spec, key, decisions[r[0] % 3]).spec.to_json()))
+    registry = local_frame(spark, rows, REGISTRY)
+    return spec_columns(registry).select("view_id", "column")

@@ -88,7 +88,8 @@ def bytes_hex(spark, sf_dir):
 
 @query("""
 SELECT vec_id, label + label + 1 + vec_id AS int_sum, CAST(NULL AS VARCHAR) AS int_texts,
-       CAST(NULL AS BIGINT) AS text_sum, label || '|a' AS text_items, len(embedding) AS width
+       CAST(NULL AS BIGINT) AS text_sum, label || '|a' AS text_items, len(embedding) AS width,
+       CAST(list_sum([CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT) FOR x IN embedding]) AS BIGINT) AS thousandths
 FROM embeddings
 """)
 def array_normalise(spark, sf_dir):
@@ -107,6 +108,9 @@ def array_normalise(spark, sf_dir):
         total(b).alias("text_sum"),
         F.array_join(b["texts"], "|").alias("text_items"),
         F.size(floats).cast("bigint").alias("width"),
+        F.aggregate(
+            floats, F.lit(0).cast("bigint"), lambda s, x: s + F.round(x.cast("float").cast("double") * 1000).cast("bigint")
+        ).alias("thousandths"),
     )
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from contextlib import contextmanager
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +27,11 @@ ADAPTIVE_CONF = {
 }
 
 
-# Shuffle partitions are planned for this much input each, up to a number a driver still handles well.
-_PER_PARTITION, _MOST_PARTITIONS = 256 << 20, 50_000
+# Shuffle partitions are planned for this much input each.
+_PER_PARTITION = 256 << 20
+
+# Size-dependent settings as they were before the first change, by session and name.
+_BEFORE: dict[tuple[str, str], str | None] = {}
 
 
 def size_conf(input_bytes: int) -> dict[str, str]:
@@ -33,7 +40,7 @@ def size_conf(input_bytes: int) -> dict[str, str]:
     AQE merges shuffle partitions that turn out small but cannot add any, so it has to start with enough
     of them. Large inputs are also read and written in larger pieces.
     """
-    partitions = min(-(-input_bytes // _PER_PARTITION), _MOST_PARTITIONS)
+    partitions = -(-input_bytes // _PER_PARTITION)
     conf = {}
     if partitions > 200:
         conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(partitions)
@@ -43,13 +50,38 @@ def size_conf(input_bytes: int) -> dict[str, str]:
     return conf
 
 
+_SIZED = tuple(size_conf(1 << 60))
+
+
 def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
-    """Set the adaptive options, and those for an input of this size, on a running session."""
-    for key, value in {**ADAPTIVE_CONF, **size_conf(input_bytes)}.items():
+    """Set the adaptive options, and those for an input of this size, on a running session.
+
+    Size-dependent settings that an input of this size does not need go back to what they were at first.
+    """
+    session = str(spark._jsparkSession.sessionUUID())
+    sized = size_conf(input_bytes)
+    for key in _SIZED:
+        before = _BEFORE.setdefault((session, key), spark.conf.get(key, None))
+        if key in sized:
+            spark.conf.set(key, sized[key])
+        elif spark.conf.get(key, None) != before:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    for key, value in ADAPTIVE_CONF.items():
         spark.conf.set(key, value)
     return spark
 
 
+@contextmanager
+def tuned(spark: SparkSession, input_bytes: int):
+    """``tune`` for what runs inside; the size-dependent settings then are as before."""
+    before = {key: spark.conf.get(key, None) for key in _SIZED}
+    try:
+        yield tune(spark, input_bytes)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def local_session(cpus: int = 8, app: str = "sparkmart", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     return tune(
@@ -79,9 +111,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/sparkmart/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/sparkmart/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate data of this application. Frames that were built on it can no longer be read."""
+    from sparkmart.files import Files
+
+    root = _scratch_root(spark)
+    Files(spark, root).remove(root)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, where it is not installed there."""
+    root = Path(__file__).parent
+    target = os.path.join(tempfile.mkdtemp(prefix="sparkmart-ship-"), "sparkmart.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(target)
 
 
 def local_frame(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType) -> DataFrame:

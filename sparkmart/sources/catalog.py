@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,44 +44,76 @@ class TableSource:
         return spark.table(f"{self.prefix}`{key.schema}`.`{key.table}`")
 
 
+# A whole number from any column, by the dialect in the URL.
+_HASHES = {
+    "postgresql": "abs(hashtext(cast({column} as text))::bigint)",
+    "mysql": "crc32(cast({column} as char))",
+    "sqlserver": "abs(cast(checksum({column}) as bigint))",
+    "oracle": "ora_hash({column})",
+}
+
+
 @dataclass(frozen=True)
 class JdbcSource:
-    """Tables of a database, read in parallel ranges of a numeric key when one is named.
+    """Tables of a database, read in parallel parts of a key when one is named.
 
-    ``partition_by`` maps a table name to its key column; the key range is asked from the database
-    first. Needs the database's driver jar on the class path.
+    ``partition_by`` maps a table name to its key column. A numeric key is read in ranges between its smallest and
+    largest value, any other key by its hash. The number of parts follows the row count, ``rows_per_part``
+    rows each; how many are read at a time is up to the cores of the session. Needs the database's driver jar on the class path.
     """
 
     url: str
     options: Mapping[str, str] = field(default_factory=dict)
     partition_by: Mapping[str, str] = field(default_factory=dict)
-    partitions: int = 10
+    rows_per_part: int = 500_000
     fetch_size: int = 10_000
 
     def _reader(self, spark: SparkSession):
         return spark.read.format("jdbc").option("url", self.url).options(**self.options)
 
+    def _quoted(self, name: str) -> str:
+        return f"`{name}`" if self.url.startswith("jdbc:mysql") else f'"{name}"'
+
+    def _table(self, key: TableKey) -> str:
+        return f"{self._quoted(key.schema)}.{self._quoted(key.table)}"
+
     def range_query(self, key: TableKey, column: str) -> str:
-        return f'SELECT MIN("{column}") AS lo, MAX("{column}") AS hi FROM "{key.schema}"."{key.table}"'
+        c = self._quoted(column)
+        return f"SELECT MIN({c}) AS lo, MAX({c}) AS hi, COUNT(*) AS n FROM {self._table(key)}"
+
+    def parts(self, rows: int) -> int:
+        return max(1, -(-rows // self.rows_per_part))
 
-    def scan_options(self, key: TableKey, column: str, low, high) -> dict[str, str]:
+    def scan_options(self, key: TableKey, column: str, low, high, rows: int) -> dict[str, str]:
         return {
-            "dbtable": f'"{key.schema}"."{key.table}"',
+            "dbtable": self._table(key),
             "partitionColumn": column,
             "lowerBound": str(low),
             "upperBound": str(high),
-            "numPartitions": str(self.partitions),
+            "numPartitions": str(self.parts(rows)),
             "fetchsize": str(self.fetch_size),
         }
 
+    def hash_predicates(self, column: str, rows: int) -> list[str]:
+        """One condition per part; together they cover every row once, rows without a key in the first."""
+        number = next((h for d, h in _HASHES.items() if self.url.startswith(f"jdbc:{d}")), None)
+        parts = self.parts(rows)
+        if number is None or parts == 1:
+            return ["1 = 1"]
+        c = self._quoted(column)
+        rest = f"mod({number.format(column=c)}, {parts})" if "sqlserver" not in self.url else f"{number.format(column=c)} % {parts}"
+        return [f"{c} IS NULL OR {rest} = 0", *(f"{rest} = {i}" for i in range(1, parts))]
+
     def read(self, spark: SparkSession, key: TableKey) -> DataFrame:
         column = self.partition_by.get(key.table)
-        if column:
-            low, high = self._reader(spark).option("query", self.range_query(key, column)).load().first()
-            if low is not None:
-                return self._reader(spark).options(**self.scan_options(key, column, low, high)).load()
-        table = f'"{key.schema}"."{key.table}"'
-        return self._reader(spark).option("dbtable", table).option("fetchsize", self.fetch_size).load()
+        reader = self._reader(spark).option("fetchsize", self.fetch_size)
+        if not column:
+            return reader.option("dbtable", self._table(key)).load()
+        low, high, rows = self._reader(spark).option("query", self.range_query(key, column)).load().first()
+        if low is not None and isinstance(low, (int, Decimal)):
+            return self._reader(spark).options(**self.scan_options(key, column, low, high, rows)).load()
+        settings = {**self.options, "fetchsize": str(self.fetch_size)}
+        return spark.read.jdbc(self.url, self._table(key), predicates=self.hash_predicates(column, rows), properties=settings)
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,10 @@
 """Plan checks: what is read, what is shuffled, and what happens to a key that holds a third of all rows."""
 
 import re
+import subprocess
+import sys
 from contextlib import contextmanager
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from sparkmart.plans.mart import current_view, mart_frame
 from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, MartSpec, TableKey, TableSpec
 from sparkmart.plans.build import source_sizes
 from sparkmart.queries.marts import CUSTOMER_ORDERS, FIVE_TABLES
-from sparkmart.session import size_conf
+from sparkmart.session import clear_scratch, settle, size_conf, tune, tuned
 from sparkmart.sources.catalog import FileSource, FrameSource, SourceCatalog
 
 ROWS = 300_000
@@ -60,10 +63,50 @@ def test_settings_follow_the_input_size():
     assert size_conf(40 << 20) == {}
     assert size_conf(100 << 30)["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "400"
     large = size_conf(100 << 40)
-    assert large["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "50000"
+    assert large["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "409600"
     assert large["spark.sql.files.maxPartitionBytes"] == str(512 << 20)
 
 
+def test_settings_go_back_after_a_large_input(spark):
+    keys = list(size_conf(100 << 40))
+    tune(spark)
+    before = {k: spark.conf.get(k, None) for k in keys}
+    with tuned(spark, 100 << 40):
+        assert spark.conf.get(keys[0]) == "409600"
+        tune(spark, 1 << 40)
+        assert spark.conf.get(keys[0]) == "4096"
+    assert {k: spark.conf.get(k, None) for k in keys} == before
+    tune(spark, 100 << 40)
+    tune(spark)
+    assert {k: spark.conf.get(k, None) for k in keys} == before
+
+
+def test_scratch_data_can_be_cleared(spark, tmp_path):
+    kept = settle(spark.range(3), "some")
+    folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists() and spark.sparkContext.applicationId in str(folder)
+    clear_scratch(spark)
+    assert not folder.exists()
+
+
+def test_the_package_reaches_workers_that_lack_it(tmp_path):
+    """Started elsewhere, with the package not on the workers' path, its Python functions still run."""
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parents[1])!r})
+from sparkmart.session import local_session, ship_package
+spark = local_session(2, "ship", memory="1g")
+ship_package(spark)
+sys.path.pop(0)
+from pyspark.sql import functions as F
+from sparkmart.functions.similarity import jaro_winkler
+rows = spark.createDataFrame([("abc", "abd")], "a string, b string")
+assert 0.8 < rows.select(jaro_winkler(F.col("a"), F.col("b"))).first()[0] < 0.9
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_build_measures_its_sources(spark, sf_dir):
     files = SourceCatalog(spark, {"shop": FileSource(sf_dir + "/{table}.parquet")})
     keys = [t.key for t in CUSTOMER_ORDERS.tables]

@@ -206,12 +206,18 @@ def test_rename_and_remove_in_spec():
     assert unique_names(["P_Size", "p_type", "p_size", "P_TYPE", "p_name"]) == ["P_Size", "p_type", "p_name"]
 
 
-def test_jdbc_options():
-    source = JdbcSource("jdbc:postgresql://h/db", partition_by={"t": "id"}, partitions=4)
-    options = source.scan_options(key("t"), "id", 1, 900)
-    assert options["partitionColumn"] == "id" and options["numPartitions"] == "4"
-    assert (options["lowerBound"], options["upperBound"]) == ("1", "900")
-    assert source.range_query(key("t"), "id") == 'SELECT MIN("id") AS lo, MAX("id") AS hi FROM "public"."t"'
+def test_jdbc_parts_follow_the_rows():
+    source = JdbcSource("jdbc:postgresql://h/db", partition_by={"orders": "o_orderkey"}, rows_per_part=1000)
+    options = source.scan_options(key("orders"), "o_orderkey", 1, 900_000, 3500)
+    assert options["partitionColumn"] == "o_orderkey" and options["numPartitions"] == "4"
+    assert (options["lowerBound"], options["upperBound"]) == ("1", "900000")
+    query = source.range_query(key("orders"), "o_orderkey")
+    assert query == 'SELECT MIN("o_orderkey") AS lo, MAX("o_orderkey") AS hi, COUNT(*) AS n FROM "public"."orders"'
+    conditions = source.hash_predicates("o_clerk", 2500)
+    assert len(conditions) == 3 and conditions[0].startswith('"o_clerk" IS NULL OR mod(abs(hashtext(')
+    assert conditions[2].endswith(", 3) = 2")
+    assert source.hash_predicates("o_clerk", 10) == ["1 = 1"]
+    assert "`o_clerk`" in JdbcSource("jdbc:mysql://h/db", rows_per_part=1).hash_predicates("o_clerk", 2)[1]
 
 
 def test_file_and_table_sources(spark, tmp_path):
