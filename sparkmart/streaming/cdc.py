@@ -16,7 +16,7 @@ from sparkmart.operators import drift
 from sparkmart.operators.changes import bad_value_events, conflict_columns, fold, keyless_events, partial_rows
 from sparkmart.operators.evolve import Evolution
 from sparkmart.operators.registry import Registry, extra_targets, spec_columns
-from sparkmart.operators.routing import data_events, observed_columns
+from sparkmart.operators.routing import TABLE, data_events, observed_columns
 from sparkmart.operators.upsert import append_rows, by_conflict_set, merge
 from sparkmart.plans.mart import UPDATED_AT
 from sparkmart.plans.spec import MartSpec, TableKey
@@ -86,13 +86,24 @@ def upsert_table(
     return store.publish_buckets(name, base, merged.withColumn(BUCKET, placed), touched, batch)
 
 
+def by_table(events: DataFrame, scratch: str) -> DataFrame:
+    """The events written once, in a folder per source table: a mart then reads those of its tables only.
+
+    Rebalancing keeps small tables in one file and cuts large ones into several.
+    """
+    path = f"{scratch}/events"
+    events.hint("rebalance", *TABLE).write.partitionBy(*TABLE).parquet(path)
+    return events.sparkSession.read.schema(events.schema).parquet(path)
+
+
 class ChangeApplier:
     """Applies micro-batches of raw change records to all registered marts.
 
     Every (mart, source table) of a batch is one published version tagged with the batch id, so replaying
     a batch after a failure repeats nothing. The registry is read per batch: a new mart joins by itself.
 
-    ``keep_versions`` deletes older mart versions after each batch; by default all are kept.
+    The events of a batch are written once, in a folder per table, so a mart reads those of its tables only.
+    ``keep_versions`` mart versions are kept, older ones are deleted after each batch; ``None`` keeps all.
     ``source_columns`` gives the current source columns of the touched tables for the drift check;
     ``"observed"`` takes all columns seen in events so far, which show what a mart lacks but never that a column
     is gone or renamed; ``None`` switches the check off. ``renames`` switches the rename heuristic.
@@ -112,7 +123,7 @@ class ChangeApplier:
         profile: str = "full",
         ts_unit: str = "us",
         parallel: int = 4,
-        keep_versions: int | None = None,
+        keep_versions: int | None = 100,
         renames: bool = True,
     ):
         self.store, self.registry, self.evolution = store, registry, evolution
@@ -124,14 +135,14 @@ class ChangeApplier:
     # -- one batch ------------------------------------------------------------------------------
 
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
-        # Every later step reads the parsed records; a lost cache block is parsed again from the source.
+        # Both uses of the parsed records come first; a lost cache block is parsed again from the source.
         parsed = parse(raw).persist()
         scratch = scratch_path(self.store.spark, f"batch-{batch_id}")
         try:
-            events = events_in(parsed)
+            events = by_table(data_events(events_in(parsed)), scratch)
             specs = self.registry.specs()
             present = {
-                TableKey(*r) for r in data_events(events).select("db", "schema", "table").distinct().toLocalIterator()
+                TableKey(*r) for r in events.select("db", "schema", "table").distinct().toLocalIterator()
             }
             work = {i: [t.key for t in s.tables if t.key in present] for i, s in specs.items()}
             work = {i: keys for i, keys in work.items() if keys}

@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from sparkmart.operators.changes import events_of
 from sparkmart.operators.evolve import Evolution, Resolution
 from sparkmart.operators.registry import Registry
 from sparkmart.operators.runlog import COMPLETED, FAILED, RunLog
@@ -12,7 +13,7 @@ from sparkmart.plans.mart import current_view
 from sparkmart.plans.spec import ColumnSpec, Endpoint, JoinRule, JsonField, MartSpec, TableKey, TableSpec, Transform
 from sparkmart.sources import change_log
 from sparkmart.sources.catalog import FrameSource, SourceCatalog
-from sparkmart.streaming.cdc import BAD_RECORDS, OBSERVED, ChangeApplier, apply_stream, touched_buckets
+from sparkmart.streaming.cdc import BAD_RECORDS, OBSERVED, ChangeApplier, apply_stream, by_table, touched_buckets
 
 USERS, ORDERS = TableKey("db", "public", "users"), TableKey("db", "public", "orders")
 
@@ -410,6 +411,17 @@ def test_bad_values_do_not_stop_the_stream(spark, store):
     ]
 
 
+def test_a_mart_reads_the_events_of_its_tables_only(spark, store, tmp_path):
+    raw = spark.createDataFrame([(record(i, {"id": i}, table=f"t{i % 5}"),) for i in range(100)], "value string")
+    events = by_table(change_log.decode(raw), str(tmp_path))
+    mine = events_of(events, TableKey("db", "public", "t3"))
+    assert mine.count() == 20
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(db" in plan
+    scanned = mine.select(F.input_file_name()).distinct().collect()
+    assert len(scanned) == 1 and "table=t3" in scanned[0][0]
+
+
 def test_two_specs_of_one_mart(spark, store):
     s = Setup(spark, store, parallel=4)
     s.add(NAMES)
