@@ -204,7 +204,53 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return both.withColumn("_text", F.explode(texts)).select(F.col("row").withField(text_col, F.col("_text")).alias("row")).select("row.*")
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+               FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size,
+                 [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight
+          FROM d GROUP BY source),
+    t AS (SELECT sum(source_size) AS size, sum(weight) AS weight, count(*) AS n FROM s),
+    -- Sources by how soon they are full: one is capped if it would be above its cap after those before it are.
+    c AS (SELECT s.*, coalesce(sum(source_size) OVER w, 0) AS size_before, coalesce(sum(s.weight) OVER w, 0) AS weight_before
+          FROM s WINDOW w AS (ORDER BY source_size / s.weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    full_ones AS (SELECT coalesce(sum(source_size), 0) AS size, coalesce(sum(c.weight), 0) AS weight FROM c, t
+                  WHERE c.weight * (1.5 * t.size - 2 * size_before) > 2 * source_size * (t.weight - weight_before)),
+    g AS (SELECT source, source_size, least(s.weight * (1.5 * t.size - 2.0 * f.size)::DOUBLE / greatest(t.weight - f.weight, 1)::DOUBLE,
+                                            2.0::DOUBLE * source_size) AS target FROM s, t, full_ones f),
+    seats AS (SELECT floor(sum(target) / 512 + 0.5)::BIGINT AS n FROM g),
+    won AS (SELECT source FROM (SELECT source, target / (2 * k + 1) AS quotient, k FROM g, seats, range(seats.n) r(k) WHERE target > 0
+                                ORDER BY quotient DESC, source IS NULL, source, k LIMIT (SELECT n FROM seats))),
+    q AS (SELECT g.*, (SELECT count(*) FROM won WHERE won.source IS NOT DISTINCT FROM g.source) AS quota,
+                 greatest(least(source_size // 131072, 4096), 1) AS shards FROM g),
+    e AS (SELECT d.*, source_size, target, quota, md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, ''))) AS ord, shards
+          FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+    dealt AS (SELECT *, ('0x' || substr(ord, 1, 12))::BIGINT % shards AS shard FROM e),
+    p AS (SELECT source, shard, sum(size)::BIGINT AS z, any_value(source_size) AS source_size, any_value(target) AS target,
+                 any_value(quota) AS quota FROM dealt GROUP BY source, shard),
+    claims AS (SELECT source, shard, quota, row_number() OVER (PARTITION BY source ORDER BY z::DOUBLE / (2 * k + 1) DESC, shard, k) AS place
+               FROM p, range((SELECT max(quota) FROM p)) r(k) WHERE k < quota AND z > 0),
+    blocks AS (SELECT source, shard, count(*) AS won FROM claims WHERE place <= quota GROUP BY ALL),
+    w AS (SELECT p.*, coalesce(won, 0) * 512 + CASE WHEN row_number() OVER (PARTITION BY p.source ORDER BY z DESC, p.shard) = 1
+                      THEN round(target)::BIGINT - quota * 512 ELSE 0 END AS wanted
+          FROM p LEFT JOIN blocks b ON p.source IS NOT DISTINCT FROM b.source AND p.shard = b.shard),
+    words AS (SELECT source, shard, z, CASE WHEN target >= 2.0 * source_size THEN 2 * z
+                     ELSE least(greatest(wanted, 0), 2 * z) END AS words FROM w),
+    laid AS (SELECT dealt.*, z, words, sum(size) OVER (PARTITION BY dealt.source, dealt.shard ORDER BY ord, doc_id, size
+                    ROWS UNBOUNDED PRECEDING)::BIGINT AS fin
+             FROM dealt JOIN words ON dealt.source IS NOT DISTINCT FROM words.source AND dealt.shard = words.shard),
+    cut AS (SELECT *, fin - size AS beg, unnest(range((fin - size) // 512, (greatest(fin, fin - size + 1) - 1) // 512 + 1)) AS block FROM laid),
+    pieces AS (SELECT *, greatest(beg, block * 512) AS lo, least(fin, (block + 1) * 512) AS hi,
+                      md5(concat_ws('|', '17', coalesce(source, ''), shard::VARCHAR, block::VARCHAR)) AS turn FROM cut),
+    taken AS (SELECT *, CASE WHEN z > 0 THEN words // z ELSE 0 END AS rounds,
+                     sum(hi - lo) OVER (PARTITION BY source, shard ORDER BY turn, block, lo, ord, doc_id, size
+                                        ROWS UNBOUNDED PRECEDING)::BIGINT - (hi - lo) AS before FROM pieces)
+    SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target,
+           (any_value(rounds) * size + sum(least(greatest(words - rounds * z - before, 0), hi - lo)))::BIGINT AS taken
+    FROM taken GROUP BY doc_id, source, shard, beg, size
+    """
+)
 def op3_source_mixing(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
