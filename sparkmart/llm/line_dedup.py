@@ -58,7 +58,8 @@ def line_bitmaps(
         .where(F.col("docs") >= min_docs)
         .select(F.col("hash").alias("_hash"), "keeper")
     )
-    dropped = hashes.join(repeated, F.col("hash") == F.col("_hash")).where(~same(F.col("id"), F.col("keeper")))
+    # Written first, the repeated lines join as an input of their own, whose hot hashes Spark can split.
+    dropped = hashes.join(settle(repeated, "repeated"), F.col("hash") == F.col("_hash")).where(~same(F.col("id"), F.col("keeper")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % _WORD)
     words = (
         dropped.groupBy("id", "version", F.floor(F.col("pos") / _WORD).cast("int").alias("word"))
