@@ -40,6 +40,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send rows with texts to Python a thousand at a time, so that a worker's memory does not grow with them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; ``lower`` does just that to text of ASCII characters alone."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmart.llm.common import query, read
+from sparkmart.llm.common import query, read, small_batches
 
 UNKNOWN = "und"
 _CHUNK = 1 << 16  # bytes convolved at a time
@@ -203,6 +203,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
     rows = docs.select(F.struct("*").alias("row"))
     if net is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    small_batches(docs.sparkSession)
     parameters = docs.sparkSession.sparkContext.broadcast((net.langs, net.s, net.p))  # a few hundred kB at most
 
     @F.pandas_udf("lang string, score double")

@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmart.llm.common import query, read, same
+from sparkmart.llm.common import query, read, same, small_batches
 from sparkmart.session import settle
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = 0x2581, 0x110000  # the mark of a space; the same character standing for itself
 LOW = -(1 << 61)
 SCALE = 1 << 20  # scores are kept as whole numbers of this fraction
+NO_EDGE = -(1 << 31)
 _BYTES_OF = 1 << 24  # added to a code point: its byte pieces
 
 
@@ -103,6 +104,9 @@ class Lexicon:
             self.keys[slot], self.next[slot], self.reach = key, to, max(self.reach, tries)
         self.score = np.array(v.scores, np.int64)
         self.unknown = int(self.score.min()) - 10 * SCALE
+        # A missing edge must cost more than the worst way over the characters of the longest piece.
+        if self.unknown * self.longest <= NO_EDGE:
+            raise ValueError("the scores of the vocabulary are too low")
         self.ids = np.array(v.ids, np.int32)
         self.byte_ids = np.array(v.byte_ids, np.int32)
 
@@ -132,11 +136,12 @@ class Lexicon:
         ``room`` is how many characters a piece may have that begins at the position. Tokens are numbers of
         pieces, or ``_BYTES_OF`` plus the code point for characters without a piece of their own.
         """
-        token = np.full((len(codes), self.longest), -1, np.int64)
-        score = np.full((len(codes), self.longest), LOW, np.int64)
+        width = min(self.longest, int(room.max(initial=1)))
+        token = np.full((len(codes), width), -1, np.int32)
+        score = np.full((len(codes), width), NO_EDGE, np.int32)
         letters = self.letter[codes]
         at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
-        for length in range(1, self.longest + 1):
+        for length in range(1, width + 1):
             fits = room[at] >= length
             at, node = at[fits], node[fits]
             node = self._child(node, letters[at + length - 1])
@@ -201,7 +206,7 @@ def best_cuts(lexicon: Lexicon, codes: np.ndarray, begins: np.ndarray, lengths:
     for end in range(1, int(lengths.max(initial=0)) + 1):
         active = int(np.searchsorted(-lengths, -end, side="right"))
         # The longest piece wins a tie.
-        back = np.arange(min(end, lexicon.longest), 0, -1)
+        back = np.arange(min(end, token.shape[1]), 0, -1)
         value = best[slots[:active, None] + end - back] + score[starts[:active, None] + end - back, back - 1]
         choice = value.argmax(1)
         best[slots[:active] + end] = np.maximum(value[np.arange(active), choice], LOW)
@@ -300,7 +305,7 @@ class Chunk:
         best[:rows] = entry[:rows]
         step = np.zeros(best.shape, np.int64)
         for at in range(1, min(stop - begin, len(best) - 1) + 1):
-            back = np.arange(min(at, self.states), max(0, at - (end - begin)), -1)
+            back = np.arange(min(at, token.shape[1]), max(0, at - (end - begin)), -1)
             value = np.maximum(best[at - back] + score[at - back, back - 1][:, None], LOW)
             choice = value.argmax(0)
             top = value[choice, np.arange(lanes)]
@@ -456,6 +461,7 @@ def _encode_giants(giants: DataFrame, shared, chunk: int, longest: int) -> DataF
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", chunk_chars: int = 1 << 16) -> DataFrame:
     """Every row as ``row`` with ``ids``. Texts over ``chunk_chars`` characters are encoded chunk by chunk."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary, about a megabyte
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -466,7 +472,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", chun
             todo = [i for i, t in enumerate(texts) if t]
             while todo:
                 size, take = 0, 0
-                while take < len(todo) and (take == 0 or size < 1 << 19):
+                while take < len(todo) and (take == 0 or size < 1 << 18):
                     size += len(texts[todo[take]])
                     take += 1
                 for i, ids in zip(todo[:take], encode_texts(lexicon, [texts[i] for i in todo[:take]])):
