@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +130,24 @@ def running_sum(values: Column, block: int = 256) -> Column:
     return F.flatten(
         F.transform(inner, lambda s, k: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x + F.get(begins, k)))
     )
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows with equal leading columns, which come together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        columns = [np.array(batch.column(k).to_pylist()) for k in range(keys)]
+        change = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            part = batch.slice(begin, end - begin)
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in range(keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)

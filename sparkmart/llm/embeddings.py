@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmart.llm.common import connected_components, numbered, query, read, same
+from sparkmart.llm.common import connected_components, numbered, query, read, runs, same
 from sparkmart.session import settle
 
 
@@ -190,27 +190,6 @@ def cell_rows(classes: DataFrame, s: Settings) -> DataFrame:
     return classes.select("n", "vector").mapInArrow(run, "cell long, n long, home boolean, signs binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Rows with equal leading columns, which come together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        columns = [batch.column(k).to_numpy() for k in range(keys)]
-        change = np.zeros(max(batch.num_rows - 1, 0), bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for begin, end in zip(cuts, cuts[1:]):
-            if begin == end:
-                continue
-            part = batch.slice(begin, end - begin)
-            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in range(keys)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def candidate_pairs(rows: DataFrame, s: Settings) -> DataFrame:
     """Pairs ``a`` < ``b`` of classes that share a cell at home and agree in enough signs."""
     sizes = rows.groupBy("cell").agg(F.count("*").alias("rows"), F.bool_or("home").alias("_home"))
@@ -223,7 +202,7 @@ def candidate_pairs(rows: DataFrame, s: Settings) -> DataFrame:
     dealt = dealt.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "home", "signs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, 3):
+        for group in runs(batches, 3):
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
             block, n = group.column("block").to_numpy(), group.column("n").to_numpy()
             home = group.column("home").to_numpy()

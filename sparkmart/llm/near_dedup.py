@@ -6,10 +6,12 @@ give candidate buckets; folded into a parity bitmap, an odd sketch, they estimat
 candidate pair from the population count of an XOR, which is precise where similarity is high. Pairs that
 pass are confirmed on the full shingle sets, and links make components.
 
-A bucket is never expanded into all its pairs. Its members are first compared with one of them; most then are
-in one component. In the buckets that still hold several components, only the members outside the first one's
-component are compared with the members of other components. So every candidate pair is either compared or
-already connected.
+A bucket is never expanded into all its pairs. Buckets that overlap make a cluster, whose members are compared
+block by block within tasks: what two members can share at most, by the shingles of one member of the cluster
+that both have, and their sketches rule pairs out. At first every member's nearest and the pairs of the most central
+member leave a task, which links nearly all there is to link. Where several components remain in a
+cluster, all pairs between them that are not ruled out follow. So every candidate pair is compared, or already
+connected, or cannot be linked.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; rows with a null
 id take part, an id is smaller than none; rows that repeat an id each have their own text; other columns are
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmart.llm.common import LOWER, UPPER, connected_components, query, read, same
+from sparkmart.llm.common import LOWER, UPPER, connected_components, query, read, runs, same, small_batches
 from sparkmart.session import settle
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -50,8 +52,14 @@ class Settings:
     rows: int = 6
     bits: int = 512
     margin: float = 0.16
+    block_rows: int = 1024
     seed: int = 11
 
+    def most_bits(self, margin: float | None = None) -> float:
+        """The expected number of differing bits of two odd sketches ``margin`` below the threshold."""
+        least = self.percent / 100 - (self.margin if margin is None else margin)
+        return self.bits / 2 * (1 - math.exp(4 * self.bands * self.rows / self.bits * (least - 1)))
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the input changes half of the output."""
@@ -165,29 +173,122 @@ def _confirm(pairs: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """The linked pairs among candidate pairs (``a``, ``b``): first by odd sketches, then by full sets."""
-    left = classes.select(F.col("set").alias("a"), F.col("odd").alias("odd_a"), F.col("text").alias("text_a"))
-    right = classes.select(F.col("set").alias("b"), F.col("odd").alias("odd_b"), F.col("text").alias("text_b"))
-    count = s.bands * s.rows
-    differing = F.aggregate(
-        F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x
+def _described(rows: DataFrame, s: Settings) -> DataFrame:
+    """Cluster members by their pivot, the text of one member: ``bits`` tells which of the pivot's shingles they have.
+
+    ``extra`` is how many shingles they have besides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(maxsize=64)(lambda text: shingles(text, s.words))
+        for batch in batches:
+            bits, extra, sizes = [], [], []
+            for text, pivot in zip(batch.column("text").to_pylist(), batch.column("pivot").to_pylist()):
+                own, base = shingles(text, s.words), of(pivot)
+                has = np.isin(base, own, assume_unique=True)
+                bits.append(np.packbits(np.pad(has, (0, -len(has) % 64))).tobytes())
+                extra.append(len(own) - int(has.sum()))
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("cluster", "members", "set", "odd")), pa.array(bits, pa.binary()),
+                 pa.array(extra, pa.int32()), pa.array(sizes, pa.int32())],
+                names=["cluster", "members", "set", "odd", "bits", "extra", "size"],
+            )
+
+    columns = rows.select("cluster", "members", "set", "odd", "text", "pivot")
+    return columns.mapInArrow(
+        run, "cluster binary, members long, set binary, odd array<long>, bits binary, extra int, size int"
+    )
+
+
+def _popcounts(x: np.ndarray, y: np.ndarray, combine) -> np.ndarray:
+    out = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(combine(x[:, k][:, None], y[:, k][None]))
+    return out
+
+
+def _compare(described: DataFrame, s: Settings, everything: bool) -> DataFrame:
+    """Pairs ``a`` < ``b`` of a cluster's members that may be linked, found block by block.
+
+    Two sets share at most the pivot's shingles that both have and the smaller of their numbers of others. Pairs
+    that could not be linked with that many, or whose odd sketches are too far apart, stay in their task, and so
+    do pairs of one ``component``. Of the others ``everything`` is given, or else just enough to link most: the
+    pairs of the member with most near ones, and every member's nearest.
+    """
+    count = F.ceil(F.col("members") / s.block_rows)
+    dealt = described.withColumn("block", F.pmod(F.xxhash64("set"), count)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
     )
-    # The similarity whose expected number of differing bits this is; grows without bound as bits become random.
-    bits_most = s.bits / 2 * (1 - math.exp(4 * count / s.bits * (s.percent / 100 - s.margin - 1)))
-    near = pairs.join(left.select("a", "odd_a"), "a").join(right.select("b", "odd_b"), "b").where(differing <= bits_most)
-    near = settle(near.select("a", "b"), "candidates")
-    return settle(_confirm(near.join(left.drop("odd_a"), "a").join(right.drop("odd_b"), "b"), s), "links")
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = dealt.select("cluster", "i", "j", "block", "set", "component", "odd", "bits", "extra", "size")
+    loose, tight = s.most_bits(), s.most_bits(0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 3):
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            block, sets = group.column("block").to_numpy(), np.array(group.column("set").to_pylist(), object)
+            _, component = np.unique(np.array(group.column("component").to_pylist(), object), return_inverse=True)
+            odd = np.array(group.column("odd").to_pylist(), np.int64).view(np.uint64)
+            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(sets), -1)
+            extra, size = group.column("extra").to_numpy(), group.column("size").to_numpy()
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            far = np.empty((len(left), len(right)), np.int16)  # differing bits, or more than any where ruled out
+            for at in range(0, len(left), 128):
+                part = left[at : at + 128]
+                both = _popcounts(bits[part], bits[right], np.bitwise_and) + np.minimum(extra[part][:, None], extra[right][None])
+                ok = (100 + s.percent) * both >= s.percent * (size[part][:, None] + size[right][None])
+                ok &= component[part][:, None] != component[right][None]
+                differing = _popcounts(odd[part], odd[right], np.bitwise_xor)
+                far[at : at + 128] = np.where(ok & (differing <= loose), differing, s.bits + 1)
+            if i == j:
+                np.fill_diagonal(far, s.bits + 1)
+            near = far <= loose
+            if not near.any():
+                continue
+            if not everything:
+                keep = np.zeros_like(near)
+                keep[np.arange(len(left)), far.argmin(1)] = True
+                keep[far.argmin(0), np.arange(len(right))] = True
+                rows, columns = (far <= tight).sum(1), (far <= tight).sum(0)
+                if rows.max() >= columns.max():
+                    keep[rows.argmax()] = True
+                else:
+                    keep[:, columns.argmax()] = True
+                near &= keep
+            x, y = np.nonzero(near)
+            x, y = left[x], right[y]
+            swap = sets[x] > sets[y]
+            a, b = np.where(swap, sets[y], sets[x]), np.where(swap, sets[x], sets[y])
+            if i == j:
+                pairs = set(zip(a.tolist(), b.tolist()))
+                a, b = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(list(a), pa.binary()), pa.array(list(b), pa.binary())], names=["a", "b"])
+
+    grouped = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return settle(grouped.mapInArrow(run, "a binary, b binary"), "pairs")
+
+
+def _links(pairs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+    """The pairs that are linked, by their full sets."""
+    left = known.select(F.col("set").alias("a"), F.col("text").alias("text_a"))
+    right = known.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
+    return settle(_confirm(pairs.join(left, "a").join(right, "b"), s), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per document: ``id``, ``version`` of its text, ``n_shingles`` and ``component_id``."""
+    """One row per document: ``id``, ``version`` of its text, ``n_shingles`` and ``component_id``.
+
+    ``stays`` marks the first row of a component, and rows equal to it in id and text.
+    """
     s = settings
+    small_batches(docs.sparkSession)
     sketches = settle(sketch_table(docs, id_col, text_col, s), "sketches")
     filled = sketches.where("n > 0")
-    # One row per distinct set; copies meet as one row per task.
-    classes = filled.groupBy("set").agg(F.min_by(F.struct("id", "version", "bands", "odd"), "id").alias("r"), F.first(F.struct("id", "version", "bands", "odd")).alias("f"))
-    classes = settle(classes.select("set", F.coalesce("r", "f").alias("r")).select("set", "r.*"), "classes")
+    # One row per distinct set, that of the smallest id; copies meet as one row per task.
+    row = F.struct("id", "version", "bands", "odd")
+    classes = filled.groupBy("set").agg(F.min_by(row, _order()).alias("r"))
+    classes = settle(classes.select("set", "r.*"), "classes")
     banded = classes.select("set", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("set").alias("head"), F.max("set").alias("_last")).where("head <> _last")
     members = settle(banded.join(settle(buckets.drop("_last"), "buckets"), "band"), "members")
@@ -197,34 +298,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = known.join(texts, same(F.col("id"), F.col("_id")) & (F.col("version") == F.col("_version")))
     known = settle(known.select("set", "odd", "text").dropDuplicates(["set"]), "texts")
 
-    pairs = members.where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct()
-    links = _links(pairs, known, s)
-    nodes = in_play.select(F.col("_set").alias("node"))
+    # Buckets that overlap are one cluster.
+    overlaps = members.where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b"))
+    clusters = settle(connected_components(in_play.select(F.col("_set").alias("node")), overlaps), "clusters")
+    clusters = clusters.select(F.col("node").alias("_node"), F.col("component").alias("cluster"))
+    sizes = settle(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "sizes")
+    placed = clusters.join(sizes, "cluster").join(known, F.col("_node") == F.col("set"))
+    pivots = known.select(F.col("set").alias("_pivot"), F.col("text").alias("pivot"))
+    described = settle(_described(placed.join(pivots, F.col("cluster") == F.col("_pivot")), s), "described")
+    nodes = described.select(F.col("set").alias("node"))
+    links = _links(_compare(described.withColumn("component", F.col("set")), s, everything=False), known, s)
     joined = settle(connected_components(nodes, links), "components")
-    # Buckets that still hold several components: members outside the head's component against the others.
-    of_member = joined.select(F.col("node").alias("set"), "component")
-    of_head = joined.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
-    placed = members.join(of_member, "set").join(of_head, "head")
-    outside = settle(placed.where("component <> head_component").select("band", F.col("set").alias("x"), F.col("component").alias("cx")), "outside")
-    open_bands = settle(outside.select("band").distinct(), "bands")
-    open_members = placed.join(open_bands, "band").select("band", F.col("set").alias("y"), F.col("component").alias("cy"))
-    cross = outside.join(open_members, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    cross = cross.distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _links(cross, known, s)
-    joined = connected_components(nodes, links.unionByName(more))
-    named = classes.select("set", "id").join(joined, F.col("set") == F.col("node"), "left").select("set", "id", F.coalesce("component", "set").alias("component"))
-    named = settle(named, "named")
-    lowest = settle(named.groupBy("component").agg(F.min("id").alias("component_id")), "lowest")
-    named = settle(named.join(lowest, "component").select(F.col("set").alias("_set"), "component_id"), "classes")
-    return sketches.join(named, F.when(F.col("n") > 0, F.col("set")) == F.col("_set"), "left").select(
-        "id", "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+    # Clusters that still hold several components: every pair across them that may be linked.
+    described = described.join(joined, F.col("set") == F.col("node")).drop("node")
+    several = described.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    several = settle(several.where("x <> y").select("cluster"), "several")
+    more = _links(_compare(described.join(several, "cluster"), s, everything=True), known, s)
+    if not more.isEmpty():
+        joined = connected_components(nodes, links.unionByName(more))
+    named = classes.select("set", "id", "version").join(joined, F.col("set") == F.col("node"), "left")
+    named = settle(named.withColumn("component", F.coalesce("component", "set")), "named")
+    lowest = settle(named.groupBy("component").agg(F.min(_order()).alias("first")), "lowest")
+    named = settle(named.join(lowest, "component").select(F.col("set").alias("_set"), "first"), "classes")
+    found = sketches.join(named, F.when(F.col("n") > 0, F.col("set")) == F.col("_set"), "left")
+    own = F.col("n") == 0
+    return found.select(
+        "id",
+        "version",
+        F.col("n").alias("n_shingles"),
+        F.when(own, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        (own | (same(F.col("id"), F.col("first.id")) & (F.col("version") == F.col("first.version")))).alias("stays"),
     )
 
 
+def _order():
+    """The order in which rows come first in their component: by id, none last."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "version")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows that stay, one of each component, and all rows with an empty set; columns as they are."""
     found = near_duplicates(docs, id_col, text_col, settings)
-    gone = found.where(~same(F.col("id"), F.col("component_id"))).select("id", "version").distinct()
+    gone = found.where(~F.col("stays")).select("id", "version").distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_version"))
     rows = rows.join(gone, same(F.col("_id"), F.col("id")) & (F.col("_version") == F.col("version")), "left_anti")
     empty = F.coalesce(~F.col("_row")[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
