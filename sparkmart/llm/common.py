@@ -58,37 +58,69 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The smallest node id reachable from each node.
-
-    ``nodes`` has ``node``; ``edges`` has ``a`` and ``b``, in any direction, repeats allowed. Returns ``node``
-    and ``component``. Alternates the two star contractions: every node hangs its larger neighbours under its
-    smallest one, then its smaller neighbours and itself under the smallest of them, until nothing changes.
-    Each step is a minimum per node, combined before the shuffle, and a join whose hot keys can be split;
-    no neighbour list is ever gathered. Each round is written to the shared folder. Number of rounds: about
-    the square of the logarithm of the largest component.
-    """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = settle(links, "links")
-    mark = None
+def _forest(links: DataFrame) -> DataFrame:
+    """``node`` and ``component`` of a bounded number of links, joined up in one task."""
+    kind = links.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def root(x):
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = above[up]
+                x = above[x]
+            return x
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(x), root(y)
+                above[max(x, y)] = min(x, y)
+        if schema is not None:
+            of = schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(list(above), of), pa.array([root(x) for x in list(above)], of)], names=["u", "component"])
+
+    return links.coalesce(1).mapInArrow(run, f"u {kind}, component {kind}")
+
+
+def _stars(links: DataFrame, mark: tuple) -> DataFrame:
+    """The same of any number of links, by rounds of star contractions."""
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first, the minima join as an input of their own, whose hot keys Spark can split.
         low = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = settle(large, "links")
         low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u")
         under = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-        small = small.select(under.alias("u"), F.col("m").alias("v"))
-        links = settle(small.where("u <> v").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        links = settle(small.select(under.alias("u"), F.col("m").alias("v")), "links")
+        now = _mark(links)
         if now == mark:
-            break
+            return links.groupBy("u").agg(F.min("v").alias("component"))
         mark = now
-    roots = links.groupBy("u").agg(F.min("v").alias("component"))
+
+
+def _mark(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, in_one_task: int = 200_000) -> DataFrame:
+    """The smallest node id reachable from each node.
+
+    ``nodes`` has ``node``; ``edges`` has ``a`` and ``b``, in any direction, repeats allowed. Returns ``node``
+    and ``component``. Up to ``in_one_task`` links are joined up in one task. More alternate the two star
+    contractions: every node hangs its larger neighbours under its smallest one, then its smaller neighbours and
+    itself under the smallest of them, until nothing changes, which takes about the square of the logarithm
+    of the largest component rounds. Each step is a minimum per node, combined before the shuffle, and a join
+    whose hot keys can be split; no neighbour list is ever gathered, the number of links never grows, and each round
+    is written to the shared folder. Both ways give the same.
+    """
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    links = settle(links, "links")
+    mark = _mark(links)
+    roots = settle(_forest(links) if mark[0] <= in_one_task else _stars(links, mark), "components")
     return nodes.join(roots, nodes["node"] == roots["u"], "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )

@@ -132,10 +132,12 @@ def test_no_rows(no_docs, run):
     assert run(no_docs).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [0, 200_000])
+def test_components(spark, in_one_task):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 3), (200, 200)]
     nodes = sorted({x for e in edges for x in e} | {300})
-    done = connected_components(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "a long, b long"))
+    node_frame, edge_frame = spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "a long, b long")
+    done = connected_components(node_frame, edge_frame, in_one_task)
     want = {n: 0 if n <= 40 else 100 if n < 200 else n for n in nodes}
     assert {r["node"]: r["component"] for r in done.collect()} == want
 
