@@ -228,7 +228,9 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
             yield pd.DataFrame({"lang": lang, "score": score})
 
     text = F.col("row")[text_col]
-    done = rows.select("row", predict(F.when(has_letter(text), text)).alias("found"))
+    # Spark copies a deterministic function into filters on its result and would run it again there.
+    once = predict.asNondeterministic()
+    done = rows.select("row", once(F.when(has_letter(text), text)).alias("found"))
     return done.select("row", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
