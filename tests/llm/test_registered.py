@@ -108,3 +108,20 @@ def test_pipeline_of_nothing(spark, no_docs, sf_dir, tmp_path):
         stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_near_stage_links_from_four_fifths(spark, sf_dir, texts):
+    import random
+
+    rng = random.Random(3)
+    given = [(d, t) for d, t in texts if t]
+    for k in range(60):  # a text and its beginning, of 76 to 85 of its 100 shingles
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        given += [(10**6 + 2 * k, " ".join(words)), (10**6 + 2 * k + 1, " ".join(words[: 80 + k % 10]))]
+    rows = [(d, t, "en", "a", len(t)) for d, t in given]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, sf_dir)
+    found = brute.near_dedup(given, 80)
+    want = Counter(d for d, n, _, _ in found if not n) + Counter(least for least, _ in {x[2:] for x in found if x[1]})
+    assert Counter(r["doc_id"] for r in kept.collect()) == want
+    assert not {10**6 + 2 * k + 1 for k in range(60) if k % 10 >= 4} & want.keys()
