@@ -7,7 +7,8 @@ For prediction, a filter's response is the sum of one table entry per pair of by
 costs a few table look-ups per byte.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled text every
-row is ``und``; equal labelled rows count each; other columns are ignored. Very long texts are whole: they are
+row is ``und``, and ``in_known_language`` keeps what has a letter; equal labelled rows count each; other columns
+are ignored. Very long texts are whole: they are
 more windows. Ids, sources and labels are no inputs of a prediction.
 """
 
@@ -235,7 +236,12 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
 
 
 def in_known_language(docs: DataFrame, net: ByteNet | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose language is found, with their columns; a missing label is filled with it."""
+    """The rows whose language is found, with their columns; a missing label is filled with it.
+
+    Without a network only rows without a letter go, and labels stay as they are.
+    """
+    if net is None:
+        return docs.where(has_letter(F.col(text_col)))
     found = identify(docs, net, text_col).where(F.col("lang_pred") != UNKNOWN)
     label = F.coalesce(F.col("row")[lang_col], F.col("lang_pred"))
     return found.select(F.col("row").withField(lang_col, label).alias("row")).select("row.*")

@@ -90,6 +90,14 @@ def test_nothing_to_learn(spark, no_docs):
     assert [tuple(r)[1:] for r in langid.identify(rows, None).collect()] == [("und", 0.0)]
 
 
+def test_documents_without_any_label_stay(spark):
+    rows = [(1, "some text", None), (2, None, None), (3, " 12 ", None), (4, "Über", None), (5, "", "en"), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.in_known_language(docs, langid.train(docs))
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == {rows[0], rows[3], rows[5]}
+
+
 def targets(sizes, share=1.5, most=2.0, weights=(5, 2, 1)):
     """Targets by sharing the excess again, round by round."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
