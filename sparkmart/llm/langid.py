@@ -23,14 +23,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmart.llm.common import query, read, small_batches
+from sparkmart.session import settle
 
 UNKNOWN = "und"
 _CHUNK = 1 << 16  # bytes convolved at a time
+_CELLS = 1 << 22  # windows, or texts, times languages held at a time
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Size of the network and of its training; ``sample_per_lang`` bounds the labelled rows it sees."""
+    """Size of the network and of its training.
+
+    ``sample_per_lang`` and ``sample_rows`` bound the labelled rows it sees, per language and in all.
+    """
 
     window: int = 128
     widths: tuple[int, ...] = (2, 4, 6)
@@ -38,7 +43,7 @@ class Settings:
     embedding: int = 8
     sample_per_lang: int = 400
     windows_per_text: int = 4
-    most_langs: int = 200
+    sample_rows: int = 80_000
     epochs: int = 12
     batch: int = 64
     rate: float = 0.01
@@ -139,9 +144,16 @@ class ByteNet:
 
     def predict(self, texts: list[bytes], tables) -> tuple[np.ndarray, np.ndarray]:
         """Most probable language of each text, which must not be empty, and its share of the mean."""
-        data, first = windows(texts, self.s.window)
-        mean = np.add.reduceat(self.log_probabilities(data, tables), first, axis=0)
-        mean /= np.diff(np.append(first, len(data) // self.s.window))[:, None]
+        size, langs = self.s.window, len(self.langs)
+        data, first = windows(texts, size)
+        mean, count = np.zeros((len(texts), langs), np.float32), len(data) // size
+        step = max(1, min(_CHUNK // size, _CELLS // langs))
+        for at in range(0, count, step):
+            end = min(at + step, count)
+            held = slice(np.searchsorted(first, at, "right") - 1, np.searchsorted(first, end))
+            found = self.log_probabilities(data[at * size : end * size], tables)
+            mean[held] += np.add.reduceat(found, np.maximum(first[held] - at, 0), axis=0)
+        mean /= np.diff(np.append(first, count))[:, None]
         prob = np.exp(mean - mean.max(1, keepdims=True))
         prob /= prob.sum(1, keepdims=True)
         best = prob.argmax(1)
@@ -163,15 +175,17 @@ def labelled_windows(docs: DataFrame, text_col: str, lang_col: str, id_col: str,
     """The training sample: (language, bytes) of up to ``windows_per_text`` windows of each sampled text.
 
     About ``sample_per_lang`` rows of every language are drawn by a hash of id and text, the same in every
-    run, and windows are taken from all over a text. At most ``most_langs`` languages, the commonest, are learned.
+    run, and windows are taken from all over a text. Every language is learned, from one row at least; with very
+    many languages, fewer rows are drawn of each, so that they stay within ``sample_rows``.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows"))
-    sizes = sizes.orderBy(F.col("rows").desc(), "lang").limit(s.most_langs)
     rows = rows.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_draw"))
-    rows = rows.join(F.broadcast(sizes), F.col("_lang") == F.col("lang"))  # at most most_langs rows
+    sizes = rows.groupBy(F.col("_lang").alias("lang")).agg(F.count("*").alias("rows"), F.min("_draw").alias("least"))
+    sizes = settle(sizes, "languages")
+    per_lang = max(1, min(s.sample_per_lang, s.sample_rows // max(1, sizes.count())))
+    rows = rows.join(sizes, F.col("_lang") == F.col("lang"))
     share = (F.col("_draw") + 2.0**63) / 2.0**64
-    drawn = rows.where(share < F.lit(float(s.sample_per_lang)) / F.col("rows"))
+    drawn = rows.where((share < F.lit(float(per_lang)) / F.col("rows")) | (F.col("_draw") == F.col("least")))
     data = F.encode("_text", "UTF-8")
     count = F.ceil(F.octet_length("_text") / s.window)
     picks = F.transform(F.sequence(F.lit(0), F.lit(s.windows_per_text - 1)), lambda k: F.pmod(F.xxhash64("_draw", k), count))
@@ -179,9 +193,12 @@ def labelled_windows(docs: DataFrame, text_col: str, lang_col: str, id_col: str,
     cut = drawn.withColumn("pick", F.explode(picks)).select(
         "lang", F.substr(data, (F.col("pick") * s.window + 1).cast("int"), F.lit(s.window)).alias("bytes")
     )
-    # The draw already holds the expected number; the order makes the bound hard and every run alike.
+    # The draw already holds the expected number; the order makes the bound hard and every run alike. Copies meet as one row.
+    most = 2 * per_lang * s.windows_per_text
+    copies = cut.groupBy("lang", "bytes").agg(F.least(F.count("*"), F.lit(most)).alias("copies"))
+    each = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("bytes"), "bytes"))
-    bounded = cut.withColumn("rank", rank).where(F.col("rank") <= 2 * s.sample_per_lang * s.windows_per_text)
+    bounded = each.withColumn("rank", rank).where(F.col("rank") <= most)
     return bounded.select("lang", "bytes").orderBy(F.xxhash64("lang", "bytes"), "lang", "bytes").collect()
 
 
@@ -192,7 +209,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         return None
     langs = sorted({r["lang"] for r in sample})
     data, _ = windows([bytes(r["bytes"]) for r in sample], settings.window)
-    y = np.array([langs.index(r["lang"]) for r in sample])
+    place = {lang: k for k, lang in enumerate(langs)}
+    y = np.array([place[r["lang"]] for r in sample])
     # Languages with few rows are repeated, so that each has the same weight.
     counts = np.bincount(y, minlength=len(langs))
     pick = np.concatenate([np.resize(np.flatnonzero(y == k), counts.max()) for k in range(len(langs))])
@@ -205,7 +223,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
     if net is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     small_batches(docs.sparkSession)
-    parameters = docs.sparkSession.sparkContext.broadcast((net.langs, net.s, net.p))  # a few hundred kB at most
+    parameters = docs.sparkSession.sparkContext.broadcast((net.langs, net.s, net.p))  # some 60 kB and 150 bytes a language
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -220,7 +238,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
             at, places, names = 0, np.flatnonzero(found), np.array(langs, object)
             while at < len(held):
                 end, size = at, 0
-                while end < len(held) and (end == at or size < 4 << 20):
+                while end < len(held) and (end == at or size < 4 << 20 and (end - at) * len(langs) < _CELLS):
                     size += len(held[end])
                     end += 1
                 best, share = model.predict(held[at:end], tables)

@@ -98,6 +98,25 @@ def test_documents_without_any_label_stay(spark):
     assert {tuple(r) for r in kept.collect()} == {rows[0], rows[3], rows[5]}
 
 
+def test_all_of_many_languages_are_learned(spark):
+    rows = [(i, f"text {i} " * 40, f"l{i % 230}") for i in range(690)] + [(9, "copy", "same")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names = {r[2] for r in rows}
+    for s, most in ((langid.Settings(), 1600), (langid.Settings(sample_rows=231), 8)):
+        sample = langid.labelled_windows(docs, "text", "lang", "doc_id", s)
+        sizes = {name: sum(r["lang"] == name for r in sample) for name in names}
+        assert {r["lang"] for r in sample} == names and max(sizes.values()) <= 2 * most
+
+
+def test_means_do_not_depend_on_chunks(monkeypatch):
+    net = langid.ByteNet(["a", "b", "c"], langid.Settings())
+    texts = [b"x" * 100, b"some words " * 90, b"q", b"others " * 300, b"end"]
+    whole = net.predict(texts, net.tables())
+    monkeypatch.setattr(langid, "_CELLS", 9)
+    parts = net.predict(texts, net.tables())
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1], atol=1e-5)
+
+
 def targets(sizes, share=1.5, most=2.0, weights=(5, 2, 1)):
     """Targets by sharing the excess again, round by round."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
