@@ -188,10 +188,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     All columns stay. A document that is not taken has no row.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    plan = mix(docs, id_col, text_col, source_col, **options)
     numbered_copies = Window.partitionBy("id", "version")
     plan = plan.withColumn("copy", F.row_number().over(numbered_copies.orderBy("source", "rounds", "cuts")))
-    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in ("id", "version", "copy", "rounds", "cuts")))
+    # All rows are numbered, as the documents are; only then those that are not taken go.
+    plan = plan.where("taken > 0").select(*(F.col(c).alias(f"_{c}") for c in ("id", "version", "copy", "rounds", "cuts")))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"))
     rows = rows.withColumn("copy", F.row_number().over(numbered_copies.orderBy(F.col("row")[source_col])))
     both = rows.join(plan, same(F.col("id"), F.col("_id")) & (F.col("version") == F.col("_version")) & (F.col("copy") == F.col("_copy")))

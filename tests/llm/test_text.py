@@ -174,6 +174,19 @@ def test_seats_by_highest_quotients(spark):
         assert got == {s: sum(1 for q in quotients if q[1] == s) for s in votes}
 
 
+def test_mix_of_one_row_in_two_sources(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, text, source) for k in range(30) for source in ("a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    options = {"weights": (1, 6), "share": 0.5, "block_words": 16, "shard_words": 300}
+    plan = mixing.mix(docs, **options).collect()
+    want = {(r["id"], r["source"]): r["taken"] for r in plan if r["taken"]}
+    got = {}
+    for r in mixing.mixed_documents(docs, **options).collect():
+        got[r["doc_id"], r["source"]] = got.get((r["doc_id"], r["source"]), 0) + len(r["text"].split())
+    assert got == want and {s for _, s in want} == {"a", "b"}
+
+
 def test_mix_of_nothing(spark, no_docs):
     assert mixing.mix(no_docs).collect() == []
     empty = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
