@@ -4,8 +4,9 @@ A line's key is the line without white space at its ends, A-Z lower-cased. Keys
 points found in at least ``min_docs`` documents lose all their lines except in the document with the largest
 id. Only hashes, ids and positions are shuffled: they are partitioned by ranges of (hash, document), so that
 a line in a third of all documents spreads over many tasks, and sorted by hash, then document from the
-largest down, then position. Streaming through that order, the first document of a hash is the one that keeps
-its lines. The decisions come back as one compressed bitmap per document, never as text.
+largest down, then position. The keeper is not taken by streaming through that order: the largest id per hash,
+an aggregate over its documents, replaces the first occurrence and gives the same rows. The decisions come back
+as one compressed bitmap per document, never as text.
 
 Defined cases: a null or empty text is one empty line; rows with a null id are one document, smaller than all
 others; rows sharing an id are one document, each with its own lines; other columns are ignored.
