@@ -132,3 +132,94 @@ def pii(text):
             if _valid(kind, m.group()):
                 found.append((m.start(), number, f"{kind}:{m.start()}:{m.end()}"))
     return [name for _, _, name in sorted(found)]
+
+
+def rebuilt(turns, every=5, most=9):
+    """conv → turns (role, text) that follow the starts shared by blocks of ids; ``turns`` are (conv, turn, role, text)."""
+    import zlib
+
+    of = collections.defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest()
+            of[conv].append(((turn is not None, turn or 0, tie), (role, text)))
+    given = {c: [t for _, t in sorted(ts)] for c, ts in of.items()}
+    out = {}
+    for c, own in given.items():
+        h = zlib.crc32(str(c).encode()) % most
+        base = c - int(abs(c) % every * (1 if c > 0 else -1))
+        out[c] = given.get(base, [])[:h] + own[h:]
+    return out
+
+
+def trie(convs):
+    """Rows (smallest member, depth, parent's, members, children, leaves, saved, digest of the ends) of conv → turns."""
+    nodes = collections.defaultdict(list)
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            nodes[tuple(turns[:d])].append(c)
+    kids, sums = collections.Counter(p[:-1] for p in nodes if p), collections.defaultdict(lambda: [0, 0])
+    for path, members in nodes.items():
+        saved = (len(members) - 1) * len(path[-1][1].encode()) if path else 0
+        for d in range(len(path) + 1):
+            sums[path[:d]][0] += kids[path] == 0
+            sums[path[:d]][1] += saved
+    return [
+        (min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), kids[p], *sums[p], sha(",".join(str(c) for c in sorted(m) if len(convs[c]) == len(p))))
+        for p, m in nodes.items()
+    ]
+
+
+def lossy_vocabulary(docs, least=7):
+    """word → occurrences, of (id, text)."""
+    import zlib
+
+    counts = collections.Counter()
+    for d, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(UPPER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 31 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            counts[run] += len(run) >= least
+    return {w: n for w, n in counts.items() if n >= 2}
+
+
+def spelling(counts, ratio=10):
+    """(word, form, root, n, near words, form's n) of word → occurrences."""
+
+    def near(x, y):
+        if abs(len(x) - len(y)) > 1 or x == y:
+            return False
+        if len(x) == len(y):
+            return sum(a != b for a, b in zip(x, y)) == 1
+        short, long = sorted((x, y), key=len)
+        return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    form, many = {}, {}
+    for w, n in counts.items():
+        found = [v for v in counts if near(w, v)]
+        many[w] = len(found)
+        best = min(found, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * n else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return [(w, form[w], root(w), n, many[w], counts.get(form[w])) for w, n in counts.items()]
+
+
+def top_scores(vectors, k=20, every=20):
+    """(query, rank, id, score) of (id, vector)."""
+    import math
+
+    fine = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for at, (q, x) in enumerate(fine):
+        if q is None or q % every:
+            continue
+        scores = [(-sum(a * b for a, b in zip(x, y)), i is None, i or 0, i) for j, (i, y) in enumerate(fine) if j != at and len(x) == len(y)]
+        out += [(q, r, s[3], -s[0]) for r, s in enumerate(sorted(scores, key=lambda s: s[:3])[:k], 1)]
+    return out

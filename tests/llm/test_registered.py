@@ -21,7 +21,7 @@ def texts(spark, sf_dir):
 
 def test_all_are_registered():
     numbers = [re.match(r"op(\d+)_", name)[1] for name in QUERIES]
-    assert sorted(map(int, numbers)) == list(range(1, 11))
+    assert sorted(map(int, numbers)) == list(range(1, 14))
     assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
@@ -90,7 +90,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path):
     given, kept = after["exact_dedup"]
     assert ids(kept) == Counter({keep for _, keep, _, _ in brute.exact_dedup(pairs(given))})
     given, kept = after["minhash_near_dedup"]
-    assert ids(kept) == Counter({c for _, _, c, _ in brute.near_dedup(pairs(given))})
+    assert ids(kept) == Counter({c for _, _, c, _ in brute.near_dedup(pairs(given), 80)})
     given, mixed = after["source_mixing"]
     text, total = dict(pairs(given)), sum(len((r["text"] or "").split()) for r in given)
     assert all(r["n_chars"] == len(r["text"]) and set(r["text"].split()) <= set(text[r["doc_id"]].split()) for r in mixed)
