@@ -128,7 +128,7 @@ def vectors(rng, kind):
         rows += [(400, [1.0, 2.0]), (401, [3.0, -4.0]), (420, []), (421, []), (-40, [0.3] * 6)]
     if kind == "large":
         rows = [(i, [rng.uniform(-1, 1) * 10.0 ** rng.randrange(3, 7) for _ in range(6)]) for i in range(60)]
-        rows += [(60 + i, [rng.uniform(-1, 1) * 2.0**30 for _ in range(3)]) for i in range(50)]
+        rows += [(60 + i, [rng.uniform(-1, 1) * 2.0**22 for _ in range(3)]) for i in range(50)]
     return rows
 
 
