@@ -135,7 +135,7 @@ def vectors(rng, kind):
 @pytest.mark.parametrize("kind", ["even", "odd", "large"])
 @pytest.mark.parametrize("blocks", [(4, 7, 3), (1024, 8192, 10)])
 def test_top_scores(spark, kind, blocks):
-    s = topk.Settings(query_rows=blocks[0], block_rows=blocks[1], bin_bits=blocks[2])
+    s = topk.Settings(query_rows=blocks[0], block_rows=blocks[1], bin_bits=10 if kind == "large" else blocks[2])
     rows = vectors(random.Random(3), kind)
     frame = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, embedding array<double>, n int, score double").repartition(3)
     done = topk.top_scores(frame, F.col("vec_id") % 20 == 0, settings=s)
