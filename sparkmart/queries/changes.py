@@ -17,6 +17,7 @@ from sparkmart.queries.listings import supplier_registry
 from sparkmart.session import scratch_path
 from sparkmart.sources import change_log
 from sparkmart.store import TableStore
+from sparkmart.streaming.appended import appended_mart
 from sparkmart.streaming.cdc import ChangeApplier, apply_stream
 
 
@@ -480,3 +481,82 @@ FROM customer FULL JOIN (SELECT k, id, event_type, value FROM last JOIN events O
 def cdc_stream_versioned(spark, sf_dir):
     store = _stream_into(spark, sf_dir, CUSTOMERS, customer_log(spark, sf_dir), versioned=True)
     return current_view(store.read(CUSTOMERS.name), ["c_custkey"]).drop("updated_at", "_seq")
+
+
+# -- several batches ----------------------------------------------------------------------------
+
+
+def _appended(spark, sf_dir, spec, log, batches, **build):
+    """A mart with the records of the log appended in batches, told by conditions; the first two are folded together."""
+    kept = appended_mart(spark, spec.name, spec)
+    kept.build(catalog(spark, sf_dir, **build))
+    for k, batch in enumerate(batches):
+        kept(log.where(batch).select("value"), k)
+        if k == 1:
+            kept.compact(2)
+    return kept
+
+
+# Every batch has records that come before some of the batch before it.
+_THIRDS = [F.col("seq") % 3 == k for k in (2, 0, 1)]
+
+
+@query(_FOLDED_SQL.format(where="") + _APPLIED_SQL)
+def cdc_merge_on_read(spark, sf_dir):
+    return _appended(spark, sf_dir, CUSTOMERS, customer_log(spark, sf_dir), _THIRDS).read()
+
+
+@query(_FOLDED_SQL.format(where="WHERE event_type <> 'error'") + _APPLIED_SQL + _NULL_KEYS_SQL)
+def cdc_merge_on_read_null_keys(spark, sf_dir):
+    return _appended(spark, sf_dir, CUSTOMERS, customer_log(spark, sf_dir, null_key="error"), _THIRDS).read()
+
+
+@query("""
+WITH m AS (SELECT o_orderkey, o_totalprice, c_custkey AS customer_id, c_name, c_acctbal
+           FROM orders JOIN customer ON o_custkey = c_custkey),
+f AS (SELECT user_id, arg_max_null(value, event_id) AS b FROM events GROUP BY user_id)
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.5 ELSE m.o_totalprice END AS o_totalprice, customer_id, c_name,
+       CASE WHEN user_id IS NULL THEN c_acctbal ELSE b END AS c_acctbal
+FROM m JOIN orders USING (o_orderkey) LEFT JOIN f ON customer_id = user_id
+UNION ALL SELECT NULL, NULL, user_id, NULL, b FROM f WHERE user_id NOT IN (SELECT customer_id FROM m)
+""")
+def cdc_merge_on_read_two_tables(spark, sf_dir):
+    """Changes of orders, of one row each, and of customers, of all their orders, mixed over three batches."""
+    events, orders = read(spark, sf_dir, "events"), read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    always = F.lit(True)
+    balance = _after((always, "c_custkey", F.col("user_id")), (always, "c_acctbal", F.col("value")))
+    price = _after((always, "o_orderkey", F.col("o_orderkey")), (always, "o_totalprice", F.lit(1.5)))
+    log = envelopes(events, balance, "customer").union(envelopes(orders, price, "orders", seq="o_orderkey"))
+    return _appended(spark, sf_dir, ORDER_CUSTOMERS, log, _THIRDS).read()
+
+
+@query(
+    _FOLDED_SQL.format(where="")
+    + f", applied AS ({_APPLIED_SQL}) SELECT split, applied.* FROM applied, (VALUES ('halves'), ('thirds')) AS s(split)"
+)
+def cdc_batch_borders(spark, sf_dir):
+    """One log cut into batches in two ways, late records in both; the marts are equal."""
+    log = customer_log(spark, sf_dir).persist()
+    ways = {"halves": [F.col("seq") % 2 == 1, F.col("seq") % 2 == 0], "thirds": _THIRDS}
+    marts = []
+    for way, batches in ways.items():
+        store = TableStore(spark, scratch_path(spark, f"borders-{way}"))
+        registry = Registry(store)
+        registry.add(CUSTOMERS)
+        build_mart(store, CUSTOMERS, catalog(spark, sf_dir), buckets=4)
+        applier = ChangeApplier(store, registry)
+        for k, batch in enumerate(batches):
+            applier(log.where(batch).select("value"), k)
+        marts.append(store.read(CUSTOMERS.name).withColumn("split", F.lit(way)))
+    log.unpersist()
+    return marts[0].unionByName(marts[1])
+
+
+@query(_FOLDED_SQL.format(where="") + _APPLIED_SQL)
+def cdc_stream_appended(spark, sf_dir):
+    """The log streamed from files in several batches into an appended mart."""
+    kept = appended_mart(spark, CUSTOMERS.name, CUSTOMERS)
+    kept.build(catalog(spark, sf_dir))
+    customer_log(spark, sf_dir).select("value").repartition(2).write.text(f"{kept.root}/log")
+    apply_stream(spark, change_log.read_files(spark, f"{kept.root}/log", per_trigger=1), kept, f"{kept.root}/checkpoint")
+    return kept.read()

@@ -115,6 +115,18 @@ def parse(raw: DataFrame) -> DataFrame:
     return rows.withColumn(AT, F.when(known, at)).drop("_place")
 
 
+def in_batch(parsed: DataFrame, batch_id: int) -> DataFrame:
+    """Parsed records whose positions can be compared with those of other batches.
+
+    A place in the input tells apart the records of one batch only, so the batch comes before it. Offsets of topics
+    are left as they are: the position of a record does not depend on the batch that brings it.
+    """
+    if AT not in parsed.columns or "place" not in parsed.schema[AT].dataType.names:
+        return parsed
+    at = F.struct(f"{AT}.lsn", f"{AT}.micros", F.lit(batch_id).cast("bigint").alias("batch"), f"{AT}.place")
+    return parsed.withColumn(AT, F.when(F.col(AT).isNotNull(), at))
+
+
 def _is_envelope() -> Column:
     return F.col("op").isNotNull() & F.col("source.table").isNotNull()
 

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from sparkmart.functions.types import row_type
 from sparkmart.operators import drift
-from sparkmart.operators.changes import bad_value_events, conflict_columns, fold, keyless_events, partial_rows
+from sparkmart.operators.changes import AT, bad_value_events, conflict_columns, fold, keyless_events, partial_rows
 from sparkmart.operators.evolve import Evolution
+from sparkmart.operators.positions import highest, marks, newest, not_late, positioned, with_flags
 from sparkmart.operators.registry import Registry, extra_targets, spec_columns
 from sparkmart.operators.routing import TABLE, data_events, observed_columns
 from sparkmart.operators.upsert import append_rows, by_conflict_set, merge
@@ -22,8 +23,9 @@ from sparkmart.plans.mart import UPDATED_AT
 from sparkmart.plans.spec import MartSpec, TableKey
 from sparkmart.files import Files
 from sparkmart.session import local_frame, scratch_path, settle
-from sparkmart.sources.change_log import bad_in, events_in, parse
+from sparkmart.sources.change_log import bad_in, events_in, in_batch, parse
 from sparkmart.store import BUCKET, TableStore, Version, bucket_of
+from sparkmart.streaming.appended import ChangeFolder, table_folder
 
 log = logging.getLogger(__name__)
 
@@ -59,6 +61,19 @@ def touched_buckets(store: TableStore, name: str, base: Version, changes: DataFr
     return {r[0] for r in hit.toLocalIterator()}
 
 
+def timely(rows: DataFrame, keys: list[str], seen: ChangeFolder, batch_id: int, scratch: str | None = None) -> DataFrame:
+    """Partial rows folded to changes, without writes that come before those of earlier batches.
+
+    The positions are kept before the changes are applied: a batch that fails in between is replayed, and its own positions
+    stop none of its writes.
+    """
+    found = settle(newest(positioned(rows, keys), keys), "positions", scratch)
+    earlier = seen.read()
+    seen.append(marks(found, keys), batch_id)
+    seen.compact(keys, MAX_FOLDERS, highest)
+    return with_flags(found if earlier is None else not_late(found, earlier, keys), keys)
+
+
 def upsert_table(
     store: TableStore,
     spec: MartSpec,
@@ -68,10 +83,12 @@ def upsert_table(
     profile: str = "full",
     ts_unit: str = "us",
     scratch: str | None = None,
+    seen: ChangeFolder | None = None,
 ) -> Version:
     """Apply the events of one source table to a stored mart and publish the result.
 
-    Events with a value the mart cannot hold are left out. Buckets with matching rows are rewritten; new
+    ``seen`` keeps the position of the last write per key and column, so that a late record does not undo a newer one of an
+    earlier batch. Events with a value the mart cannot hold are left out. Buckets with matching rows are rewritten; new
     rows are added next to the data that is there. Buckets that additions have split into many folders are
     rewritten along the way.
     """
@@ -79,7 +96,8 @@ def upsert_table(
     schema = store.read_version(name, base).drop(BUCKET).schema
     keys = conflict_columns(spec.table(key))
     rows = partial_rows(events, spec, key, schema, profile, ts_unit, on_bad_value="skip")
-    changes = settle(fold(rows, keys), "changes", scratch)
+    kept = seen is not None and batch is not None and AT in rows.columns
+    changes = settle(timely(rows, keys, seen, batch[1], scratch) if kept else fold(rows, keys), "changes", scratch)
     touched = touched_buckets(store, name, base, changes, keys) | base.crowded(MAX_FOLDERS)
     merged = merge(store.read_version(name, base, touched), changes, keys)
     placed = F.coalesce(F.col(BUCKET), bucket_of(merged, base.bucket_by, base.buckets))
@@ -136,7 +154,7 @@ class ChangeApplier:
 
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
         # Both uses of the parsed records come first; a lost cache block is parsed again from the source.
-        parsed = parse(raw).persist()
+        parsed = in_batch(parse(raw), batch_id).persist()
         scratch = scratch_path(self.store.spark, f"batch-{batch_id}")
         try:
             events = by_table(data_events(events_in(parsed)), scratch)
@@ -258,6 +276,11 @@ class ChangeApplier:
     def _versioned(self, spec: MartSpec) -> bool:
         return self.store.exists(spec.name) and UPDATED_AT in self.store.version(spec.name).names
 
+    def _seen(self, view_id: int, spec: MartSpec, key: TableKey) -> ChangeFolder:
+        """The positions written so far by this applier to a mart from a table."""
+        path = f"{self.store.root}/{spec.name}/positions/{self.name}/{view_id}/{table_folder(key)}"
+        return ChangeFolder(self.store.spark, path)
+
     def _apply_all(self, work: list[tuple[int, MartSpec, list[TableKey]]], *batch) -> None:
         for view_id, spec, keys in work:
             self._apply(view_id, spec, keys, *batch)
@@ -282,7 +305,7 @@ class ChangeApplier:
                 self.store.append(spec.name, append_rows(mart, rows), batch)
                 self.store.compact(spec.name, MAX_FOLDERS)
             else:
-                upsert_table(self.store, spec, events, key, batch, self.profile, self.ts_unit, scratch)
+                upsert_table(self.store, spec, events, key, batch, self.profile, self.ts_unit, scratch, self._seen(view_id, spec, key))
         if self.keep_versions:
             self.store.prune(spec.name, self.keep_versions)
 
