@@ -98,7 +98,26 @@ def drift_report(spark, sf_dir):
     return report.withColumn("score", F.round("score", 9))
 
 
-@query(_LINES_SQL + "SELECT view_id, tab AS \"table\", old, new, round(score, 9) AS score FROM renames")
+@query("""
+WITH lines AS MATERIALIZED (
+  SELECT l_orderkey AS view_id, replace(p_name, ' ', '_') || '_' || p_size AS col,
+         bool_or(l_returnflag IN ('A', 'N')) AS in_src, bool_or(l_returnflag IN ('N', 'R')) AS in_spec, bool_or(l_linestatus = 'O') AS in_dwh,
+         max(CASE WHEN p_size < 20 THEN 'integer' WHEN p_size < 40 THEN 'text' END) AS typ
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+pairs AS (
+  SELECT o.view_id, o.col AS old, n.col AS new, CASE WHEN o.typ = n.typ THEN 0.1 ELSE 0 END AS bonus,
+         replace(o.col, '_', ' ') AS a, replace(n.col, '_', ' ') AS b
+  FROM lines AS o JOIN lines AS n ON o.view_id = n.view_id
+  WHERE o.in_spec AND o.in_dwh AND NOT o.in_src AND n.in_src AND NOT n.in_spec
+    AND ((o.typ IS NULL) <> (n.typ IS NULL) OR o.typ = n.typ)),
+scored AS (
+  SELECT *, jaro_similarity(a, b) AS j,
+         CASE WHEN left(a, 4) = left(b, 4) THEN 4 WHEN left(a, 3) = left(b, 3) THEN 3
+              WHEN left(a, 2) = left(b, 2) THEN 2 WHEN left(a, 1) = left(b, 1) THEN 1 ELSE 0 END AS prefix
+  FROM pairs)
+SELECT view_id, 'orders_' || view_id AS "table", old, new, round(j + 0.1 * prefix * (1 - j) + bonus, 9) AS score
+FROM scored WHERE j + 0.1 * prefix * (1 - j) + bonus >= 0.45
+""")
 def rename_candidates(spark, sf_dir):
     report = drift.drift_report(*line_catalogs(spark, sf_dir))
     likely = report.where(F.col("type") == drift.RENAME)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkmart.functions import convert
 from sparkmart.functions.similarity import jaro_winkler
+from sparkmart.operators.similar import similar_values
 from sparkmart.queries.base import query, read
 from sparkmart.sources.discovery import database_name
 
@@ -154,6 +155,21 @@ def name_similarity(spark, sf_dir):
     )
 
 
+@query("""
+WITH v AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS t FROM part),
+s AS (SELECT x.t AS a, y.t AS b, jaro_similarity(x.t, y.t) AS j,
+             CASE WHEN left(x.t, 4) = left(y.t, 4) THEN 4 WHEN left(x.t, 3) = left(y.t, 3) THEN 3
+                  WHEN left(x.t, 2) = left(y.t, 2) THEN 2 WHEN left(x.t, 1) = left(y.t, 1) THEN 1 ELSE 0 END AS p
+      FROM v AS x JOIN v AS y ON x.t < y.t)
+SELECT a, b, round(j + 0.1 * p * (1 - j), 9) AS score FROM s WHERE j + 0.1 * p * (1 - j) >= 0.96
+""")
+def name_blocking(spark, sf_dir):
+    """All pairs of similar part descriptions."""
+    described = F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("described")
+    found = similar_values(read(spark, sf_dir, "part").select(described), "described", 0.96)
+    return found.select("a", "b", F.round("score", 9).alias("score"))
+
+
 @query(r"""
 SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS database FROM pages
 """)

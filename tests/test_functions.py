@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import types as T
 
 from sparkmart.functions import convert, similarity, transform
 from sparkmart.functions.types import mart_type, spark_type, type_name
+from sparkmart.operators import similar
 from sparkmart.plans.spec import ColumnSpec, JsonField, TableKey, TableSpec, Transform
 
 KEY = TableKey("a", "public", "t")
@@ -265,3 +267,36 @@ def test_jaro_winkler_column_runs_once(spark):
     scored = df.withColumn("s", score).where("s >= 0.45")
     assert [r.s for r in scored.collect()] == [1.0]
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_jaro_winkler_of_many_pairs():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcé日 ") for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 30])))
+    a, b = [word() for _ in range(3000)], [word() for _ in range(3000)]
+    b[::3] = [x[: k % 9] + "b" + x[k % 9 :] for k, x in enumerate(a[::3])]
+    b[:50] = a[:50]
+    want = [similarity.jaro_winkler_text(x, y) for x, y in zip(a, b)]
+    assert similarity.jaro_winkler_many(a, b).tolist() == pytest.approx(want, abs=1e-12)
+
+
+def test_jaro_winkler_of_long_and_missing_texts(spark):
+    rows = [("a" * 3000 + "b", "a" * 3000 + "c"), (None, "x"), ("x", None), ("", ""), ("", "x"), ("a\0b", "a\0c"), ("MARTHA", "MARHTA")]
+    frame = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    got = [r[0] for r in frame.select(similarity.jaro_winkler(F.col("a"), F.col("b"))).collect()]
+    want = [None if None in r else similarity.jaro_winkler_text(*r) for r in rows]
+    assert got == [w if w is None else pytest.approx(w) for w in want]
+
+
+@pytest.mark.parametrize("least", [0.85, 0.95])
+def test_similar_values_are_all_found(spark, least):
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abcde ü") for _ in range(rng.choice([1, 2, 4, 8, 12]))) for _ in range(150)}
+    words |= {w[:k] + "x" + w[k + 1 :] for w in list(words) for k in (1, 5)} | {w[1:] + w[:1] for w in list(words)} | {w + "q" for w in list(words)}
+    frame = spark.createDataFrame([(w, 1) for w in sorted(words)] + [(None, 2), ("", 3), ("ab", 4)], "v string, text int")
+    got = {(r["a"], r["b"]): r["score"] for r in similar.similar_values(frame, "v", least).collect()}
+    filled = sorted(w for w in words | {"ab"} if w)
+    score = {(x, y): similarity.jaro_winkler_text(x, y) for x in filled for y in filled if x < y}
+    want = {k: s for k, s in score.items() if s >= least}
+    assert got == {k: pytest.approx(s) for k, s in want.items()} and len(want) > 50
+    with pytest.raises(ValueError):
+        similar.similar_values(frame, "v", 0.8)
