@@ -6,12 +6,11 @@ give candidate buckets; folded into a parity bitmap, an odd sketch, they estimat
 candidate pair from the population count of an XOR, which is precise where similarity is high. Pairs that
 pass are confirmed on the full shingle sets, and links make components.
 
-A bucket is never expanded into all its pairs. Buckets that overlap make a cluster, whose members are compared
-block by block within tasks: what two members can share at most, by the shingles of one member of the cluster
-that both have, and their sketches rule pairs out. At first every member's nearest and the pairs of the most central
-member leave a task, which links nearly all there is to link. Where several components remain in a
-cluster, all pairs between them that are not ruled out follow. So every candidate pair is compared, or already
-connected, or cannot be linked.
+A bucket is never expanded into all its pairs. Buckets that overlap make a cluster, and every member of it is compared
+with one, the pivot, exactly; where all members are linked with it, nothing is left to do. Other members meet those of their
+cluster block by block within tasks: sketches and the most that two members can share rule pairs out, the others are
+confirmed by what they do share, the pivot's shingles that both have and the equal ones among the rest. A task returns a
+spanning forest of the links it finds, never the links themselves.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; rows with a null
 id take part, an id is smaller than none; rows that repeat an id each have their own text; other columns are
@@ -52,7 +51,8 @@ class Settings:
     rows: int = 6
     bits: int = 512
     margin: float = 0.16
-    block_rows: int = 1024
+    block_rows: int = 256
+    block_bytes: int = 8 << 20
     seed: int = 11
 
     def most_bits(self, margin: float | None = None) -> float:
@@ -98,10 +98,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets are at least that similar, exactly."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+def linked(shared, sizes, percent: int):
+    """Whether sets that share so many elements, their sizes added up, are at least that similar, exactly."""
+    return (shared > 0) & ((100 + percent) * shared >= percent * sizes)
 
 
 class Sketcher:
@@ -160,45 +159,33 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> Da
     return rows.mapInArrow(run, f"id {kind}, version long, n long, set binary, bands array<long>, odd array<long>")
 
 
-def _confirm(pairs: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs with both texts, those that are linked, as ``a`` and ``b``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lru_cache(maxsize=64)(lambda text: shingles(text, s.words))
-        for batch in batches:
-            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            keep = pa.array([linked(of(x), of(y), s.percent) for x, y in texts], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
-
-
 def _described(rows: DataFrame, s: Settings) -> DataFrame:
     """Cluster members by their pivot, the text of one member: ``bits`` tells which of the pivot's shingles they have.
 
-    ``extra`` is how many shingles they have besides.
+    ``others`` are the hashes of those they have besides, ``size`` their number of shingles, and ``linked`` whether they are linked with the
+    pivot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lru_cache(maxsize=64)(lambda text: shingles(text, s.words))
         for batch in batches:
-            bits, extra, sizes = [], [], []
+            bits, others, sizes, near = [], [], [], []
             for text, pivot in zip(batch.column("text").to_pylist(), batch.column("pivot").to_pylist()):
                 own, base = shingles(text, s.words), of(pivot)
                 has = np.isin(base, own, assume_unique=True)
                 bits.append(np.packbits(np.pad(has, (0, -len(has) % 64))).tobytes())
-                extra.append(len(own) - int(has.sum()))
+                others.append(np.setdiff1d(own, base, assume_unique=True).tobytes())
                 sizes.append(len(own))
+                near.append(linked(int(has.sum()), len(own) + len(base), s.percent))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("cluster", "members", "set", "odd")), pa.array(bits, pa.binary()),
-                 pa.array(extra, pa.int32()), pa.array(sizes, pa.int32())],
-                names=["cluster", "members", "set", "odd", "bits", "extra", "size"],
+                [*(batch.column(c) for c in ("cluster", "set", "odd")), pa.array(bits, pa.binary()),
+                 pa.array(others, pa.binary()), pa.array(sizes, pa.int32()), pa.array(near, pa.bool_())],
+                names=["cluster", "set", "odd", "bits", "others", "size", "linked"],
             )
 
-    columns = rows.select("cluster", "members", "set", "odd", "text", "pivot")
-    return columns.mapInArrow(
-        run, "cluster binary, members long, set binary, odd array<long>, bits binary, extra int, size int"
-    )
+    columns = rows.select("cluster", "set", "odd", "text", "pivot")
+    kinds = "cluster binary, set binary, odd array<long>, bits binary, others binary, size int, linked boolean"
+    return columns.mapInArrow(run, kinds)
 
 
 def _popcounts(x: np.ndarray, y: np.ndarray, combine) -> np.ndarray:
@@ -208,72 +195,98 @@ def _popcounts(x: np.ndarray, y: np.ndarray, combine) -> np.ndarray:
     return out
 
 
-def _compare(described: DataFrame, s: Settings, everything: bool) -> DataFrame:
-    """Pairs ``a`` < ``b`` of a cluster's members that may be linked, found block by block.
+def _shared(left: list[bytes], right: list[bytes], columns: int = 4096) -> np.ndarray:
+    """How many hashes every two members have in common, by products of matrices over the hashes found on both sides."""
+    flat = [np.frombuffer(b"".join(side), np.uint64) for side in (left, right)]
+    of = [np.repeat(np.arange(len(side)), [len(x) // 8 for x in side]) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    kept = [np.isin(hashes, both) for hashes in flat]
+    at = [np.searchsorted(both, hashes[k]) for hashes, k in zip(flat, kept)]
+    rows = [r[k] for r, k in zip(of, kept)]
+    for begin in range(0, len(both), columns):
+        sides = []
+        for side, place, row in zip((left, right), at, rows):
+            here = (place >= begin) & (place < begin + columns)
+            has = np.zeros((len(side), min(columns, len(both) - begin)), np.float32)
+            has[row[here], place[here] - begin] = 1
+            sides.append(has)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _forest(x: np.ndarray, y: np.ndarray, component: np.ndarray) -> list[int]:
+    """Places of the links between members ``x`` and ``y`` that join components, just enough of them."""
+    names, at = np.unique(np.concatenate((component[x], component[y])), return_inverse=True)
+    u, v = at[: len(x)], at[len(x) :]
+    link = np.full((len(names), len(names)), -1, np.int64)
+    link[u, v] = link[v, u] = np.arange(len(x))
+    seen, out = np.zeros(len(names), bool), []
+    for start in range(len(names)):
+        ahead = [] if seen[start] else [start]
+        seen[start] = True
+        while ahead:
+            node = ahead.pop()
+            new = np.flatnonzero((link[node] >= 0) & ~seen)
+            seen[new] = True
+            out += link[node, new].tolist()
+            ahead += new.tolist()
+    return out
+
+
+def _compare(described: DataFrame, s: Settings) -> DataFrame:
+    """Links ``a``, ``b`` that join what the clusters' members form with their pivots, found block by block.
 
-    Two sets share at most the pivot's shingles that both have and the smaller of their numbers of others. Pairs
-    that could not be linked with that many, or whose odd sketches are too far apart, stay in their task, and so
-    do pairs of one ``component``. Of the others ``everything`` is given, or else just enough to link most: the
-    pairs of the member with most near ones, and every member's nearest.
+    Members linked with the pivot lie in blocks of their own, which are not compared with each other. Two sets share at
+    most the pivot's shingles that both have and the smaller of their numbers of others; pairs that could not be linked
+    with that many, or whose odd sketches are too far apart, are ruled out, and the others confirmed.
     """
-    count = F.ceil(F.col("members") / s.block_rows)
-    dealt = described.withColumn("block", F.pmod(F.xxhash64("set"), count)).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+    weight = F.octet_length("bits") + F.octet_length("others")
+    sizes = described.groupBy("cluster", "linked").agg(F.count("*").alias("rows"), F.sum(weight).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("rows") / s.block_rows), F.ceil(F.col("bytes") / s.block_bytes))
+    sizes = sizes.groupBy(F.col("cluster").alias("_cluster")).agg(
+        *(F.coalesce(F.max(F.when(F.col("linked") == flag, blocks)), F.lit(0)).alias(name) for name, flag in (("free", False), ("bound", True)))
     )
+    sizes = settle(sizes.where("free > 0"), "sizes")
+    block = F.pmod(F.xxhash64("set"), F.when(F.col("linked"), F.col("bound")).otherwise(F.col("free")))
+    last = F.when(F.col("linked"), F.col("free")).otherwise(F.col("free") + F.col("bound"))
+    dealt = described.join(sizes, F.col("cluster") == F.col("_cluster"))
+    dealt = dealt.withColumn("block", F.when(F.col("linked"), F.col("free")).otherwise(F.lit(0)) + block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    dealt = dealt.select("cluster", "i", "j", "block", "set", "component", "odd", "bits", "extra", "size")
-    loose, tight = s.most_bits(), s.most_bits(0.0)
+    dealt = dealt.select("cluster", "i", "j", "block", "set", "linked", "odd", "bits", "others", "size")
+    loose = s.most_bits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
             i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            block, sets = group.column("block").to_numpy(), np.array(group.column("set").to_pylist(), object)
-            _, component = np.unique(np.array(group.column("component").to_pylist(), object), return_inverse=True)
+            block, sets = group.column("block").to_numpy(), group.column("set").to_pylist()
             odd = np.array(group.column("odd").to_pylist(), np.int64).view(np.uint64)
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(sets), -1)
-            extra, size = group.column("extra").to_numpy(), group.column("size").to_numpy()
+            others, size = group.column("others").to_pylist(), group.column("size").to_numpy().astype(np.int64)
+            extra = np.array([len(x) // 8 for x in others], np.int64)
+            # Members linked with the pivot are one component, every other member is its own.
+            component = np.where(group.column("linked").to_numpy(zero_copy_only=False), -1, np.arange(len(sets)))
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            far = np.empty((len(left), len(right)), np.int16)  # differing bits, or more than any where ruled out
-            for at in range(0, len(left), 128):
-                part = left[at : at + 128]
-                both = _popcounts(bits[part], bits[right], np.bitwise_and) + np.minimum(extra[part][:, None], extra[right][None])
-                ok = (100 + s.percent) * both >= s.percent * (size[part][:, None] + size[right][None])
-                ok &= component[part][:, None] != component[right][None]
-                differing = _popcounts(odd[part], odd[right], np.bitwise_xor)
-                far[at : at + 128] = np.where(ok & (differing <= loose), differing, s.bits + 1)
-            if i == j:
-                np.fill_diagonal(far, s.bits + 1)
-            near = far <= loose
-            if not near.any():
+            pivots = _popcounts(bits[left], bits[right], np.bitwise_and)
+            sums = size[left][:, None] + size[right][None]
+            ok = linked(pivots + np.minimum(extra[left][:, None], extra[right][None]), sums, s.percent)
+            ok &= _popcounts(odd[left], odd[right], np.bitwise_xor) <= loose
+            ok &= left[:, None] < right[None] if i == j else True
+            rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            if not len(rows):
                 continue
-            if not everything:
-                keep = np.zeros_like(near)
-                keep[np.arange(len(left)), far.argmin(1)] = True
-                keep[far.argmin(0), np.arange(len(right))] = True
-                rows, columns = (far <= tight).sum(1), (far <= tight).sum(0)
-                if rows.max() >= columns.max():
-                    keep[rows.argmax()] = True
-                else:
-                    keep[:, columns.argmax()] = True
-                near &= keep
-            x, y = np.nonzero(near)
-            x, y = left[x], right[y]
-            swap = sets[x] > sets[y]
-            a, b = np.where(swap, sets[y], sets[x]), np.where(swap, sets[x], sets[y])
-            if i == j:
-                pairs = set(zip(a.tolist(), b.tolist()))
-                a, b = zip(*pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(list(a), pa.binary()), pa.array(list(b), pa.binary())], names=["a", "b"])
+            cut = np.ix_(rows, columns)
+            shared = pivots[cut] + _shared([others[k] for k in left[rows]], [others[k] for k in right[columns]])
+            x, y = np.nonzero(ok[cut] & linked(shared, sums[cut], s.percent))
+            x, y = left[rows[x]], right[columns[y]]
+            kept = _forest(x, y, component)
+            if kept:
+                ends = [pa.array([sets[k] for k in side[kept]], pa.binary()) for side in (x, y)]
+                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
     grouped = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return settle(grouped.mapInArrow(run, "a binary, b binary"), "pairs")
-
-
-def _links(pairs: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
-    """The pairs that are linked, by their full sets."""
-    left = known.select(F.col("set").alias("a"), F.col("text").alias("text_a"))
-    right = known.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
-    return settle(_confirm(pairs.join(left, "a").join(right, "b"), s), "links")
+    return grouped.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -302,20 +315,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     overlaps = members.where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b"))
     clusters = settle(connected_components(in_play.select(F.col("_set").alias("node")), overlaps), "clusters")
     clusters = clusters.select(F.col("node").alias("_node"), F.col("component").alias("cluster"))
-    sizes = settle(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "sizes")
-    placed = clusters.join(sizes, "cluster").join(known, F.col("_node") == F.col("set"))
+    placed = clusters.join(known, F.col("_node") == F.col("set"))
     pivots = known.select(F.col("set").alias("_pivot"), F.col("text").alias("pivot"))
     described = settle(_described(placed.join(pivots, F.col("cluster") == F.col("_pivot")), s), "described")
     nodes = described.select(F.col("set").alias("node"))
-    links = _links(_compare(described.withColumn("component", F.col("set")), s, everything=False), known, s)
-    joined = settle(connected_components(nodes, links), "components")
-    # Clusters that still hold several components: every pair across them that may be linked.
-    described = described.join(joined, F.col("set") == F.col("node")).drop("node")
-    several = described.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    several = settle(several.where("x <> y").select("cluster"), "several")
-    more = _links(_compare(described.join(several, "cluster"), s, everything=True), known, s)
-    if not more.isEmpty():
-        joined = connected_components(nodes, links.unionByName(more))
+    near = described.where("linked").select(F.col("set").alias("a"), F.col("cluster").alias("b"))
+    joined = connected_components(nodes, near.unionByName(_compare(described, s)))
     named = classes.select("set", "id", "version").join(joined, F.col("set") == F.col("node"), "left")
     named = settle(named.withColumn("component", F.coalesce("component", "set")), "named")
     lowest = settle(named.groupBy("component").agg(F.min(_order()).alias("first")), "lowest")

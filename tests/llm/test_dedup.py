@@ -3,6 +3,7 @@
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,31 @@ def test_near_keeps_one_of_each_component(docs, pairs):
     assert Counter(kept) == Counter(empty) + Counter(least for least, _ in {x[2:] for x in found if x[1]})
 
 
+@pytest.mark.parametrize("rows", [256, 40])
+def test_near_links_of_a_chain(spark, rows):
+    """Every text is linked with its neighbours alone, and one family in the middle is cut in two."""
+    words = [f"w{k}" for k in range(12_000)]
+    texts = [words[10 * k : 10 * k + 200] for k in range(1000)]
+    texts[600] = [f"v{k}" for k in range(200)]
+    rows_in = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows_in, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(docs, settings=near_dedup.Settings(block_rows=rows))
+    want = {k: 0 if k < 600 else 600 if k == 600 else 601 for k in range(1000)}
+    assert {r["id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_shared_hashes_and_forests():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40), np.uint64)) for _ in range(30)]
+    packed = [x.tobytes() for x in sets]
+    want = [[len(np.intersect1d(x, y)) for y in sets[20:]] for x in sets[:20]]
+    for columns in (7, 4096):
+        assert near_dedup._shared(packed[:20], packed[20:], columns).tolist() == want
+    x, y, component = np.array([0, 1, 2, 0, 5, 6]), np.array([1, 2, 0, 3, 6, 5]), np.array([-1, 1, 2, -1, 4, 5, 6])
+    kept = near_dedup._forest(x, y, component)
+    assert len(kept) == 3 and {4, 5} & set(kept) and len({0, 1, 2} & set(kept)) == 2
+
+
 def test_odd_sketches_estimate_high_similarities():
     s = near_dedup.Settings()
     sketcher = near_dedup.Sketcher(s)
