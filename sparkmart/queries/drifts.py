@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkmart.operators import drift
+from sparkmart.operators import drift, specs
 from sparkmart.operators.evolve import SUGGESTIONS, Resolution, new_suggestions, plan_resolution, project_change
 from sparkmart.operators.paging import match_all, ordered_page
 from sparkmart.operators.registry import REGISTRY, spec_columns
@@ -283,3 +283,91 @@ def resolved_specs(spark, sf_dir):
         rows.append((r[0], plan_resolution(spec, key, decisions[r[0] % 3]).spec.to_json()))
     registry = local_frame(spark, rows, REGISTRY)
     return spec_columns(registry).select("view_id", "column")
+
+
+# -- all specs at once --------------------------------------------------------------------------
+
+
+def order_registry(spark, sf_dir):
+    """One spec per order: its lines are join rules between a part table and a supplier table.
+
+    Tables of an order's seventh line are not selected, so a rule may name one that is unknown; two lines of one part table give it two columns,
+    of one name perhaps.
+    """
+    lines = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.col("l_linenumber").alias("line"),
+        F.concat(F.lit("p"), F.col("l_partkey") % 4).alias("p"),
+        F.concat(F.lit("s"), F.col("l_suppkey") % 3).alias("s"),
+        F.concat(F.lit("c"), F.col("l_quantity").cast("int") % 50).alias("c"),
+    )
+    end = lambda name: F.struct(F.lit("shop").alias("source"), F.lit("public").alias("schema"), F.col(name).alias("table"), F.lit("id").alias("column"))
+    rule = F.struct(F.struct(end("p").alias("left"), end("s").alias("right")).alias("inner"))
+    rules = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("line", rule.alias("rule")))).alias("lines"))
+    rules = rules.select("l_orderkey", F.transform("lines", lambda x: x["rule"]).alias("joins"))
+    chosen = lines.where("line < 7")
+    both = chosen.select("l_orderkey", F.col("p").alias("name"), "line", F.struct(F.col("c").alias("name")).alias("column"))
+    both = both.unionByName(chosen.select("l_orderkey", F.col("s").alias("name"), "line", F.lit(None).cast("struct<name:string>").alias("column")))
+    tables = both.groupBy("l_orderkey", "name").agg(F.array_compact(F.collect_list("column")).alias("columns"))
+    tables = tables.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("name", "columns"))).alias("tables"))
+    sources = F.array(F.struct(F.lit("shop").alias("name"), F.array(F.struct(F.lit("public").alias("name"), "tables")).alias("schemas")))
+    spec = F.to_json(F.struct(F.concat(F.lit("Order_"), "l_orderkey").alias("view_name"), sources.alias("sources"), "joins"))
+    return rules.join(tables, "l_orderkey", "left").select(F.col("l_orderkey").alias("id"), spec.alias("schema_view"))
+
+
+@query("""
+WITH RECURSIVE l AS (
+  SELECT l_orderkey AS id, l_linenumber AS line, 'p' || l_partkey % 4 AS p, 's' || l_suppkey % 3 AS s, CAST(l_quantity AS INTEGER) % 50 AS c
+  FROM lineitem),
+known AS (SELECT DISTINCT id, unnest([p, s]) AS t FROM l WHERE line < 7),
+used AS (SELECT DISTINCT id, unnest([p, s]) AS t FROM l),
+reach AS (
+  SELECT id, min(p) AS t FROM l GROUP BY id
+  UNION SELECT reach.id, CASE WHEN reach.t = l.p THEN l.s ELSE l.p END FROM reach JOIN l ON reach.id = l.id AND (reach.t = l.p OR reach.t = l.s)),
+n AS (SELECT id, count(*) AS rules FROM l GROUP BY id),
+facts AS (
+  SELECT n.id, rules, (SELECT count(*) FROM known WHERE known.id = n.id) AS n_tables, (SELECT count(*) FROM used WHERE used.id = n.id) AS n_joined,
+         (SELECT count(*) FROM reach WHERE reach.id = n.id) AS reached
+  FROM n),
+again AS (SELECT DISTINCT id FROM l WHERE line < 7 GROUP BY id, p, c HAVING count(*) > 1)
+SELECT id, 'order_' || id AS name,
+       CASE WHEN n_tables = 0 THEN 'no table' WHEN n_joined > n_tables THEN 'unknown table in a rule' WHEN rules <> n_joined - 1 OR reached <> n_joined THEN 'not one tree'
+            WHEN id IN (SELECT id FROM again) THEN 'equal column names in a table' ELSE 'ok' END AS verdict,
+       n_tables, n_joined
+FROM facts
+""")
+def spec_verdicts(spark, sf_dir):
+    return specs.verdicts(order_registry(spark, sf_dir)).drop("left_out")
+
+
+@query("""
+WITH c AS (
+  SELECT c_custkey AS view_id, c_custkey % 7 = 0 AS failing, c_mktsegment AS seg FROM customer),
+cols AS (SELECT view_id, failing, seg, unnest(['id', 'balance', 'note', 'city']) AS col FROM c)
+SELECT view_id, CASE WHEN NOT failing AND seg = 'BUILDING' AND col = 'balance' THEN 'amount'
+                     WHEN NOT failing AND seg = 'MACHINERY' AND col = 'city' THEN 'town' ELSE col END AS "column",
+       CASE WHEN failing THEN 'gone' END AS problem
+FROM cols
+WHERE failing OR NOT (col = 'note' AND seg IN ('AUTOMOBILE', 'MACHINERY') OR col = 'city' AND seg = 'AUTOMOBILE')
+""")
+def customer_specs_resolved(spark, sf_dir):
+    """One spec per customer; decisions follow from the segment: accepted renames, deletions, drops, and one that fails."""
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    columns = F.array(*(F.struct(F.lit(c).alias("name")) for c in ("id", "balance", "note", "city")))
+    tables = F.array(F.struct(F.concat(F.lit("stock_"), "id").alias("name"), columns.alias("columns")))
+    sources = F.array(F.struct(F.lit("shop").alias("name"), F.array(F.struct(F.lit("public").alias("name"), tables.alias("tables"))).alias("schemas")))
+    registry = customers.select("id", F.to_json(F.struct(F.concat(F.lit("stock_"), "id").alias("view_name"), sources.alias("sources"))).alias("schema_view"))
+    one = lambda seq, kind, old, new=None: F.struct(
+        F.lit(seq).alias("seq"), F.lit(kind).alias("decision"), F.lit(old).alias("old"), F.lit(new).cast("string").alias("new")
+    )
+    segment = F.col("c_mktsegment")
+    chosen = (
+        F.when(segment == "BUILDING", F.array(one(1, specs.RENAME, "BALANCE", "sum"), one(2, specs.RENAME, "sum", "amount")))
+        .when(segment == "MACHINERY", F.array(one(1, specs.RENAME, "city", "town"), one(2, specs.DELETE, "NOTE")))
+        .when(segment == "AUTOMOBILE", F.array(one(1, specs.DROP, "city"), one(2, specs.DELETE, "note"), one(3, specs.DELETE, "nothing")))
+    )
+    chosen = F.when(F.col("id") % 7 == 0, F.array(one(1, specs.DELETE, "note"), one(2, specs.RENAME, "gone", "back"))).otherwise(chosen)
+    place = [F.lit("shop").alias("db"), F.lit("public").alias("schema"), F.concat(F.lit("stock_"), "id").alias("table")]
+    decisions = customers.select(F.col("id").alias("view_id"), *place, F.inline(chosen))
+    done = specs.resolved(registry, decisions)
+    return spec_columns(done).select("view_id", "column").join(done.select(F.col("id").alias("view_id"), "problem"), "view_id")
