@@ -43,3 +43,9 @@ def having_match(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 def without_match(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with no match."""
     return df.join(other.select(*keys).distinct(), keys, "left_anti")
+
+
+def with_match_flag(df: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """All rows, with a flag that tells whether the other side has their key: one join for both answers."""
+    there = other.select(*keys).distinct().withColumn(name, F.lit(True))
+    return df.join(there, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))

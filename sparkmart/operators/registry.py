@@ -41,6 +41,7 @@ _SOURCE = row_type(name=_TEXT, schemas=T.ArrayType(_SCHEMA))
 VIEW = row_type(view_name=_TEXT, sources=T.ArrayType(_SOURCE))
 
 REGISTRY = row_type(id=_LONG, schema_view=_TEXT)
+_LOG = row_type(id=_LONG, schema_view=_TEXT, version=_LONG)
 
 
 def parsed(registry: DataFrame) -> DataFrame:
@@ -157,38 +158,51 @@ def extra_targets(registry: DataFrame) -> DataFrame:
     )
 
 
+def newest(log: DataFrame) -> DataFrame:
+    """``(id, schema_view)``: every spec as its newest version has it. The aggregate combines on the map side."""
+    return log.groupBy("id").agg(F.max_by("schema_view", "version").alias("schema_view"))
+
+
+def using(registry: DataFrame, tables: DataFrame) -> DataFrame:
+    """The specs that select any of the tables ``(db, schema, table)``."""
+    hit = routes(registry).join(tables, ["db", "schema", "table"], "left_semi").select(F.col("view_id").alias("id")).distinct()
+    return registry.join(hit, "id", "left_semi")
+
+
 class Registry:
-    """The registry kept in a table store."""
+    """The registry kept in a table store, as a log: a changed spec is one more row, and the newest row counts."""
 
     TABLE = "mart_registry"
 
     def __init__(self, store: TableStore):
         self.store = store
-        store.create(self.TABLE, REGISTRY)
+        store.create(self.TABLE, _LOG)
 
     def frame(self) -> DataFrame:
-        return self.store.read(self.TABLE)
+        return newest(self.store.read(self.TABLE))
+
+    def _append(self, view_id: int, spec: MartSpec) -> None:
+        version = self.store.version(self.TABLE).number + 1
+        self.store.append_small(self.TABLE, local_frame(self.store.spark, [(view_id, spec.to_json(), version)], _LOG))
 
     def add(self, spec: MartSpec) -> int:
         """Store a spec and return its id."""
-        last = self.frame().agg(F.max("id")).first()[0]
-        new_id = (last or 0) + 1
-        row = local_frame(self.store.spark, [(new_id, spec.to_json())], REGISTRY)
-        self.store.append_small(self.TABLE, row)
-        return new_id
+        last = self.store.read(self.TABLE).agg(F.max("id")).first()[0]
+        self._append((last or 0) + 1, spec)
+        return (last or 0) + 1
 
     def get(self, view_id: int) -> MartSpec:
-        row = self.frame().where(F.col("id") == view_id).first()
+        row = newest(self.store.read(self.TABLE).where(F.col("id") == view_id)).first()
         if row is None:
             raise NotFound(f"no mart with id {view_id}")
         return MartSpec.from_json(row["schema_view"])
 
     def update(self, view_id: int, spec: MartSpec) -> None:
-        """Replace a spec."""
+        """Replace a spec; no other spec is read or written."""
         self.get(view_id)
-        changed = F.when(F.col("id") == view_id, F.lit(spec.to_json())).otherwise(F.col("schema_view"))
-        self.store.publish(self.TABLE, self.frame().withColumn("schema_view", changed))
+        self._append(view_id, spec)
 
-    def specs(self) -> dict[int, MartSpec]:
-        """All specs by id, for building plans; specs are metadata."""
-        return {r["id"]: MartSpec.from_json(r["schema_view"]) for r in self.frame().toLocalIterator()}
+    def specs(self, tables: DataFrame | None = None) -> dict[int, MartSpec]:
+        """Specs by id, for building plans: all of them, or those that select any of the tables ``(db, schema, table)``."""
+        rows = self.frame() if tables is None else using(self.frame(), tables)
+        return {r["id"]: MartSpec.from_json(r["schema_view"]) for r in rows.toLocalIterator()}

@@ -199,6 +199,28 @@ def mismatch_groups(spark, sf_dir):
     )
 
 
+@query(_GROUPS_SQL + """
+SELECT schema_id, status, old_group, count(*) AS n_items, count(*) FILTER (mismatch_type = 'rename_candidate') AS n_renames,
+       count(*) FILTER (mismatch_type = 'schema_only') AS n_schema_only, min(old_column_name) AS first_old
+FROM after GROUP BY ALL
+""")
+def mismatch_groups_with_items(spark, sf_dir):
+    """Every group as one row with its items nested."""
+    report = settle(drift.drift_report(*line_catalogs(spark, sf_dir)), "report")
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    nested = drift.groups_with_items(*drift.upsert_groups(report, *_open_groups(spark, sf_dir), now)).where("items IS NOT NULL")
+    of = lambda kind: F.size(F.filter("items", lambda x: x["mismatch_type"] == kind))
+    return nested.select(
+        "schema_id",
+        "status",
+        (F.col("id") < 0).alias("old_group"),
+        F.size("items").alias("n_items"),
+        of(drift.RENAME).alias("n_renames"),
+        of(drift.SCHEMA_ONLY).alias("n_schema_only"),
+        F.array_min(F.transform("items", lambda x: x["old_column_name"])).alias("first_old"),
+    )
+
+
 @query("""
 SELECT o_orderkey AS schema_id, CASE WHEN o_orderkey = 7 THEN 'resolved'
        WHEN o_orderstatus = 'O' THEN 'open' ELSE 'resolved' END AS status

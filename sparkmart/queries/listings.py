@@ -89,8 +89,7 @@ FROM customer
 def pending_exists(spark, sf_dir):
     customers = read(spark, sf_dir, "customer").select("c_custkey")
     orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    yes = dedup.having_match(customers, orders, ["c_custkey"]).withColumn("pending", F.lit(True))
-    return yes.union(dedup.without_match(customers, orders, ["c_custkey"]).withColumn("pending", F.lit(False)))
+    return dedup.with_match_flag(customers, orders, ["c_custkey"], "pending")
 
 
 # -- registry -----------------------------------------------------------------------------------
@@ -138,6 +137,21 @@ def registry_summary(spark, sf_dir):
     return registry.summary(supplier_registry(spark, sf_dir))
 
 
+@query("""
+SELECT s_suppkey AS id, lower(s_name) || CASE WHEN s_suppkey % 3 = 0 THEN '_v2' ELSE '' END AS name
+FROM supplier WHERE s_nationkey IN (3, 5)
+""")
+def registry_log(spark, sf_dir):
+    """Specs of which a third was changed once, read from the log for the order tables of two nations."""
+    specs = supplier_registry(spark, sf_dir)
+    again = specs.where("id % 3 = 0").withColumn("schema_view", F.regexp_replace("schema_view", '("view_name":"[^"]*)', "$1_v2"))
+    log = specs.withColumn("version", F.lit(1).cast("long")).union(again.withColumn("version", F.col("id") + 1))
+    nations = read(spark, sf_dir, "nation").where("n_nationkey IN (3, 5)")
+    tables = nations.select(F.col("n_name").alias("db"), F.lit("public").alias("schema"), F.lit("orders").alias("table"))
+    used = registry.using(registry.newest(log), tables)
+    return registry.summary(used).select("id", "name")
+
+
 @query("SELECT s_suppkey AS id, lower(s_name) AS name FROM supplier WHERE s_nationkey = 3")
 def views_using_table(spark, sf_dir):
     return registry.views_using(supplier_registry(spark, sf_dir), "NATION_3", "public", "orders")

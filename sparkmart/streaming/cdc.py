@@ -118,7 +118,8 @@ class ChangeApplier:
     """Applies micro-batches of raw change records to all registered marts.
 
     Every (mart, source table) of a batch is one published version tagged with the batch id, so replaying
-    a batch after a failure repeats nothing. The registry is read per batch: a new mart joins by itself.
+    a batch after a failure repeats nothing. The registry is read per batch, a new mart joins by itself, and only the
+    specs that use a table of the batch leave it: a batch costs what its marts cost, however many others there are.
 
     The events of a batch are written once, in a folder per table, so a mart reads those of its tables only.
     ``keep_versions`` mart versions are kept, older ones are deleted after each batch; ``None`` keeps all.
@@ -158,10 +159,11 @@ class ChangeApplier:
         scratch = scratch_path(self.store.spark, f"batch-{batch_id}")
         try:
             events = by_table(data_events(events_in(parsed)), scratch)
-            specs = self.registry.specs()
             present = {
                 TableKey(*r) for r in events.select("db", "schema", "table").distinct().toLocalIterator()
             }
+            tables = local_frame(self.store.spark, [(k.source, k.schema, k.table) for k in present], _TABLES)
+            specs = self.registry.specs(tables)
             work = {i: [t.key for t in s.tables if t.key in present] for i, s in specs.items()}
             work = {i: keys for i, keys in work.items() if keys}
             self._keep_bad(parsed, events, [(specs[i], k) for i, keys in work.items() for k in keys], batch_id)

@@ -196,6 +196,14 @@ def test_registry(spark, store):
     two = MartSpec("two", (TableSpec(KEY, (ColumnSpec("ID", alias="Key"),)), TableSpec(TableKey("db2", "s", "t"), (ColumnSpec("a"),))))
     assert (reg.add(one), reg.add(two)) == (1, 2)
     assert reg.get(1) == one and reg.specs() == {1: one, 2: two}
+    only = spark.createDataFrame([("db2", "s", "t"), ("db3", "s", "t")], "db string, schema string, table string")
+    assert reg.specs(only) == {2: two}
+    reg.update(2, one)
+    reg.update(1, two)
+    reg.update(1, one)
+    assert reg.specs(only) == {} and reg.specs() == {1: one, 2: one}
+    reg.update(2, two)
+    assert store.read(Registry.TABLE).count() == 6
     frame = reg.frame()
     assert rows_of(registry.topics(frame)) == [("dbserver_db2.s.t",), ("dbserver_shop.stock.part",)]
     assert [tuple(r) for r in registry.summary(frame).orderBy(F.desc("id")).collect()] == [(2, "two", 2, 2), (1, "one", 1, 1)]
