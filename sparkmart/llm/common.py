@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut by rows and by the bytes of a text or binary column, so that what is made of one stays small."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+        begin = held = 0
+        for k, length in enumerate(lengths):
+            if k > begin and (k - begin >= rows or held + length > size):
+                yield batch.slice(begin, k - begin)
+                begin, held = k, 0
+            held += length
+        if begin < len(lengths):
+            yield batch.slice(begin)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; ``lower`` does just that to text of ASCII characters alone."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

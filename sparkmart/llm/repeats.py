@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmart.llm.common import query, read
+from sparkmart.llm.common import bounded, query, read
 from sparkmart.session import scratch_path, settle
 
 _PIECE = 1 << 17  # window starts hashed at a time
@@ -104,7 +104,7 @@ def packed_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             raw = [t.encode() for t in batch.column(1).to_pylist()]
             n = batch.column(2)
             yield pa.RecordBatch.from_arrays(
@@ -137,7 +137,7 @@ def _anchor_rows(documents: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in bounded(batches, "data"):
             n, opened = batch.column(0), batch.column(1)
             columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             for k, data in enumerate(batch.column(2).to_pylist()):
@@ -172,7 +172,7 @@ def _surroundings(anchors_of: DataFrame, packed: DataFrame, length: int, gram: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in bounded(batches, "data"):
             out = []
             for n, data, items in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = unpack.decompress(data)
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in bounded(batches, "data"):
             sizes, gone, kept = [], [], []
             for data, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = unpack.decompress(data)

@@ -173,3 +173,14 @@ def test_numbers_and_running_sums(spark):
     assert all(r["k"] == r["n"] for r in rows.collect()) and rows.count() == 1000
     sums = spark.range(1).select(running_sum(F.sequence(F.lit(1), F.lit(1000))).alias("s"), running_sum(F.array().cast("array<int>")).alias("e"))
     assert sums.first()["s"] == [k * (k + 1) // 2 for k in range(1000)] and sums.first()["e"] == []
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from sparkmart.llm.common import bounded
+
+    texts = ["x" * 5, None, "", "y" * 40, "z" * 3, "é" * 4, *["w"] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["n", "text"])
+    cut = list(bounded([batch, batch.slice(0, 0)], "text", rows=4, size=12))
+    assert [b.num_rows for b in cut] == [3, 1, 3, 4, 4] and pa.Table.from_batches(cut).column("text").to_pylist() == texts
