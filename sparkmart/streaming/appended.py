@@ -48,8 +48,8 @@ class ChangeFolder:
     def compact(self, keys: Sequence[str], folders: int = 2, fold: Callable = newest) -> None:
         """Fold everything into one folder if there are at least so many.
 
-        The folders it replaces go afterwards. A reader that sees both, and one that meets some of them gone, finds
-        the same newest values.
+        The folders it replaces go afterwards; a reader that sees both finds the same newest values. One that has planned to
+        read a folder which then goes fails, and has to read again.
         """
         old = self._folders()
         if len(old) < folders:
@@ -140,7 +140,7 @@ class AppendedMart:
         return mart
 
     def compact(self, folders: int = 16) -> None:
-        """Fold the changes of tables with so many folders."""
+        """Fold the changes of tables with so many folders; not while a result of ``read`` is still being computed."""
         for key in self._tables():
             self.changes(key).compact(conflict_columns(self.spec.table(key)), folders)
 

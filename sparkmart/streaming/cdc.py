@@ -70,7 +70,6 @@ def timely(rows: DataFrame, keys: list[str], seen: ChangeFolder, batch_id: int,
     found = settle(newest(positioned(rows, keys), keys), "positions", scratch)
     earlier = seen.read()
     seen.append(marks(found, keys), batch_id)
-    seen.compact(keys, MAX_FOLDERS, highest)
     return with_flags(found if earlier is None else not_late(found, earlier, keys), keys)
 
 
@@ -98,6 +97,8 @@ def upsert_table(
     rows = partial_rows(events, spec, key, schema, profile, ts_unit, on_bad_value="skip")
     kept = seen is not None and batch is not None and AT in rows.columns
     changes = settle(timely(rows, keys, seen, batch[1], scratch) if kept else fold(rows, keys), "changes", scratch)
+    if kept:
+        seen.compact(keys, MAX_FOLDERS, highest)  # only now that the changes no longer read the folders it replaces
     touched = touched_buckets(store, name, base, changes, keys) | base.crowded(MAX_FOLDERS)
     merged = merge(store.read_version(name, base, touched), changes, keys)
     placed = F.coalesce(F.col(BUCKET), bucket_of(merged, base.bucket_by, base.buckets))
