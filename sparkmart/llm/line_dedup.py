@@ -4,9 +4,9 @@ A line's key is the line without white space at its ends, A-Z lower-cased. Keys
 points found in at least ``min_docs`` documents lose all their lines except in the document with the largest
 id. Only hashes, ids and positions are shuffled: they are partitioned by ranges of (hash, document), so that
 a line in a third of all documents spreads over many tasks, and sorted by hash, then document from the
-largest down, then position. The keeper is not taken by streaming through that order: the largest id per hash,
-an aggregate over its documents, replaces the first occurrence and gives the same rows. The decisions come back
-as one compressed bitmap per document, never as text.
+largest down, then position. The keeper of a hash is the document of its first occurrence in that order: every range
+gives the first row of each of its hashes, and one aggregate of these settles hashes that straddle a border.
+The decisions come back as one compressed bitmap per document, never as text.
 
 Defined cases: a null or empty text is one empty line; rows with a null id are one document, smaller than all
 others; rows sharing an id are one document, each with its own lines; other columns are ignored.
@@ -48,14 +48,15 @@ def line_bitmaps(
     Words without a dropped line are left out, which is all the compression such sparse bitmaps need.
     """
     hashes = settle(line_hashes(docs, id_col, text_col, min_chars), "lines")
-    ordered = hashes.repartitionByRange(F.col("hash"), F.col("id").desc_nulls_last()).sortWithinPartitions(
-        F.col("hash"), F.col("id").desc_nulls_last(), F.col("pos")
-    )
-    # Rows of one hash and document lie in one range, so this needs no further shuffle.
-    per_doc = ordered.groupBy("hash", "id").agg(F.min("pos"))
+    stream = F.col("hash"), F.col("id").desc_nulls_last()
+    ordered = hashes.repartitionByRange(*stream).sortWithinPartitions(*stream, F.col("pos"))
+    # A row's place grows along the ranges and within each. Rows of one hash and document lie in one range, so that
+    # their first place needs no further shuffle.
+    firsts = ordered.withColumn("place", F.monotonically_increasing_id()).groupBy("hash", "id").agg(F.min("place").alias("place"))
+    # Ranges combine their hashes to one first occurrence each before the shuffle.
     repeated = (
-        per_doc.groupBy("hash")
-        .agg(F.count("*").alias("docs"), F.max("id").alias("keeper"))
+        firsts.groupBy("hash")
+        .agg(F.count("*").alias("docs"), F.min_by("id", "place").alias("keeper"))
         .where(F.col("docs") >= min_docs)
         .select(F.col("hash").alias("_hash"), "keeper")
     )

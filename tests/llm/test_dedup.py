@@ -29,6 +29,18 @@ def test_lines_of_long_documents(spark):
     assert Counter((r[0], brute.sha(r[1])) for r in done.collect()) == want
 
 
+def test_first_occurrence_of_a_line_over_many_ranges(spark):
+    rows = [(d if d % 50 else None, "this line stands in every document\n" * (d % 3) + f"a line of document {d // 3} alone") for d in range(900)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        done = line_dedup.line_dedup(docs)
+        got = Counter((r[0], brute.sha(r[1])) for r in done.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == Counter((d, h) for d, _, _, h in brute.line_dedup(rows))
+
+
 def test_exact(docs, pairs):
     done = exact_dedup.exact_dedup(docs).collect()
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in done) == Counter(brute.exact_dedup(pairs))
