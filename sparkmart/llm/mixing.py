@@ -4,11 +4,12 @@ The mix takes ``share`` times the corpus. Sources in code-point order, null last
 a target stops at ``most`` times its source's size and the excess is shared again by weight. The mix is then
 cut into blocks of equal size, which go to the sources by the highest quotients ``target / (2 * seats + 1)``,
 and within a source to its shards by their sizes in the same way. A shard is a seeded bucket of documents
-of bounded number per source, so a hot source is only many shards. In a shard, documents lie in seeded order
+with about ``shard_words`` words, so a hot source is only many shards; documents without words are in none.
+In a shard, documents lie in seeded order
 and blocks are taken in another seeded order: whole rounds first, then blocks up to the quota, the last one
 as far as needed. All of it is arithmetic on ids and sizes; texts are read once, to count words.
 
-Defined cases: a null text has size 0; a source without words has target 0; no rows give no rows; rows that
+Defined cases: a null text has size 0; documents of size 0 are never taken; a source without words has target 0; no rows give no rows; rows that
 repeat an id are taken each for itself; other columns are ignored. Equal ids and sizes are interchangeable.
 """
 
@@ -66,7 +67,7 @@ def _claims(parties: DataFrame, votes: str, total: str, count: str) -> DataFrame
     )
 
 
-def source_quotas(targets: DataFrame, block_words: int, shard_words: int, most_shards: int) -> DataFrame:
+def source_quotas(targets: DataFrame, block_words: int, shard_words: int) -> DataFrame:
     """Whole blocks per source and the number of its shards."""
     total = targets.agg(F.sum("target").alias("t"), F.count("*").alias("k")).first()
     goal, parties = total["t"] or 0.0, total["k"]
@@ -77,7 +78,7 @@ def source_quotas(targets: DataFrame, block_words: int, shard_words: int, most_s
     claims = _claims(sure, "target", "_total", "_count").where("_quotient > 0")
     won = numbered(claims, F.col("_quotient").desc(), F.col("source").isNull(), F.col("source"), F.col("_next"))
     won = won.where(F.col("n") < left).groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("won"))
-    shards = F.least(F.greatest(F.floor(F.col("source_size") / shard_words), F.lit(1)), F.lit(most_shards)).cast("long")
+    shards = F.greatest(F.floor(F.col("source_size") / shard_words), F.lit(1)).cast("long")
     return sure.join(won, same(F.col("source"), F.col("_source")), "left").select(
         "source", "source_size", "target", (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota"), shards.alias("shards")
     )
@@ -85,25 +86,29 @@ def source_quotas(targets: DataFrame, block_words: int, shard_words: int, most_s
 
 def shard_words_taken(shards: DataFrame, block_words: int, most: float) -> DataFrame:
     """Words each shard gives: its whole blocks, and in the largest shard what the source's blocks leave over."""
-    of = Window.partitionBy("source")
-    shards = shards.withColumn("_count", F.count("*").over(of))
-    sure = shards.withColumn("sure", _seats_before(F.col("size"), F.col("source_size"), F.col("quota"), F.col("_count")))
-    sure = sure.withColumn("_left", F.col("quota") - F.sum("sure").over(of))
-    claims = _claims(sure, "size", "source_size", "_count").where("size > 0")
-    rank = F.row_number().over(of.orderBy(F.col("_quotient").desc(), "shard", "_next"))
-    won = claims.withColumn("_rank", rank).where("_rank <= _left").groupBy("source", "shard").agg(F.count("*").alias("won"))
-    won = won.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "won")
-    place = F.row_number().over(of.orderBy(F.col("size").desc(), "shard"))
+    # All per source is an aggregate or a global order: the shards of a hot source are never in one task.
+    totals = shards.groupBy(F.col("source").alias("_source")).agg(
+        F.count("*").alias("_count"), F.max_by("shard", F.struct("size", -F.col("shard"))).alias("_largest")
+    )
+    counted = shards.join(settle(totals, "totals"), same(F.col("source"), F.col("_source"))).drop("_source")
+    sure = counted.withColumn("sure", _seats_before(F.col("size"), F.col("source_size"), F.col("quota"), F.col("_count")))
+    sure = settle(sure, "sure")
+    claims = _claims(sure, "size", "source_size", "_count").select("source", "shard", "_quotient", "_next")
+    ranked = numbered(claims, F.col("source").isNull(), F.col("source"), F.col("_quotient").desc(), F.col("shard"), F.col("_next"))
+    ranked = settle(ranked, "claims")
+    begins = ranked.groupBy(F.col("source").alias("_source")).agg(F.min("n").alias("_begin"))
+    left = sure.groupBy(F.col("source").alias("_of")).agg((F.first("quota") - F.sum("sure")).alias("_left"))
+    open_seats = begins.join(left, same(F.col("_source"), F.col("_of"))).drop("_of")
+    won = ranked.join(settle(open_seats, "open_seats"), same(F.col("source"), F.col("_source"))).where(F.col("n") - F.col("_begin") < F.col("_left"))
+    won = won.groupBy(F.col("source").alias("_source"), F.col("shard").alias("_shard")).agg(F.count("*").alias("won"))
     blocks = (F.col("sure") + F.coalesce("won", F.lit(0))) * block_words
-    over = F.when(F.col("_place") == 1, F.round("target").cast("long") - F.col("quota") * block_words).otherwise(0)
+    over = F.when(F.col("shard") == F.col("_largest"), F.round("target").cast("long") - F.col("quota") * block_words).otherwise(0)
     cap = F.floor(F.lit(float(most)) * F.col("size")).cast("long")
     words = F.when(F.col("target") >= F.lit(float(most)) * F.col("source_size"), cap).otherwise(
         F.least(F.greatest(blocks + over, F.lit(0)), cap)
     )
-    return (
-        sure.withColumn("_place", place)
-        .join(won, same(F.col("source"), F.col("_source")) & (F.col("shard") == F.col("_shard")), "left")
-        .select("source", "shard", "size", words.cast("long").alias("words"))
+    return sure.join(won, same(F.col("source"), F.col("_source")) & (F.col("shard") == F.col("_shard")), "left").select(
+        "source", "shard", "size", words.cast("long").alias("words")
     )
 
 
@@ -117,7 +122,6 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     block_words: int = 512,
     shard_words: int = 1 << 17,
-    most_shards: int = 4096,
     seed: int = 17,
 ) -> DataFrame:
     """One row per document with what the mix takes of it.
@@ -136,15 +140,21 @@ def mix(
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, share, most, weights)
-    quotas = settle(source_quotas(targets, block_words, shard_words, most_shards), "quotas")
+    quotas = settle(source_quotas(targets, block_words, shard_words), "quotas")
     place = quotas.withColumnRenamed("source", "_source")
-    dealt = sized.join(place, same(F.col("source"), F.col("_source"))).drop("_source")
+    placed = sized.join(place, same(F.col("source"), F.col("_source"))).drop("_source")
+    no_cuts = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    empty = placed.where("size = 0").select(
+        "id", "version", "size", "source", "source_size", "target",
+        F.lit(0).alias("rounds"), no_cuts.alias("cuts"), F.lit(0).cast("long").alias("taken"),
+    )
+    dealt = placed.where("size > 0")
     order = seeded(seed, "id")
     dealt = dealt.withColumn("order", order).withColumn("shard", _number(order) % F.col("shards"))
     per_shard = dealt.groupBy("source", "shard").agg(
         F.sum("size").alias("size"), *(F.first(c).alias(c) for c in ("source_size", "target", "quota"))
     )
-    taken = settle(shard_words_taken(per_shard, block_words, most), "shards").select(
+    taken = settle(shard_words_taken(settle(per_shard, "shard_sizes"), block_words, most), "shards").select(
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), F.col("size").alias("shard_size"), "words"
     )
     dealt = dealt.join(taken, same(F.col("source"), F.col("_source")) & (F.col("shard") == F.col("_shard")))
@@ -152,7 +162,7 @@ def mix(
     # Documents in seeded order make one row of words, cut into blocks; a piece is a document's part of a block.
     end = F.sum("size").over(of.orderBy("order", "id", "size", "version").rowsBetween(Window.unboundedPreceding, 0))
     laid = dealt.withColumn("end", end).withColumn("begin", F.col("end") - F.col("size"))
-    last = F.floor((F.greatest(F.col("end"), F.col("begin") + 1) - 1) / block_words)
+    last = F.floor((F.col("end") - 1) / block_words)
     pieces = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block_words), last)))
     pieces = pieces.withColumn("lo", F.greatest("begin", F.col("block") * block_words)).withColumn(
         "hi", F.least(F.col("end"), (F.col("block") + 1) * block_words)
@@ -161,7 +171,7 @@ def mix(
     upto = F.sum(F.col("hi") - F.col("lo")).over(
         of.orderBy(turn, "block", "lo", "order", "id", "size", "version").rowsBetween(Window.unboundedPreceding, 0)
     )
-    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
+    rounds = F.floor(F.col("words") / F.col("shard_size"))
     pieces = pieces.withColumn("rounds", rounds).withColumn("before", upto - (F.col("hi") - F.col("lo")))
     rest = F.col("words") - F.col("rounds") * F.col("shard_size")
     got = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("hi") - F.col("lo"))
@@ -169,17 +179,16 @@ def mix(
     cut = F.when(
         F.col("got") > 0, F.struct((F.col("lo") - F.col("begin")).alias("lo"), (F.col("lo") - F.col("begin") + F.col("got")).alias("hi"))
     )
-    # A document is told by where it begins in its shard; only empty documents share a place, with equal results.
+    # A document is told by where it begins in its shard.
     return (
         pieces.groupBy("source", "shard", "id", "version", "begin", "size", "source_size", "target", "rounds")
-        .agg(F.sum("got").alias("once"), F.sort_array(F.collect_list(cut)).alias("cuts"), F.count("*").alias("copies"))
-        .withColumn("copies", F.when(F.col("size") == 0, F.col("copies")).otherwise(1))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        .agg(F.sum("got").alias("once"), F.sort_array(F.collect_list(cut)).alias("cuts"))
         .select(
             "id", "version", "size", "source", "source_size", "target",
             F.col("rounds").cast("int").alias("rounds"), "cuts",
             (F.col("rounds") * F.col("size") + F.col("once")).cast("long").alias("taken"),
         )
+        .unionByName(empty)
     )
 
 
@@ -224,7 +233,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     won AS (SELECT source FROM (SELECT source, target / (2 * k + 1) AS quotient, k FROM g, seats, range(seats.n) r(k) WHERE target > 0
                                 ORDER BY quotient DESC, source IS NULL, source, k LIMIT (SELECT n FROM seats))),
     q AS (SELECT g.*, (SELECT count(*) FROM won WHERE won.source IS NOT DISTINCT FROM g.source) AS quota,
-                 greatest(least(source_size // 131072, 4096), 1) AS shards FROM g),
+                 greatest(source_size // 131072, 1) AS shards FROM g),
     e AS (SELECT d.*, source_size, target, quota, md5(concat_ws('|', '17', coalesce(doc_id::VARCHAR, ''))) AS ord, shards
           FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
     dealt AS (SELECT *, ('0x' || substr(ord, 1, 12))::BIGINT % shards AS shard FROM e),

@@ -168,7 +168,7 @@ def test_seats_by_highest_quotients(spark):
     for parties, block in ((1, 10), (7, 10), (30, 3), (30, 400)):
         votes = {f"s{k:02d}": rng.choice([0.0, 5.0, rng.random() * 1000]) for k in range(parties)}
         frame = spark.createDataFrame([(s, 1000, v) for s, v in votes.items()], "source string, source_size long, target double")
-        got = {r["source"]: r["quota"] for r in mixing.source_quotas(frame, block, 100, 8).collect()}
+        got = {r["source"]: r["quota"] for r in mixing.source_quotas(frame, block, 100).collect()}
         seats = int(sum(votes.values()) / block + 0.5)
         quotients = sorted(((-v / (2 * k + 1), s, k) for s, v in votes.items() if v for k in range(seats)))[:seats]
         assert got == {s: sum(1 for q in quotients if q[1] == s) for s in votes}
@@ -187,6 +187,17 @@ def test_mix_of_one_row_in_two_sources(spark):
     assert got == want and {s for _, s in want} == {"a", "b"}
 
 
+def test_empty_documents_of_a_source_take_no_part(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(k % 23 + 1)), "ab"[k % 2]) for k in range(400)]
+    empty = [(1000 + k, [None, "", " \t"][k % 3], ["a", "nothing"][k % 2]) for k in range(300)]
+    options = {"block_words": 8, "shard_words": 40}
+    schema = "doc_id long, text string, source string"
+    plan = lambda part: {r["id"]: (r["size"], r["rounds"], r["cuts"], r["taken"]) for r in mixing.mix(spark.createDataFrame(part, schema), **options).collect()}
+    both = plan(rows + empty)
+    assert len(both) == 700 and all(both[d] == (0, 0, [], 0) for d, _, _ in empty)
+    assert {d: both[d] for d, _, _ in rows} == plan(rows)
+
+
 def test_mix_of_nothing(spark, no_docs):
     assert mixing.mix(no_docs).collect() == []
     empty = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
