@@ -235,6 +235,57 @@ def test_trees_add_spans_and_keep_the_strict_ones(spark):
     assert not any(done[d]["a"] for d, t in rows[:1500] if t.startswith(("nothing", "part")))
 
 
+def card(rng, right=True):
+    digits = [rng.randrange(10) for _ in range(15)]
+    total = sum(d if k % 2 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits))
+    return "".join(map(str, digits)) + str((10 - total % 10 + (not right)) % 10)
+
+
+def test_forms_the_strict_patterns_miss(spark):
+    rng = random.Random(21)
+    pick = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(4, 9)))
+    ip = lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+    phone = lambda: f"1 ({rng.randrange(200, 900)}) 555-{pick(4)}"
+    parted = lambda number, by: by.join(number[k : k + 4] for k in range(0, 16, 4))
+    strict = [lambda: f"{name()}.{name()}@{name()}.org", ip, lambda: parted(card(rng), " "), lambda: "+" + phone()]
+    missed = [
+        lambda: ("email", f"{name()}.{name()} (at) {name()}.org"), lambda: ("email", f"{name()}[at]{name()}[dot]com"),
+        lambda: ("ip", ip().replace(".", "[.]")), lambda: ("ip", ip().replace(".", " (dot) ")),
+        lambda: ("card", parted(card(rng), ".")), lambda: ("card", parted(card(rng), "/")), lambda: ("phone", phone()),
+    ]
+    alike = [
+        lambda: f"{pick(3)} @ {pick(2)}.{pick(2)}", lambda: "7" + ip().rjust(15, "0").replace(".", "[.]"), lambda: parted(card(rng, False), "."),
+        lambda: card(rng, False), lambda: f"Q{phone()}", lambda: f"{phone()}B", lambda: f"chapter {pick(2)}.{pick(1)}",
+    ]
+    around = lambda value: f"{name()} {name()} {value} {name()} {name()}"
+    learn = [(k, around(rng.choice(strict)())) for k in range(1200)] + [(k, around(name())) for k in range(2000, 2200)]
+    trees = privacy.train(spark.createDataFrame(learn, "doc_id long, text string"))
+    hidden = {}
+    for k in range(700):
+        (kind, value), text = missed[k % 7](), around("~")
+        hidden[k] = (text.replace("~", value), f"{kind}:{text.index('~')}:{text.index('~') + len(value)}")
+    for k in range(700, 1400):
+        hidden[k] = (around(alike[k % 7]()), None)
+    found = privacy.personal_data(spark.createDataFrame([(k, t) for k, (t, _) in hidden.items()], "doc_id long, text string"), trees)
+    got = {r[0]: r[1].split(",") if r[1] else [] for r in found.select("row.doc_id", privacy.joined_names(F.col("added"))).collect()}
+    assert not any(brute.pii(t) for t, want in hidden.values() if want)
+    added = sum(len(names) for names in got.values())
+    right = sum(want in got[k] for k, (_, want) in hidden.items() if want)
+    lost = {k % 7: hidden[k] for k in range(700) if hidden[k][1] not in got[k]}
+    wrong = {k % 7: (hidden[k], got[k]) for k in got if set(got[k]) - {hidden[k][1]}}
+    assert right >= 0.9 * 700 and right >= 0.95 * added, (right, added, trees.thresholds, lost, wrong)
+
+
+def test_added_spans_overlap_no_strict_one(spark):
+    rng = random.Random(2)
+    spans = lambda n, size: [(b, b + rng.randrange(1, size)) for b in (rng.randrange(9000) for _ in range(n))]
+    rows = [(spans(n, 9), spans(m, 30)) for n, m in ((0, 0), (3, 0), (0, 3), (200, 700), (500, 40))]
+    kind = "array<struct<start:bigint,end:bigint>>"
+    for r in spark.createDataFrame(rows, f"a {kind}, b {kind}").withColumn("free", privacy.apart(F.col("a"), F.col("b"))).collect():
+        assert r["free"] == [x for x in r["a"] if not any(x[0] < y[1] and y[0] < x[1] for y in r["b"])]
+
+
 def test_privacy_of_nothing(no_docs):
     assert privacy.train(no_docs) is None
     assert privacy.personal_data(no_docs, None).collect() == []
