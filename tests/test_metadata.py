@@ -285,3 +285,33 @@ def test_system_schemas_are_hidden(spark):
 def test_database_name(spark):
     urls = spark.createDataFrame([("postgres://u:p@h:5432/shop?sslmode=disable",), ("no url at all",)], "u string")
     assert [r[0] for r in urls.select(discovery.database_name(F.col("u"))).collect()][0] == "shop"
+
+
+def test_information_schema_of_a_named_source(spark):
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    key = "table_catalog string, table_schema string, table_name string"
+    columns = frame(
+        [("shop", "public", "t", c, i, "integer", "", "int4", "NO", None, None, None, None) for i, c in ((2, "b"), (1, "a"))],
+        f"{key}, column_name string, ordinal_position int, data_type string, udt_schema string, udt_name string, "
+        "is_nullable string, character_maximum_length int, numeric_precision int, numeric_scale int, column_default string",
+    )
+    usage = frame(
+        [("shop", "public", "t", "a", n) for n in ("pk", "fk", "fk")], f"{key}, column_name string, constraint_name string"
+    )
+    constraints = frame(
+        [("shop", "public", "t", "pk", "PRIMARY KEY"), ("shop", "public", "t", "fk", "FOREIGN KEY")],
+        f"{key}, constraint_name string, constraint_type string",
+    )
+    schemata = frame([("shop", s) for s in ("public", "empty", "pg_toast")], "catalog_name string, schema_name string")
+    comments = frame([("shop", "public", "t", "b", x) for x in ("one", "two")], f"{key}, column_name string, description string")
+    info = discovery.InformationSchema(columns, usage, constraints, schemata, comments, "main")
+    assert rows_of(discovery.list_schemas(info.schemas())) == [("main", "empty"), ("main", "public")]
+    facts = info.facts()
+    found = rows_of(facts.select("source", "database", "column", "is_pk", "is_fk", "is_unique", "description"))
+    assert found == [("main", "shop", "a", True, True, False, None), ("main", "shop", "b", False, False, False, "two")]
+    (row,) = discovery.source_assembly(facts, info.schemas()).collect()
+    assert (row.source, row.database) == ("main", "shop")
+    assert [(s.name, [t.name for t in s.tables]) for s in row.schemas] == [("empty", []), ("public", ["t"])]
+    assert [c.column for c in row.schemas[1].tables[0].columns] == ["a", "b"]
+    without = discovery.InformationSchema(columns, usage, constraints, schemata)
+    assert {r.description for r in without.facts().collect()} == {None}
