@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from sparkmart.operators import dedup, paging, registry, runlog
 from sparkmart.operators.drift import common_type
 from sparkmart.queries.base import query, read
-from sparkmart.sources import discovery
+from sparkmart.session import scratch_path
+from sparkmart.sources import discovery, extract
 from sparkmart.sources.change_log import drop_staging_topics
 
 _START, _END = datetime.datetime(1996, 1, 1), datetime.datetime(1998, 12, 31)
@@ -269,6 +270,126 @@ def source_tree(spark, sf_dir):
     return tree.select("source", "schema", F.array_join(as_text, ";").alias("tree"))
 
 
+_INFORMATION_SQL = """
+WITH cols AS (
+  SELECT DISTINCT p_brand AS db, CASE p_type WHEN 'PROMO' THEN 'pg_promo' ELSE lower(p_type) END AS sch,
+         p_name AS tab, 'c' || p_size AS col, p_size AS ord
+  FROM part),
+schs AS (SELECT db, sch FROM cols UNION SELECT DISTINCT p_brand, 'unused_' || p_size % 3 FROM part)
+"""
+
+
+def part_information(spark, sf_dir):
+    """An information schema spelt by the part table; every database has schemas without tables."""
+    part = read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("table_catalog"),
+        F.when(F.col("p_type") == "PROMO", "pg_promo").otherwise(F.lower("p_type")).alias("table_schema"),
+        F.col("p_name").alias("table_name"),
+        F.concat(F.lit("c"), "p_size").alias("column_name"),
+        F.col("p_size").alias("ordinal_position"),
+    ).distinct()
+    number = F.col("ordinal_position")
+    text, none = F.lit("").alias, F.lit(None).cast("int").alias
+    columns = part.select(
+        "*", F.lit("integer").alias("data_type"), text("udt_schema"), F.lit("int4").alias("udt_name"),
+        F.when(number % 2 == 0, "YES").otherwise("NO").alias("is_nullable"),
+        none("character_maximum_length"), none("numeric_precision"), none("numeric_scale"),
+        F.when(number > 25, number.cast("string")).alias("column_default"),
+    )
+    kinds = F.array_compact(F.array(
+        F.when(number < 10, F.lit("PRIMARY KEY")), F.when(number.between(5, 20), F.lit("FOREIGN KEY")),
+        F.when(number > 40, F.lit("UNIQUE")),
+    ))
+    key = ["table_catalog", "table_schema", "table_name"]
+    usage = part.select(*key, "column_name", F.explode(kinds).alias("constraint_type")).withColumn(
+        "constraint_name", F.concat_ws("_", "table_name", "constraint_type")
+    )
+    constraints = usage.select(*key, "constraint_name", "constraint_type").distinct()
+    unused = read(spark, sf_dir, "part").select("p_brand", F.concat(F.lit("unused_"), F.col("p_size") % 3))
+    schemata = part.select("table_catalog", "table_schema").union(unused).toDF("catalog_name", "schema_name").distinct()
+    described = part.where(number % 5 == 0).select(*key, "column_name", F.concat(F.lit("about "), "column_name").alias("description"))
+    return discovery.InformationSchema(columns, usage, constraints, schemata, described)
+
+
+@query(_INFORMATION_SQL + "SELECT db AS source, sch AS \"schema\" FROM schs WHERE sch NOT LIKE 'pg\\_%' ESCAPE '\\'")
+def list_schemas_without_tables(spark, sf_dir):
+    return discovery.list_schemas(part_information(spark, sf_dir).schemas())
+
+
+@query(_INFORMATION_SQL + """
+SELECT db AS source, sch AS "schema", tab AS "table", col AS "column", ord % 2 = 0 AS is_nullable, ord < 10 AS is_pk,
+       ord BETWEEN 5 AND 20 AS is_fk, ord > 40 AS is_unique, CASE WHEN ord > 25 THEN CAST(ord AS VARCHAR) END AS column_default,
+       CASE WHEN ord % 5 = 0 THEN 'about ' || col END AS description
+FROM cols
+""")
+def information_schema_facts(spark, sf_dir):
+    return part_information(spark, sf_dir).facts().select(
+        "source", "schema", "table", "column", "is_nullable", "is_pk", "is_fk", "is_unique", "column_default", "description"
+    )
+
+
+@query(_INFORMATION_SQL + """
+, t AS (SELECT db, sch, tab, string_agg(col || '/' || CASE WHEN ord < 10 THEN 'pk' ELSE '' END || '/'
+                 || CASE WHEN ord % 5 = 0 THEN 'about ' || col ELSE '' END, ',' ORDER BY ord) AS cols,
+               row_number() OVER (PARTITION BY db, sch ORDER BY tab) AS rn
+        FROM cols GROUP BY db, sch, tab),
+s AS (SELECT db, sch, coalesce(string_agg(tab || ':' || cols, ';' ORDER BY tab), '') AS tabs
+      FROM (SELECT *, row_number() OVER (PARTITION BY db ORDER BY sch) AS place
+            FROM schs WHERE sch NOT LIKE 'pg\\_%' ESCAPE '\\') LEFT JOIN (SELECT * FROM t WHERE rn <= 4) USING (db, sch)
+      WHERE place BETWEEN 4 AND 6 GROUP BY db, sch)
+SELECT db AS source, db AS "database", string_agg(sch || '=' || tabs, '|' ORDER BY sch) AS assembly FROM s GROUP BY db
+""")
+def source_assembly(spark, sf_dir):
+    info = part_information(spark, sf_dir)
+    nested = discovery.source_assembly(info.facts(), info.schemas(), size=4, schema_page=2, schema_size=3)
+    about = lambda c: F.concat_ws(
+        "/", c["column"], F.when(c["is_pk"], "pk").otherwise(""), F.coalesce(c["description"], F.lit(""))
+    )
+    in_table = lambda t: F.concat(t["name"], F.lit(":"), F.array_join(F.transform(t["columns"], about), ","))
+    in_schema = lambda s: F.concat(s["name"], F.lit("="), F.array_join(F.transform(s["tables"], in_table), ";"))
+    return nested.select("source", "database", F.array_join(F.transform("schemas", in_schema), "|").alias("assembly"))
+
+
+# -- extraction ---------------------------------------------------------------------------------
+
+# The cube of the order number: most keys lie in the lowest of equal ranges.
+_PARTS = 16
+
+
+def _skewed_lines(spark, sf_dir):
+    key = F.pow(F.col("l_orderkey").cast("double"), F.lit(3)).cast("decimal(38,0)").alias("key")
+    return read(spark, sf_dir, "lineitem").select(key, "l_returnflag", "l_linenumber", "l_quantity")
+
+
+@query("""
+SELECT l_returnflag, l_linenumber, count(*) AS n_rows, sum(l_quantity) AS quantity
+FROM lineitem GROUP BY l_returnflag, l_linenumber
+""")
+def extracted_in_parts(spark, sf_dir):
+    lines = _skewed_lines(spark, sf_dir)
+    copy = extract.Extraction(
+        spark,
+        scratch_path(spark, "extracted"),
+        lambda conditions: extract.frame_part(lines, conditions),
+        lambda: extract.range_conditions("`key`", extract.equi_depth_bounds(lines, "key", _PARTS)),
+        wave=6,
+    ).run()
+    return copy.groupBy("l_returnflag", "l_linenumber").agg(F.count("*").alias("n_rows"), F.sum("l_quantity").alias("quantity"))
+
+
+@query(f"SELECT {_PARTS} AS parts, count(*) AS n_rows, true AS within_twice FROM lineitem")
+def equi_depth_parts(spark, sf_dir):
+    lines = _skewed_lines(spark, sf_dir)
+    conditions = extract.range_conditions("`key`", extract.equi_depth_bounds(lines, "key", _PARTS))
+    # A row that met no condition or several would show in the number of rows.
+    sizes = lines.select(F.inline(F.array(*(
+        F.struct(F.lit(i).alias("part"), F.coalesce(F.expr(c), F.lit(False)).alias("inside")) for i, c in enumerate(conditions)
+    )))).where("inside").groupBy("part").agg(F.count("*").alias("n"))
+    return sizes.agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n_rows"), (F.max("n") <= 2 * F.min("n")).alias("within_twice")
+    )
+
+
 # -- run log ------------------------------------------------------------------------------------
 
 _TASKS_SQL = """

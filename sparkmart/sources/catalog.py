@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkmart.errors import NotFound
 from sparkmart.plans.spec import MartSpec, TableKey
+from sparkmart.sources.extract import Extraction, equi_depth_bounds, range_conditions
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,15 @@ _HASHES = {
 }
 
 
+# A sample of a table's key column, by the dialect in the URL.
+_SAMPLES = {
+    "postgresql": "SELECT {column} FROM {table} TABLESAMPLE SYSTEM ({percent})",
+    "mysql": "SELECT {column} FROM {table} WHERE rand() * 100 < {percent}",
+    "sqlserver": "SELECT {column} FROM {table} TABLESAMPLE ({percent} PERCENT)",
+    "oracle": "SELECT {column} FROM {table} SAMPLE ({percent})",
+}
+
+
 @dataclass(frozen=True)
 class JdbcSource:
     """Tables of a database, read in parallel parts of a key when one is named.
@@ -67,6 +77,7 @@ class JdbcSource:
     partition_by: Mapping[str, str] = field(default_factory=dict)
     rows_per_part: int = 500_000
     fetch_size: int = 10_000
+    sample_rows: int = 200_000
 
     def _reader(self, spark: SparkSession):
         return spark.read.format("jdbc").option("url", self.url).options(**self.options)
@@ -94,6 +105,35 @@ class JdbcSource:
             "fetchsize": str(self.fetch_size),
         }
 
+    def sample_query(self, key: TableKey, column: str, rows: int) -> str:
+        """About ``sample_rows`` keys of a table; all of them where the dialect is unknown or the table small."""
+        percent = 100 * self.sample_rows / max(rows, 1)
+        found = next((q for d, q in _SAMPLES.items() if self.url.startswith(f"jdbc:{d}")), None)
+        if found is None or percent >= 50:
+            return f"SELECT {self._quoted(column)} FROM {self._table(key)}"
+        return found.format(column=self._quoted(column), table=self._table(key), percent=f"{percent:.6f}")
+
+    def equi_depth_conditions(self, spark: SparkSession, key: TableKey, column: str) -> list[str]:
+        """A condition per part of about ``rows_per_part`` rows, cut at quantiles of the key."""
+        rows = self._reader(spark).option("query", self.range_query(key, column)).load().first()["n"]
+        keys = self._reader(spark).option("query", self.sample_query(key, column, rows)).load()
+        return range_conditions(self._quoted(column), equi_depth_bounds(keys, keys.columns[0], self.parts(rows)))
+
+    def read_conditions(self, spark: SparkSession, key: TableKey, conditions: Sequence[str]) -> DataFrame:
+        """The rows of some conditions, each read over a connection of its own."""
+        settings = {**self.options, "fetchsize": str(self.fetch_size)}
+        return spark.read.jdbc(self.url, self._table(key), predicates=list(conditions), properties=settings)
+
+    def extraction(self, spark: SparkSession, key: TableKey, column: str, path: str, wave: int = 64) -> Extraction:
+        """A restartable copy of a table, read in parts of equal depth."""
+        return Extraction(
+            spark,
+            path,
+            lambda conditions: self.read_conditions(spark, key, conditions),
+            lambda: self.equi_depth_conditions(spark, key, column),
+            wave,
+        )
+
     def hash_predicates(self, column: str, rows: int) -> list[str]:
         """One condition per part; together they cover every row once, rows without a key in the first."""
         number = next((h for d, h in _HASHES.items() if self.url.startswith(f"jdbc:{d}")), None)
@@ -112,8 +152,7 @@ class JdbcSource:
         low, high, rows = self._reader(spark).option("query", self.range_query(key, column)).load().first()
         if low is not None and isinstance(low, (int, Decimal)):
             return self._reader(spark).options(**self.scan_options(key, column, low, high, rows)).load()
-        settings = {**self.options, "fetchsize": str(self.fetch_size)}
-        return spark.read.jdbc(self.url, self._table(key), predicates=self.hash_predicates(column, rows), properties=settings)
+        return self.read_conditions(spark, key, self.hash_predicates(column, rows))
 
 
 @dataclass(frozen=True)
