@@ -163,21 +163,35 @@ def numbered(df: DataFrame, *order: Column, name: str = "n") -> DataFrame:
     )
 
 
+def let(value: Column, body) -> Column:
+    """An expression of a value that is computed once, however often the expression names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_sum(values: Column, block: int = 256) -> Column:
     """The sums of an array's elements before each element.
 
     Sums are taken per block and then over the blocks, so that the work of growing arrays stays small however
-    long the array is.
+    long the array is. Sums that several elements read are computed once: inside a lambda an expression is
+    evaluated for every element.
     """
     zero = F.array(F.lit(0).cast("long"))
     sums = lambda xs: F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    blocks = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")))
-    inner = F.transform(F.coalesce(blocks, F.array().cast("array<int>")), lambda k: sums(F.slice(values, k * block + 1, block)))
-    begins = sums(F.transform(inner, lambda s: F.element_at(s, -1)))
-    return F.flatten(
-        F.transform(inner, lambda s, k: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x + F.get(begins, k)))
+    numbers = lambda vs: F.coalesce(
+        F.when(F.size(vs) > 0, F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / block).cast("int"))), F.array().cast("array<int>")
     )
 
+    def shifted(inner: Column) -> Column:
+        begins = sums(F.transform(inner, lambda s: F.element_at(s, -1)))
+        return let(begins, lambda bs: F.flatten(F.transform(
+            inner, lambda s, k: let(F.get(bs, k), lambda b: F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x + b))
+        )))
+
+    def by_blocks(vs: Column) -> Column:
+        return let(F.transform(numbers(vs), lambda k: sums(F.slice(vs, k * block + 1, block))), shifted)
+
+    return let(values, by_blocks)
+
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows with equal leading columns, which come together."""

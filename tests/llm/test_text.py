@@ -286,6 +286,17 @@ def test_added_spans_overlap_no_strict_one(spark):
         assert r["free"] == [x for x in r["a"] if not any(x[0] < y[1] and y[0] < x[1] for y in r["b"])]
 
 
+def test_privacy_of_a_long_text_full_of_values(spark):
+    value = [lambda i: f"u{i}@ex{i % 97}.com", lambda i: f"10.{i % 250}.{i % 199}.{i % 77}", lambda i: f"+44 20 7946 {1000 + i}"]
+    text = " ".join(value[i % 3](i) for i in range(9000))
+    docs = spark.createDataFrame([(1, text), (2, "nothing here"), (1, text)], "doc_id long, text string")
+    trees = privacy.train(docs)
+    for r in privacy.personal_data(docs, trees).select("row.text", privacy.joined_names(F.col("base")).alias("b")).collect():
+        assert r["b"] == ",".join(brute.pii(r["text"]))
+    rows = privacy.training_rows(docs, "doc_id", "text", privacy.Settings(sample_values=300))
+    assert 0 < rows.count() < 300 * 12
+
+
 def test_privacy_of_nothing(no_docs):
     assert privacy.train(no_docs) is None
     assert privacy.personal_data(no_docs, None).collect() == []
