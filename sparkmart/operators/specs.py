@@ -77,15 +77,15 @@ def _ends(rule: Column, tables: Column) -> Column:
     return F.when(rule["left"].isNotNull(), new).otherwise(F.array(_key(main), _key(rule)))
 
 
-def _reached(rules: Column) -> Column:
-    """The tables that rules connect with the first one's left table: one more step for every rule."""
-    first = F.array(F.get(F.get(rules, F.lit(0)), F.lit(0)))
+def _parts(rules: Column, joined: Column) -> Column:
+    """How many parts the rules leave their tables in: every rule gives the right table's part the number of the left one's."""
+    at = lambda table: (F.array_position(joined, table) - 1).cast("int")
+    ends = F.transform(rules, lambda r: F.struct(at(F.get(r, 0)).alias("left"), at(F.get(r, 1)).alias("right")))
 
-    def step(placed: Column, _: Column) -> Column:
-        near = F.filter(rules, lambda r: F.arrays_overlap(r, placed))
-        return F.array_union(placed, F.array_distinct(F.flatten(near)))
+    def step(parts: Column, r: Column) -> Column:
+        return F.transform(parts, lambda p: F.when(p == F.get(parts, r["right"]), F.get(parts, r["left"])).otherwise(p))
 
-    return F.aggregate(rules, first, step)
+    return F.size(F.array_distinct(F.aggregate(ends, F.transform(joined, lambda _, i: i), step)))
 
 
 def verdicts(registry: DataFrame, strict: bool = False) -> DataFrame:
@@ -100,7 +100,7 @@ def verdicts(registry: DataFrame, strict: bool = False) -> DataFrame:
     specs = specs.withColumn("rules", F.transform(rules, lambda j: _ends(j["inner"], F.col("tables"))))
     specs = specs.withColumn("keys", F.transform("tables", _key)).withColumn("joined", F.array_distinct(F.flatten("rules")))
     unknown = F.exists("joined", lambda k: ~F.array_contains(F.col("keys"), k) | k["table"].isNull())
-    tree = (F.size("rules") == F.size("joined") - 1) & (F.size(_reached(F.col("rules"))) == F.size("joined"))
+    tree = (F.size("rules") == F.size("joined") - 1) & (_parts(F.col("rules"), F.col("joined")) == 1)
     targets = lambda t: _each(t["columns"], lambda c: F.coalesce(F.nullif(c["alias"], F.lit("")), c["name"]))
     again = F.exists("tables", lambda t: F.size(F.array_distinct(targets(t))) < F.size(targets(t)))
     none = F.size("rules") == 0

@@ -323,18 +323,22 @@ def order_registry(spark, sf_dir):
         F.concat(F.lit("s"), F.col("l_suppkey") % 3).alias("s"),
         F.concat(F.lit("c"), F.col("l_quantity").cast("int") % 50).alias("c"),
     )
-    end = lambda name: F.struct(F.lit("shop").alias("source"), F.lit("public").alias("schema"), F.col(name).alias("table"), F.lit("id").alias("column"))
-    rule = F.struct(F.struct(end("p").alias("left"), end("s").alias("right")).alias("inner"))
-    rules = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("line", rule.alias("rule")))).alias("lines"))
-    rules = rules.select("l_orderkey", F.transform("lines", lambda x: x["rule"]).alias("joins"))
-    chosen = lines.where("line < 7")
-    both = chosen.select("l_orderkey", F.col("p").alias("name"), "line", F.struct(F.col("c").alias("name")).alias("column"))
-    both = both.unionByName(chosen.select("l_orderkey", F.col("s").alias("name"), "line", F.lit(None).cast("struct<name:string>").alias("column")))
-    tables = both.groupBy("l_orderkey", "name").agg(F.array_compact(F.collect_list("column")).alias("columns"))
-    tables = tables.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("name", "columns"))).alias("tables"))
+    end = lambda name: F.struct(F.lit("shop").alias("source"), F.lit("public").alias("schema"), name.alias("table"), F.lit("id").alias("column"))
+    rule = lambda p, s: F.struct(F.struct(end(p).alias("left"), end(s).alias("right")).alias("inner"))
+    # One grouping of the lines; an order's tables are told from its few lines where they are.
+    orders = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("line", "p", "s", "c"))).alias("lines"))
+    orders = orders.withColumn("chosen", F.filter("lines", lambda x: x["line"] < 7))
+    names = F.sort_array(F.array_distinct(F.concat(F.transform("chosen", lambda x: x["p"]), F.transform("chosen", lambda x: x["s"]))))
+    columns = lambda name: F.transform(F.filter("chosen", lambda x: x["p"].eqNullSafe(name)), lambda x: F.struct(x["c"].alias("name")))
+    tables = F.transform("names", lambda name: F.struct(name.alias("name"), columns(name).alias("columns")))
+    # An order without a number has no tables, nor has one without chosen lines.
+    some = F.col("l_orderkey").isNotNull() & (F.size("names") > 0)
+    orders = orders.withColumn("names", names).select(
+        "l_orderkey", F.transform("lines", lambda x: rule(x["p"], x["s"])).alias("joins"), F.when(some, tables).alias("tables")
+    )
     sources = F.array(F.struct(F.lit("shop").alias("name"), F.array(F.struct(F.lit("public").alias("name"), "tables")).alias("schemas")))
     spec = F.to_json(F.struct(F.concat(F.lit("Order_"), "l_orderkey").alias("view_name"), sources.alias("sources"), "joins"))
-    return rules.join(tables, "l_orderkey", "left").select(F.col("l_orderkey").alias("id"), spec.alias("schema_view"))
+    return orders.select(F.col("l_orderkey").alias("id"), spec.alias("schema_view"))
 
 
 @query("""

@@ -4,12 +4,14 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkmart.errors import SpecError
 from sparkmart.operators import specs
 from sparkmart.operators.evolve import Resolution, plan_resolution
 from sparkmart.plans.join_graph import plan_joins
 from sparkmart.plans.spec import MartSpec, TableKey, reject_duplicates
+from sparkmart.queries.drifts import order_registry
 
 
 def spec_text(tables, rules, name="M", legacy=()):
@@ -96,3 +98,26 @@ def test_specs_without_decisions_or_sense(spark):
     one = spark.createDataFrame([(k, "s", "p", "none", specs.RENAME, "id", "x", 1) for k in (1, 2, 3, 9)], kinds)
     assert {r["id"]: r["problem"] for r in specs.resolved(registry, one).collect()} == {1: "not a spec", 2: "not a spec", 3: "id"}
     assert {r["verdict"] for r in specs.verdicts(registry).collect()} == {specs.NO_TABLE, specs.OK}
+
+
+def test_rules_part_their_tables(spark):
+    rows = [([["a", "b"], ["c", "d"], ["b", "c"]], 1), ([["a", "b"], ["c", "d"], ["d", "e"]], 2), ([["a", "a"]], 1), ([["d", "c"], ["c", "b"], ["b", "a"]], 1), ([], 0)]
+    frame = spark.createDataFrame(rows, "rules array<array<string>>, want int")
+    joined = F.array_distinct(F.flatten("rules"))
+    assert all(r[0] == r[1] for r in frame.select(specs._parts(F.col("rules"), joined), "want").collect())
+
+
+def test_order_registry_groups_lines_once(spark, tmp_path):
+    lines = [(1, 1, 4, 3, 10.0), (1, 2, 4, 4, 60.0), (1, 7, 9, 5, 3.0), (2, 7, 1, 1, 1.0), (None, 1, 1, 1, 1.0), (3, 1, None, 2, 7.0)]
+    kinds = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
+    spark.createDataFrame(lines, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    registry = order_registry(spark, str(tmp_path))
+    plan = registry._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = {r[0]: json.loads(r[1]) for r in registry.collect()}
+    tables = {k: v["sources"][0]["schemas"][0].get("tables") for k, v in got.items()}
+    assert tables[1] == [{"name": "p0", "columns": [{"name": "c10"}, {"name": "c10"}]}, {"name": "s0", "columns": []}, {"name": "s1", "columns": []}]
+    assert tables[2] is None and tables[None] is None
+    assert tables[3] == [{"columns": [{"name": "c7"}]}, {"name": "s2", "columns": []}]
+    assert [len(got[k]["joins"]) for k in (1, 2, None, 3)] == [3, 1, 1, 1]
+    assert {r["id"]: r["verdict"] for r in specs.verdicts(registry).collect()} == {1: specs.UNKNOWN_TABLE, 2: specs.NO_TABLE, None: specs.NO_TABLE, 3: specs.UNKNOWN_TABLE}
