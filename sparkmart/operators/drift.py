@@ -52,9 +52,10 @@ def common_type(c: Column) -> Column:
     """A source type name as the mart names it, so that ``int4`` and ``integer`` are equal."""
     names = F.create_map(*[F.lit(x) for kv in MART_TYPES.items() for x in kv])
     plain = normal_type(c)
-    base = F.regexp_replace(plain, r"\(.*\)", "")
-    suffix = F.regexp_extract(plain, r"\(.*\)", 0)
-    return F.when(c.isNotNull(), F.concat(F.coalesce(F.try_element_at(names, base), F.lit("text")), suffix))
+    named = lambda base: F.coalesce(F.try_element_at(names, base), F.lit("text"))
+    base, suffix = F.regexp_replace(plain, r"\(.*\)", ""), F.regexp_extract(plain, r"\(.*\)", 0)
+    # Most types have no parentheses to look for.
+    return F.when(c.isNotNull(), F.when(plain.contains("("), F.concat(named(base), suffix)).otherwise(named(plain)))
 
 
 def _type_code(c: Column) -> Column:
@@ -79,14 +80,16 @@ def column_presence(
         _type_code(F.col("type")).alias("source_type"),
         F.lit(True).alias("in_source"),
     )
-    # A spec column speaks for its own name and for its target's name.
+    # A spec column speaks for its own name and for its target's name, in one row if they are equal.
     unknown = F.lit(None).cast("bigint")
+    name = F.lower("column" if alias_aware else "target")
+    same = name.eqNullSafe(F.col("target"))
     as_column = F.struct(
-        F.lower("column" if alias_aware else "target").alias("name"),
+        name.alias("name"),
         _type_code(F.col("type")).alias("spec_type"),
         F.lit(True).alias("in_spec"),
         F.coalesce("in_mart", F.lit(False)).alias("in_mart"),
-        F.lit(False).alias("is_target"),
+        same.alias("is_target"),
     )
     as_target = F.struct(
         F.col("target").alias("name"),
@@ -98,7 +101,7 @@ def column_presence(
     from_spec = (
         spec.withColumn("target", F.lower("target"))
         .join(in_mart, ["view_id", "target"], "left")
-        .select(*GROUP, F.inline(F.array(as_column, as_target)))
+        .select(*GROUP, F.inline(F.when(same, F.array(as_column)).otherwise(F.array(as_column, as_target))))
     )
     both = from_source.unionByName(from_spec, allowMissingColumns=True)
     flags = ["in_source", "in_spec", "in_mart", "is_target"]
@@ -148,7 +151,9 @@ def drift_report(
     ``extra`` lists further mart columns a spec creates, which are therefore not mart-only. With
     ``source_types=False`` only spec types take part in the rename score.
     """
-    seen = settle(column_presence(source, spec, mart, alias_aware), "columns", scratch)
+    seen = column_presence(source, spec, mart, alias_aware)
+    # Names that all catalogs have, and targets that no catalog has as a name, are no finding.
+    seen = settle(seen.where("if(in_spec, not (in_source and in_mart), in_source and not is_target)"), "columns", scratch)
     none, no_score = F.lit(None).cast("string"), F.lit(None).cast("double")
     kind = F.when(F.col("in_spec") & ~F.col("in_source"), SCHEMA_ONLY).when(
         F.col("in_spec") & F.col("in_source") & ~F.col("in_mart"), MISSING_IN_MART

@@ -61,15 +61,14 @@ report AS (
 
 def line_catalogs(spark, sf_dir):
     """Source, spec and mart column catalogs."""
-    kind = F.when(F.col("p_size") < 20, "int4").when(F.col("p_size") < 40, "text")
+    # Types in the order of their names; numbers aggregate by hash.
+    kind = F.when(F.col("p_size") < 20, 0).when(F.col("p_size") < 40, 1)
+    type_name = lambda c: F.when(F.col(c) == 0, "int4").when(F.col(c) == 1, "text").alias(c)
     lines = (
         read(spark, sf_dir, "lineitem")
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("l_orderkey").alias("view_id"),
-            F.lit("shop").alias("db"),
-            F.lit("public").alias("schema"),
-            F.concat(F.lit("orders_"), "l_orderkey").alias("table"),
             F.concat(F.translate("p_name", " ", "_"), F.lit("_"), "p_size").alias("column"),
             kind.alias("type"),
             "l_returnflag",
@@ -79,12 +78,15 @@ def line_catalogs(spark, sf_dir):
     # One pass over the lines: every name of a mart with the highest type and the catalogs that have it.
     names = ["view_id", "db", "schema", "table", "column"]
     kinds = {"source": F.col("l_returnflag").isin("A", "N"), "spec": F.col("l_returnflag").isin("N", "R")}
-    seen = lines.groupBy(*names).agg(
+    seen = lines.groupBy("view_id", "column").agg(
         *(F.max(F.when(c, F.col("type"))).alias(f"{k}_type") for k, c in kinds.items()),
         *(F.bool_or(c).alias(f"in_{k}") for k, c in kinds.items()),
         F.bool_or(F.col("l_linestatus") == "O").alias("in_mart"),
     )
-    seen = settle(seen, "lines")
+    # The mart's number names its table, so the table need not be shuffled or written.
+    table = [F.lit("shop").alias("db"), F.lit("public").alias("schema"), F.concat(F.lit("orders_"), "view_id").alias("table")]
+    flags = [f"in_{k}" for k in (*kinds, "mart")]
+    seen = settle(seen, "lines").select("view_id", *table, "column", *(type_name(f"{k}_type") for k in kinds), *flags)
     source = seen.where("in_source").select("db", "schema", "table", "column", F.col("source_type").alias("type"))
     spec = seen.where("in_spec").select(*names, F.col("spec_type").alias("type"), F.col("column").alias("target"))
     return source, spec, seen.where("in_mart").select("view_id", "column")

@@ -315,3 +315,41 @@ def test_information_schema_of_a_named_source(spark):
     assert [c.column for c in row.schemas[1].tables[0].columns] == ["a", "b"]
     without = discovery.InformationSchema(columns, usage, constraints, schemata)
     assert {r.description for r in without.facts().collect()} == {None}
+
+
+def test_line_catalogs_group_by_hash_and_write_no_table_names(spark, tmp_path, monkeypatch):
+    from sparkmart.queries import drifts
+
+    parts = [(1, "a b", 5), (2, "a b", 30), (3, "c", 45)]
+    lines = [(7, 1, "N", "O"), (7, 2, "A", "F"), (7, 3, "R", "O"), (None, 1, "R", "F")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    settled = []
+    monkeypatch.setattr(drifts, "settle", lambda df, name: settled.append(df) or df)
+    source, spec, mart = drifts.line_catalogs(spark, str(tmp_path))
+    assert "SortAggregate" not in settled[0]._jdf.queryExecution().executedPlan().toString() and "table" not in settled[0].columns
+    assert sorted(map(tuple, source.collect())) == [("shop", "public", "orders_7", "a_b_30", "text"), ("shop", "public", "orders_7", "a_b_5", "int4")]
+    assert sorted(map(tuple, spec.select("view_id", "table", "column", "type", "target").collect()), key=str) == [
+        (7, "orders_7", "a_b_5", "int4", "a_b_5"), (7, "orders_7", "c_45", None, "c_45"), (None, None, "a_b_5", "int4", "a_b_5"),
+    ]
+    assert sorted(map(tuple, mart.collect())) == [(7, "a_b_5"), (7, "c_45")]
+
+
+def test_findings_alone_are_written(spark, monkeypatch):
+    settled = []
+    monkeypatch.setattr(drift, "settle", lambda df, *_: settled.append(df) or df)
+    drift.drift_report(*frames(spark, ["id", "a", "new"], ["id", "a", "gone"], ["id", "a", "gone"]))
+    assert sorted(r["name"] for r in settled[0].collect()) == ["gone", "new"]
+
+
+def test_groups_of_a_table_are_read_once(spark):
+    report = drift.drift_report(*frames(spark, ["id"], ["id", "a"], ["id", "a"]), renames=False)
+    first = report.first()
+    place = (first["view_id"], first["db"], first["schema"], first["table"])
+    rows = [(k, *place, status, None, None) for k, status in ((5, "resolved"), (6, "open"), (7, "open"))]
+    groups = spark.createDataFrame(rows, drift.GROUPS)
+    now = F.lit("2030-01-01").cast("timestamp")
+    after, items = drift.upsert_groups(report, groups, spark.createDataFrame([], drift.ITEMS), now)
+    assert after.count() == 3 and sorted(r["group_id"] for r in items.collect()) == [6, 7]
+    after, items = drift.upsert_groups(report, groups.where("id = 5"), spark.createDataFrame([], drift.ITEMS), now)
+    assert after.count() == 2 and items.first()["group_id"] not in (5, 6, 7)
