@@ -230,9 +230,11 @@ def upsert_groups(
         "score",
     )
     key = ["schema_id", "database_name", "schema_name", "table_name"]
-    opened = groups.where(F.col("status") == _OPEN).select(F.col("id").alias("open_id"), *key)
-    before = groups.groupBy(*key).agg(F.count("*").alias("before"))
-    checked = found.select(*key).distinct().join(opened, key, "left").join(before, key, "left")
+    # A table's groups are counted and its open ones kept in one grouping, so the findings meet them in one join.
+    opened = F.collect_list(F.when(F.col("status") == _OPEN, F.struct("id")))
+    known = groups.groupBy(*key).agg(F.count("*").alias("before"), opened.alias("opened"))
+    checked = found.select(*key).distinct().join(known, key, "left")
+    checked = checked.select(*key, "before", F.explode_outer("opened").alias("one")).withColumn("open_id", F.col("one.id"))
     fresh_id = content_id(*key, F.coalesce("before", F.lit(0)))
     current = checked.select(
         *key, F.coalesce("open_id", fresh_id).alias("id"), F.col("open_id").isNull().alias("fresh")
