@@ -2,12 +2,13 @@
 
 High-recall patterns propose spans of four kinds, which may overlap. Those of the strict patterns, with valid
 values, are personal data in any case. The others are scored by gradient-boosted trees on features of their
-format and of the characters around them. The trees are trained on candidates of a bounded sample of
-documents: its strict matches, the same values written anew where they stood in forms that the strict patterns
+format and of the characters around them. The trees are trained on candidates of all
+documents: their strict matches, the same values written anew where they stood in forms that the strict patterns
 miss (veiled, without mark, parted otherwise), and look-alikes made of them (failing checks, numbers too high,
 prices, product codes), which count as negative like the text's own candidates that nothing strict touches. Half of the
-sample calibrates, per kind, the lowest score whose selections are right often enough, and candidates at or above it
-are added, unless they overlap a strict match of any kind. All of it is expressions over one row: documents are read
+documents calibrates, per kind, the lowest score whose selections are right often enough, and candidates at or above it
+are added, unless they overlap a strict match of any kind. Candidates of equal features are one row with their number
+as weight, so the trees see all candidates but take time by the different ones. All else is expressions over one row: documents are read
 and scored without a shuffle.
 
 Defined cases: a null text is empty; without documents, or without positive and negative candidates to learn
@@ -62,12 +63,12 @@ FEATURES = (
 class Settings:
     """What trees are learned from, and ``precision``, which is asked of added spans.
 
-    ``sample_docs`` bounds the documents, ``sample_values`` the strict values and, apart from them, the other candidates
-    in these documents that are learned from; both draw by a hash.
+    All strict values and other candidates of all documents are learned from, unless ``sample_values`` is given: then about
+    so many of each, drawn by a hash. ``bins`` exceeds the values that a feature takes, so that splits are tried at all of them.
     """
 
-    sample_docs: int = 20_000
-    sample_values: int = 200_000
+    sample_values: int | None = None
+    bins: int = 512
     trees: int = 12
     depth: int = 4
     precision: float = 0.97
@@ -266,19 +267,16 @@ def _tuple(node):
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """Candidates of about ``sample_docs`` documents drawn by a hash: features, ``label``, ``held`` for calibration."""
-    total = docs.count()
-    draw = (F.xxhash64(F.lit(s.seed), id_col, text_col) + 2.0**63) / 2.0**64
-    drawn = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), draw.alias("draw")).where(
-        F.col("draw") < F.lit(min(1.0, s.sample_docs / max(total, 1)))
-    )
+    """Candidates of the documents: features, ``label``, ``held`` for calibration."""
+    draw = F.xxhash64(F.lit(s.seed), id_col, text_col)
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), draw.alias("draw"))
     strict = strict_spans(F.col("text"), s.context)
-    spans = drawn.select("draw", "text", loose_spans(F.col("text"), s.context).alias("loose"), strict.alias("strict")).drop("text")
+    spans = texts.select("draw", "text", loose_spans(F.col("text"), s.context).alias("loose"), strict.alias("strict")).drop("text")
     # Written first, the spans are found once per document and not again for each use.
     spans = settle(spans, "spans")
-    many = spans.agg(*(F.sum(F.size(c)).alias(c) for c in ("strict", "loose"))).first()
+    many = {} if s.sample_values is None else spans.agg(*(F.sum(F.size(c)).alias(c) for c in ("strict", "loose"))).first().asDict()
     for name in ("strict", "loose"):
-        if (many[name] or 0) > s.sample_values:
+        if (many.get(name) or 0) > (s.sample_values or 0):
             share = F.lit(s.sample_values / many[name] * 2.0**64 - 2.0**63)
             drawn_span = lambda x: F.xxhash64(F.lit(s.seed), F.col("draw"), x["kind"], x["start"]) < share  # noqa: B023, E731
             spans = spans.withColumn(f"drawn_{name}", F.filter(name, drawn_span))
@@ -308,19 +306,22 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> D
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Trees | None:
     """Trees for the documents' candidates; None when there is nothing to tell apart."""
     s = settings
-    rows = settle(training_rows(docs, id_col, text_col, s), "candidates").coalesce(4)
+    counted = training_rows(docs, id_col, text_col, s).groupBy("kind_name", "held", "label", "x").agg(F.count("*").cast("double").alias("weight"))
+    rows = settle(counted, "candidates")
     seen = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
     if not {(False, 0.0), (False, 1.0)} <= seen:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    data = vectors.transform(rows.select("kind_name", "held", "label", "x.*"))
-    learner = GBTClassifier(maxIter=s.trees, maxDepth=s.depth, stepSize=0.3, seed=s.seed, checkpointInterval=-1)
+    data = vectors.transform(rows.select("kind_name", "held", "label", "weight", "x.*"))
+    learner = GBTClassifier(
+        maxIter=s.trees, maxDepth=s.depth, maxBins=s.bins, stepSize=0.3, seed=s.seed, checkpointInterval=-1, weightCol="weight"
+    )
     model = learner.fit(data.where(~F.col("held")))
-    scored = model.transform(data.where("held")).select("kind_name", "label", vector_to_array("probability")[1].alias("score"))
+    scored = model.transform(data.where("held")).select("kind_name", "label", "weight", vector_to_array("probability")[1].alias("score"))
     grid = [0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.925, 0.95, 0.975]
     per_kind = scored.groupBy("kind_name").agg(
-        *(F.sum(F.when(F.col("score") >= g, F.col("label"))).alias(f"right_{i}") for i, g in enumerate(grid)),
-        *(F.count(F.when(F.col("score") >= g, 1)).alias(f"all_{i}") for i, g in enumerate(grid)),
+        *(F.sum(F.when(F.col("score") >= g, F.col("label") * F.col("weight"))).alias(f"right_{i}") for i, g in enumerate(grid)),
+        *(F.sum(F.when(F.col("score") >= g, F.col("weight"))).alias(f"all_{i}") for i, g in enumerate(grid)),
     )
     thresholds = {}
     for r in per_kind.collect():  # at most one row per kind

@@ -297,6 +297,24 @@ def test_privacy_of_a_long_text_full_of_values(spark):
     assert 0 < rows.count() < 300 * 12
 
 
+def test_privacy_learns_from_every_document(spark):
+    def positive(n):
+        docs = spark.range(n).selectExpr("id as doc_id", "'mail u' || lpad(id, 6, '0') || '@ex.com now' as text")
+        return privacy.training_rows(docs, "doc_id", "text", privacy.Settings()).where("label = 1").count()
+
+    # More documents than were once drawn to learn from.
+    assert positive(10) >= 10 and positive(24_000) == 2_400 * positive(10)
+
+
+def test_equal_candidates_count_as_often_as_they_occur(spark):
+    """One row with a weight stands for equal ones: rare wrong selections do not outvote many right ones."""
+    texts = [f"call +1 (743) 555-{1000 + k} now" for k in range(300)] + [f"part 743 555 {1000 + k} of" for k in range(300)]
+    trees = privacy.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    docs = spark.createDataFrame([(1, "call 1 (743) 555-3824 now"), (2, "part 743 555 1234 of")], "doc_id long, text string")
+    added = {r[0]: r[1] for r in privacy.personal_data(docs, trees).select("row.doc_id", privacy.joined_names(F.col("added"))).collect()}
+    assert added[1].startswith("phone:5:") and added[2] == ""
+
+
 def test_privacy_of_nothing(no_docs):
     assert privacy.train(no_docs) is None
     assert privacy.personal_data(no_docs, None).collect() == []
